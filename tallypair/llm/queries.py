@@ -40,7 +40,7 @@ QUERIES = {
 
 OP1_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), g AS (
   SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)

@@ -18,6 +18,17 @@ ASK, RUN, FOUND = 0, 1, 2
 BOX_BYTES, LEAST_BOXES = 16 << 20, 64
 
 
+#: A task takes so many bytes of text at a time.
+PIECE_BYTES = 8 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int = 2) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        _, offsets = texts_of(batch.column(column))
+        for a, b in slices(offsets, PIECE_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def _fingerprints(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
     """Of every window of the batch (its texts sorted by id): text, place and two independent hashes."""
     raw, offsets = texts_of(batch.column(2))
@@ -44,7 +55,7 @@ def _ask(width: int, boxes: int):
     are asked about, a binary row a box, keys in the order of documents and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             text, at, key, check = _fingerprints(batch, width)
