@@ -55,13 +55,16 @@ def boxes_of(doc: np.ndarray, n: int) -> np.ndarray:
     return (mixed(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
-def by_box(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, boxes: int, kind: int, shift: int = 0) -> list[tuple]:
-    """Rows of ``PLACES`` for entries in any order: one a box of documents."""
+def by_box(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, boxes: int, kind: int, shift: int = 0, size: np.ndarray | None = None) -> list[tuple]:
+    """Rows of ``PLACES`` for entries in any order: one a box of documents. ``size``: of each entry's
+    range, where it isn't one width for all."""
     box = boxes_of(doc, boxes)
     order = np.lexsort((at, tag, doc, box))
     box, doc, tag, at = box[order], doc[order], tag[order], at[order]
     cuts = np.flatnonzero(np.diff(box, prepend=-1))
-    return [(int(box[a]) + shift, kind, pack(doc[a:b], tag[a:b], at[a:b]), None) for a, b in zip(cuts, [*cuts[1:], len(box)], strict=True)]
+    sizes = size[order].astype(np.uint32) if size is not None else None
+    blob = lambda a, b: zstandard.compress(planes(sizes[a:b]), 1) if sizes is not None else None
+    return [(int(box[a]) + shift, kind, pack(doc[a:b], tag[a:b], at[a:b]), blob(a, b)) for a, b in zip(cuts, [*cuts[1:], len(box)], strict=True)]
 
 
 def as_table(rows: list[tuple]) -> pa.Table:
@@ -72,31 +75,46 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return as_table(rows).combine_chunks().to_batches()[0] if rows else pa.RecordBatch.from_pylist([], SCHEMA)
 
 
-def covered(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal ranges of what windows of ``width`` cover: document, tag, first, end. Entries sorted."""
+def covered(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal ranges that the ranges of ``size`` at ``at`` cover: document, tag, first, end. Sorted."""
+    if not len(doc):
+        return doc, tag, at, at
+    other = np.ones(len(doc), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    apart = np.cumsum(other) * (int((at + size).max()) + 2)  # documents one after the other on one line
+    first, end = at + apart, np.maximum.accumulate(at + size + apart)
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + width)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    return doc[first], tag[first], at[first], at[last] + width
+    new[1:] = first[1:] > end[:-1]
+    start = np.flatnonzero(new)
+    last = np.append(start, len(doc))[1:] - 1
+    return doc[start], tag[start], at[start], (end - apart)[last]
 
 
 def ranges(found: DataFrame, width: int, name: str) -> DataFrame:
-    """``_doc, _tag, ranges`` (binary: firsts, then ends, int64) of the places in rows of ``PLACES``, by box."""
+    """``_doc, _tag, ranges`` (binary: firsts, then ends, int32) of the places in rows of ``PLACES``, by box."""
     kind = pa.schema([("_doc", pa.int64()), ("_tag", pa.int64()), ("ranges", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in table["places"].to_pylist()]
+        size = [np.full(len(p[0]), width) if k is None else from_planes(zstandard.decompress(k), np.uint32, len(p[0])).astype(np.int64) for p, k in zip(parts, table["keys"].to_pylist(), strict=True)]
         doc, tag, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        size = np.concatenate(size)
         order = np.lexsort((at, tag, doc))
-        doc, tag, first, end = covered(doc[order], tag[order], at[order], width)
-        cuts = np.flatnonzero((np.diff(doc, prepend=doc[0] - 1) != 0) | (np.diff(tag, prepend=tag[0] - 1) != 0)) if len(doc) else []
-        blobs = [np.concatenate([first[a:b], end[a:b]]).astype(np.int64).tobytes() for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
+        doc, tag, first, end = covered(doc[order], tag[order], at[order], size[order])
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+        cuts = np.flatnonzero(new)
+        blobs = [np.concatenate([first[a:b], end[a:b]]).astype(np.int32).tobytes() for a, b in zip(cuts, np.append(cuts, len(doc))[1:], strict=True)]
         return pa.Table.from_arrays([pa.array(doc[cuts]), pa.array(tag[cuts]), pa.array(blobs, pa.binary())], schema=kind)
 
     return written(found.groupBy("box").applyInArrow(run, "_doc long, _tag long, ranges binary"), name)
 
 
+def pairs_of(blob: bytes | None) -> np.ndarray:
+    """Firsts and ends, a row each."""
+    return np.frombuffer(blob, np.int32).reshape(2, -1) if blob else np.zeros((2, 0), np.int32)
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
     """``doc_id, tag, text`` and the bytes of all texts. The tag is 0; rows that share an id have a hash
     of their text instead, so that places in one are not taken for places in another."""
@@ -116,8 +134,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
 def in_ranges(blob: bytes | None, n: int) -> np.ndarray:
     """A mask of ``n`` places: those in the ranges."""
     out = np.zeros(n + 1, np.int8)
-    if blob:
-        first, end = np.frombuffer(blob, np.int64).reshape(2, -1)
-        np.add.at(out, first, 1)
-        np.add.at(out, np.minimum(end, n), -1)
+    first, end = pairs_of(blob)
+    np.add.at(out, first, 1)
+    np.add.at(out, np.minimum(end, n), -1)
     return np.cumsum(out[:n]) > 0

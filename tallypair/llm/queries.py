@@ -11,6 +11,7 @@ from .mixing import mix_sources
 from .pii import personal_data
 from .quality import quality_scores
 from .substring_dedup import remove_repeated_windows
+from .suffix_dedup import remove_repeated_strings
 from .token_counts import token_counts
 from .vector_search import top_inner_products
 
@@ -46,6 +47,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_strings(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
@@ -53,6 +59,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op7_personal_data": op7_personal_data,
     "op8_vector_search": op8_vector_search,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op9_mixing": op9_mixing,
 }
 
