@@ -119,7 +119,7 @@ def _longest(array: SuffixArray, tests: TestSuffixes) -> tuple[np.ndarray, ...]:
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (row[1:] != row[:-1]) | ((at - item_at)[1:] != (at - item_at)[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(text)) - 1
+    last = np.append(first, len(text))[1:] - 1
     return text[first], item[first], at[first], item_at[first], at[last] + size[last] - at[first]
 
 
