@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, written
+from .common import bytes_of, sized, written
 from .words import FIRST, LETTERS, LOWER, slices, texts_of, words_of
 
 #: Test items are sent to the tasks in blocks whose Parquet files hold at most so many bytes.
@@ -202,7 +202,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
         own = x.where(F.size("matches") > 0).select(ids.alias("_hit"))
         hit = own if hit is None else hit.unionByName(own)
     hit = written(hit.distinct(), "contaminated")
-    from .common import sized
-
     marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return marked.join(sized(hit), F.col("_row") == F.col("_hit"), "left_anti").select(*[docs[c] for c in docs.columns])
+    return marked.join(sized(hit), F.col("_row") == F.col("_hit"), "left_anti").select(*docs.columns)

@@ -69,15 +69,21 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def row_key() -> F.Column:
+    """Tells the rows of a table apart unless they are equal in id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, x`` with the statistics of every whole text; one narrow pass."""
+    """``doc_id, row, x`` with the statistics of every whole text; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [statistics(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "row", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row"))
+    return rows.mapInArrow(run, "doc_id long, row long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -150,13 +156,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> Data
     once. With fewer than two documents in a class the score is the share of class 1 (0.5 without
     labels). Repeated rows each get a row; an empty table gives none; other columns are ignored.
     """
+    return _scored(docs, labels, cut).drop("row")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, cut: float) -> DataFrame:
     stats = written(document_statistics(docs), "statistics")
     model = fit(stats, labels.select(F.col("doc_id").cast("long"), "quality").where(~held_out()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(np.asarray(batch.column(1).flatten()).reshape(-1, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            score = model.score(np.asarray(batch.column(2).flatten()).reshape(-1, len(NAMES)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["doc_id", "row", "score"])
+
+    scored = stats.mapInArrow(run, "doc_id long, row long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "row")
+
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all their columns, that the classifier doesn't reject."""
+    poor = written(_scored(docs, labels, cut).where("predicted = 0").select(F.col("row").alias("_poor")).distinct(), "rejected")
+    marked = docs.withColumn("_row", row_key())
+    return marked.join(sized(poor), F.col("_row") == F.col("_poor"), "left_anti").select(*docs.columns)

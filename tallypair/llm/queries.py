@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .decontamination import contamination
+from .line_dedup import remove_repeated_lines
 from .mixing import mix_sources
 from .pii import personal_data
 from .quality import quality_scores
+from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_strings
 from .token_counts import token_counts
@@ -29,6 +31,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
@@ -57,6 +68,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_vector_search": op8_vector_search,
     "op10_suffix_dedup": op10_suffix_dedup,
