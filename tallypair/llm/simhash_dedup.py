@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import components, sized, written
 
 #: Fingerprints that a shard should hold on average, and that one tree or one row of queries holds.
-SHARD, TREE = 64, 4096
+SHARD, TREE = 64, 1024
 #: Query-node pairs that a search looks at together, at most.
 AT_ONCE = 2_000_000
 
