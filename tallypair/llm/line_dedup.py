@@ -14,6 +14,8 @@ SHINGLE = r"(?s)(?=(.{1,12}))\S{1,8}"
 MINIMA, STEPS = 12, (0, 1, 4)
 #: Lines of so few shingles reach the similarity only with equal sets.
 FEW = 3
+#: Lines of each bucket that all its lines are compared with.
+PIVOTS = 3
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -48,7 +50,7 @@ def _signed(lines: DataFrame) -> DataFrame:
     band = [F.xxhash64(F.lit(b), *[F.col("m")[(b + s) % MINIMA] for s in STEPS]) for b in range(MINIMA)]
     few = F.size("h") <= FEW
     return rows.select(
-        "doc_id", "tag", "n", "id", F.size("h").alias("size"),
+        "doc_id", "tag", "n", "id",
         F.when(few, F.array(F.xxhash64(F.lit(MINIMA), F.array_sort("h")))).otherwise(F.array(*band)).alias("bands"),
     )
 
@@ -66,29 +68,26 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     one that its component keeps. ``docs``: ``doc_id, tag, text``.
 
     Exact copies of a line are one; its first place is the smallest (id, number). In each band's bucket
-    the smallest line is the pivot: all others are compared with it, and those that are not near it with
-    all of the bucket. So a cluster of n near lines costs n comparisons, and no two lines of a bucket
-    that the components would keep apart stay uncompared.
+    ``PIVOTS`` lines are pivots, the smallest and others by hashes, and every line of the bucket is
+    compared with them: all pairs in buckets of two to four lines, a fixed number a line in larger ones,
+    whose clusters hang together through the pivots of the bands.
     """
     lines = lines_of(docs)
     place = F.struct("doc_id", "tag", "n")
-    signed = _signed(lines).groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    signed = _signed(lines).groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     signed = written(signed, "distinct-lines")
-    banded = signed.select("id", "size", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").select("bucket", "pivot")
-    members = written(banded.join(sized(written(buckets, "buckets")), "bucket"), "bucket-members")
+    banded = signed.select("id", F.explode("bands").alias("bucket"))
+    pivots = [F.min("id").alias("p0"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)]]
+    buckets = banded.groupBy("bucket").agg(F.max("id").alias("other"), *pivots).where("p0 <> other").drop("other")
+    members = written(banded.select("bucket", "id").join(sized(written(buckets, "buckets")), "bucket").drop("bucket"), "bucket-members")
     wanted = members.select("id").distinct().join(signed.select("id", "first"), "id")
     wanted = written(wanted.select(F.col("id").alias("_id"), "first"), "wanted-lines")
     found = lines.join(sized(wanted), (F.col("id") == F.col("_id")) & (F.struct("doc_id", "tag", "n") == F.col("first")))
     sets = written(found.select("id", shingles(F.col("line")).alias("h")), "shingle-sets")
 
-    stars = members.where("id <> pivot")
-    near = written(_verified(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets, similar), "near-pivots")
-    loose = stars.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"], "left_anti").select("bucket", "pivot", F.col("id").alias("a"), F.col("size").alias("size_a"))
-    rest = loose.join(members.select("bucket", F.col("id").alias("b"), "size"), "bucket").where("a <> b and b <> pivot")
-    rest = rest.where(F.least("size", "size_a") >= F.greatest("size", "size_a") * F.lit(similar))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    joined = components(near.unionByName(_verified(rest, sets, similar)))
+    stars = members.select(F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"), "id").where("id <> p")
+    stars = stars.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+    joined = components(_verified(stars, sets, similar))
 
     # the place that each class of lines keeps; classes of one place need no row
     placed = signed.join(joined, signed["id"] == joined["node"], "left").select("id", "first", "copies", "component")
