@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, sized, written
+from .quality import row_key
 from .words import FIRST, LETTERS, LOWER, slices, texts_of, words_of
 
 #: Test items are sent to the tasks in blocks whose Parquet files hold at most so many bytes.
 BLOCK_BYTES = 4 << 20
 #: Text bytes of one suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 MATCH = "item_id string, document_word long, item_word long, n_words long"
-FOUND = f"doc_id long, text string, n_words long, matches array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"
+FOUND = f"doc_id long, row long, n_words long, matches array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"
 
 
 class TestSuffixes:
@@ -124,13 +125,13 @@ def _longest(array: SuffixArray, tests: TestSuffixes) -> tuple[np.ndarray, ...]:
 
 
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> list[DataFrame]:
-    """For each block of test items: ``doc_id, text, n_words, matches`` of every input row, a match being
+    """For each block of test items: ``doc_id, row`` (a hash of id and text), ``n_words, matches`` of every input row, a match being
     ``item_id, document_word, item_word, n_words`` (words from 0). One block unless the items' table is
     over ``BLOCK_BYTES``; a pass is narrow: the items go to the tasks, documents are not shuffled."""
     spark = docs.sparkSession
     items = written(benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null"), "test-items")
     blocks = max(1, -(-bytes_of(items) // BLOCK_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row"))
 
     def block(k: int) -> DataFrame:
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
@@ -148,7 +149,7 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) ->
                     ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b - a))])
                     matches = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["item_id", "document_word", "item_word", "n_words"]))
                     part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(array.counts, pa.int64()), matches], ["doc_id", "text", "n_words", "matches"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(array.counts, pa.int64()), matches], ["doc_id", "row", "n_words", "matches"])
 
         return rows.mapInArrow(run, FOUND)
 
@@ -184,23 +185,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     rows = blocks[0].select("doc_id", "n_words", "matches")
     if len(blocks) > 1:
         # some more passes over the documents: the rows of one document meet, its matches together
-        each = [x.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), "n_words", "matches") for x in blocks]
+        each = blocks
         every = each[0].withColumn("copies", F.lit(1))
         for x in each[1:]:
             every = every.unionByName(x.withColumn("copies", F.lit(0)))
-        met = every.groupBy("doc_id", "h", "size", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"), F.sum("copies").alias("copies"))
+        met = every.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"), F.sum("copies").alias("copies"))
         rows = met.withColumn("_", F.explode(F.expr("sequence(1, copies)"))).select("doc_id", "n_words", F.array_distinct("matches").alias("matches"))
     return rows.mapInArrow(_summed, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs``, all their columns, whose text holds no window of a test item."""
-    ids = F.xxhash64("doc_id", "text")
     blocks = verbatim_matches(docs, benchmark, width)
     hit = None
     for x in blocks:
-        own = x.where(F.size("matches") > 0).select(ids.alias("_hit"))
+        own = x.where(F.size("matches") > 0).select(F.col("row").alias("_hit"))
         hit = own if hit is None else hit.unionByName(own)
     hit = written(hit.distinct(), "contaminated")
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    marked = docs.withColumn("_row", row_key())
     return marked.join(sized(hit), F.col("_row") == F.col("_hit"), "left_anti").select(*docs.columns)
