@@ -19,7 +19,7 @@ BOX_BYTES, LEAST_BOXES = 16 << 20, 64
 
 
 #: A task takes so many bytes of text at a time.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int = 2) -> Iterator[pa.RecordBatch]:
