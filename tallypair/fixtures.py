@@ -54,7 +54,7 @@ COLUMNS: dict[str, tuple[str, dict[str, str]]] = {
         "choice": "CASE WHEN o_orderkey % 9 = 0 THEN 'inconsistent' WHEN (o_orderkey * 31 + o_custkey) % 5 < 2 THEN 'first' ELSE 'second' END",
     }),
     "responses": ("orders", {
-        "participant_id": "o_custkey", "choice": "CASE WHEN (o_orderkey * 31 + o_custkey) % 5 < 2 THEN 1 ELSE 2 END", "strategy": strategy("o_orderkey + o_custkey"),
+        "pair_id": "o_orderkey", "number": "CAST(substr(o_orderpriority, 1, 1) AS INT)", "participant_id": "o_custkey", "choice": "CASE WHEN (o_orderkey * 31 + o_custkey) % 5 < 2 THEN 1 ELSE 2 END", "strategy": strategy("o_orderkey + o_custkey"),
         "task": task("o_orderkey + o_custkey"), "image1_id": text("o_custkey"), "image1_status": status("o_orderkey"), "image2_id": text("o_custkey + 1"), "image2_status": status("o_orderkey + 1 + o_custkey % 2"),
     }),
     "images": ("embeddings", {
