@@ -62,3 +62,33 @@ def ci95_stats(rows: DataFrame, by: list[str], value: str = "similarity") -> Dat
     out = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
     half = F.lit(196.0) / 100 * F.col("sd") / F.sqrt("n")
     return out.withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half})
+
+
+def similarity_long(between: DataFrame, originals: DataFrame, metric: str) -> DataFrame:
+    """Both comparisons as one table with the metric's name; rows without a value go."""
+    rows = between.withColumn("comparison", F.lit("between_pairs")).unionByName(originals.withColumn("comparison", F.lit("from_original")), allowMissingColumns=True)
+    return rows.withColumn("metric", F.lit(metric)).where("similarity is not null and not isnan(similarity)")
+
+
+def harmonize_metrics(tables: list[DataFrame]) -> DataFrame:
+    """Metrics stacked: the score is the distance where there is one; a label of the comparison."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    for c in {"distance", "similarity"} - set(out.columns):
+        out = out.withColumn(c, F.lit(None).cast("double"))
+    label = F.when(F.col("comparison") == "between_pairs", "Between pairs").when(F.col("is_final"), "Final to original").otherwise("Original to original")
+    return out.withColumns({"score": F.coalesce("distance", "similarity"), "label": label})
+
+
+def incremental_scores(pairs: DataFrame, cache: DataFrame, score: Column, keys: list[str]) -> DataFrame:
+    """The cache's rows and those of pairs that it lacks, scored now."""
+    new = pairs.join(cache.select(*keys), keys, "left_anti").withColumn("similarity", score)
+    return cache.select(*keys, "similarity").unionByName(new.select(*keys, "similarity"))
+
+
+def representation_gaps(images: DataFrame) -> DataFrame:
+    """Rows of pairs, those without a vector, and those whose original lacks one or isn't there."""
+    versions = images.where("debiased_iter is not null").select("dataset", "current_base_id", F.col("embedding").isNull().alias("bare"))
+    originals = images.where("debiased_iter is null and embedding is not null").select("dataset", "current_base_id").distinct().withColumn("known", F.lit(True))
+    return versions.join(originals, ["dataset", "current_base_id"], "left").agg(F.count(F.lit(1)).alias("rows"), F.count_if("bare").alias("no_vector"), F.count_if(F.col("known").isNull()).alias("no_original"))
