@@ -62,6 +62,7 @@ COLUMNS: dict[str, tuple[str, dict[str, str]]] = {
         "image_path": f"CASE WHEN vec_id % 5 = 0 THEN concat('vp/data/hotels_enhanced/rooms_', {text(_B)}, '.jpg') ELSE concat('vp/cache/hotels/rooms_', {text(_B)}, '_original_vs_', {text(_B + ' + 1')}, '_final_iter', CASE WHEN vec_id % 5 < 3 THEN '1' ELSE '3' END, '_debiased_', CASE WHEN vec_id % 5 IN (1, 3) THEN '1' ELSE '2' END, '.jpg') END",
         "embedding": "embedding",
     }),
+    "vectors": ("embeddings", {"vec_id": "vec_id", "embedding": "embedding", "label": "label"}),
     "housing": ("part", {"id": "CAST(p_partkey + 1 AS BIGINT)", "area": "CAST(p_size AS INT)", "price": "CAST(p_retailprice AS DOUBLE)"}),
     "rounds": ("events", {
         "pair_key": "user_id", "round_number": "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)", "winner": "CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallypair.fixtures import sql
 from tallypair.functions import labels, user
-from tallypair.operators import models, sampling, similarity, stats, summaries, verdicts
+from tallypair.operators import helpers, models, sampling, similarity, stats, summaries, verdicts
 from tallypair.plans.queries import BETWEEN, CELL_SQL, CELLS, COS, LEVELS, META, ORACLES, add, images, kept, rounded
 
 Get = Callable[[str], DataFrame]
@@ -174,3 +174,17 @@ add("u2_encode", lambda g: user.encode(g("verdicts"), load_encoder, ["pair_id"],
 SELECT pair_id, CAST(length(base1) AS DOUBLE) AS x, CAST(length(base1) - length(replace(base1, '_', '')) AS DOUBLE) AS y FROM {sql('verdicts')}""")
 add("u3_summarize_clusters", lambda g: user.summarize_clusters(clustered(g).where("level = 1").groupBy("grp", "cluster_id").agg(F.collect_list("text").alias("texts")), load_summarizer, ["grp", "cluster_id"]), f"""
 SELECT grp, cluster_id, count(*) || ' from ' || min(text) AS summary FROM {LABELS} WHERE level = 1 GROUP BY grp, cluster_id""")
+
+
+# --- numpy helpers: compared with plain computations in the tests ---------------------------------
+def head2head(get: Get) -> DataFrame:
+    return stats.head2head_long(get("head2head"))
+
+
+def themed(get: Get) -> DataFrame:
+    return get("vectors").selectExpr("concat('g', CAST(label AS STRING)) AS grp", "vec_id", "embedding")
+
+
+add_rows_only("m5_fixed_effect_fit", lambda g: rounded(helpers.fixed_effect_fit(head2head(g), ["strategy", "model"], "task"), "emm", "se"))
+add_rows_only("v4_ssim", lambda g: rounded(halves(g)[0].select("vec_id", helpers.ssim(F.transform("x", lambda v: (v + 1) * 127.5), F.transform("y", lambda v: (v + 1) * 127.5)).alias("similarity")), "similarity"))
+add_rows_only("t2_hierarchical_levels", lambda g: helpers.hierarchical_levels(themed(g), ["grp"], "vec_id"))
