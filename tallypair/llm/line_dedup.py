@@ -14,7 +14,7 @@ SHINGLE = r"(?s)(?=(.{1,12}))\S{1,8}"
 MINIMA, STEPS = 12, (0, 1, 4)
 #: Lines of so few shingles reach the similarity only with equal sets.
 FEW = 3
-#: Lines of each bucket that all its lines are compared with.
+#: Lines of each bucket that all its lines are compared with first.
 PIVOTS = 3
 
 
@@ -60,7 +60,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
     near = F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * F.lit(similar)
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(near).where(common >= (F.size("x") + F.size("y") - common) * F.lit(similar)).select("a", "b")
+    return both.where(near).where(common >= (F.size("x") + F.size("y") - common) * F.lit(similar)).select(*pairs.columns)
+
+
+def _undecided(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
+    """``id, component, h`` of the lines of buckets in which, after the pivots, some pairs of lines are
+    neither compared nor in one component."""
+    named = members.join(joined, members["id"] == joined["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    pivots = [f"p{k}" for k in range(PIVOTS)]
+    ends = named.groupBy(*pivots).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    open_ = ends.where(F.col("c0") != F.col("c1")).where(F.col("n") > 1 + F.size(F.array_distinct(F.array(*pivots)))).select(*pivots)
+    lines = named.join(sized(written(open_, "undecided-buckets")), pivots, "left_semi").groupBy("id").agg(F.min("component").alias("component"))
+    return written(lines.join(sets, "id"), "undecided-lines")
+
+
+def _candidates(lines: DataFrame, similar: float) -> DataFrame:
+    """``a, b, ca, cb``: all pairs of ``lines`` (``id, component, h``) in different components that can
+    have a Jaccard similarity of ``similar``, and each once.
+
+    With shingles in one order for all lines, rarest first, similar lines share one of their first
+    ``size - similar * size + 1``; and at the first that they share, enough must be left in both.
+    """
+    one = lines.select("id", "component", F.explode("h").alias("t"))
+    often = one.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "t")))
+    ranked = one.join(often, "t", "left").groupBy("id", "component").agg(order.alias("o")).withColumn("k", F.size("o"))
+    head = F.slice("o", F.lit(1), F.col("k") - F.ceil(F.col("k") * F.lit(similar) - F.lit(1e-9)).cast("int") + 1)
+    shared = F.transform(F.filter(head, lambda e: e["f"] > 1), lambda e: e["t"])
+    heads = ranked.select("id", "component", "k", shared.alias("head"), F.posexplode(head).alias("pos", "e")).where("e.f > 1")
+    heads = written(heads.select(F.col("e.t").alias("t"), "id", "component", "k", "pos", "head"), "line-heads")
+    x, y = (heads.select("t", *[F.col(c).alias(f"{c}{side}") for c in heads.columns if c != "t"]) for side in "xy")
+    small, large = F.least("kx", "ky"), F.greatest("kx", "ky")
+    left = F.least(F.col("kx") - F.col("posx"), F.col("ky") - F.col("posy"))
+    # the small slack keeps pairs that are similar by rounding only; they are verified exactly
+    fits = (small >= large * F.lit(similar) - F.lit(1e-6)) & (left >= (F.col("kx") + F.col("ky")) * F.lit(similar / (1 + similar)) - F.lit(1e-6))
+    met = x.join(y, "t").where(F.col("componentx") < F.col("componenty")).where(fits)
+    met = met.where(F.get(F.array_intersect("headx", "heady"), 0) == F.col("t"))
+    return met.select(F.col("idx").alias("a"), F.col("idy").alias("b"), F.col("componentx").alias("ca"), F.col("componenty").alias("cb"))
 
 
 def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
@@ -69,8 +105,9 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
 
     Exact copies of a line are one; its first place is the smallest (id, number). In each band's bucket
     ``PIVOTS`` lines are pivots, the smallest and others by hashes, and every line of the bucket is
-    compared with them: all pairs in buckets of two to four lines, a fixed number a line in larger ones,
-    whose clusters hang together through the pivots of the bands.
+    compared with them, which joins the large groups of near lines. The lines of buckets that still hold
+    several components are then compared across components, all that can be similar, so no pair that
+    meets in a band is left out.
     """
     lines = lines_of(docs)
     place = F.struct("doc_id", "tag", "n")
@@ -87,10 +124,15 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
 
     stars = members.select(F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"), "id").where("id <> p")
     stars = stars.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-    joined = components(_verified(stars, sets, similar))
+    joined = written(components(_verified(stars, sets, similar)), "joined-lines")
+    more = _verified(_candidates(_undecided(members, joined, sets), similar), sets, similar)
+    merged = written(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged-components")
+    merged = merged.select(F.col("node").alias("_own"), F.col("component").alias("_merged"))
 
     # the place that each class of lines keeps; classes of one place need no row
     placed = signed.join(joined, signed["id"] == joined["node"], "left").select("id", "first", "copies", "component")
+    placed = placed.withColumn("own", F.coalesce("component", "id")).join(merged, F.col("own") == F.col("_own"), "left")
+    placed = placed.select("id", "first", "copies", F.coalesce("_merged", "component").alias("component"))
     kept = placed.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     contested = placed.where("component is not null").join(kept, "component").select("id", "keep")
     contested = contested.unionByName(placed.where("component is null and copies > 1").select("id", F.col("first").alias("keep")))
@@ -108,7 +150,7 @@ def remove_repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     one at the smallest (doc_id, line number) stays.
 
     Lines are near if the Jaccard similarity of their shingle sets is ``similar`` or more; a pair of
-    similarity 0.8 meets in a band with probability 0.993, of 0.9 with 0.9998. Blank lines always stay.
+    similarity 0.8 meets in a band with probability 0.993, of 0.9 with 0.9998, and all that meet are decided. Blank lines always stay.
     Null text: one empty line. Null id: such a row neither loses lines nor takes any. Rows that share an
     id and differ in text keep separate lines; equal rows lose the same ones. An empty table gives no
     rows; other columns are ignored. Lines are told apart by 64-bit hashes of their texts.

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -145,3 +146,24 @@ def test_search(spark):
         if i % 50 == 0:
             best = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i))[:5]
             assert sorted(got[i]) == [(k, j, -s) for k, (s, j) in enumerate(best, 1)]
+
+
+def test_crowded_buckets(spark):
+    """One bucket of many lines, near and less near: what goes equals brute force over all pairs."""
+    rng = random.Random(3)
+    base = words(rng, 60).split()
+    lines = []
+    for _ in range(150):
+        w = list(base)
+        for k in rng.sample(range(60), rng.randint(0, 6)):
+            w[k] = f"w{rng.randint(0, 10**6)}"
+        lines.append(" ".join(w))
+    of = [{x[m.start() : m.start() + 12] for m in re.finditer(r"\S{1,8}", x)} for x in lines]
+    label = list(range(len(lines)))
+    for i, x in enumerate(of):
+        for j in range(i):
+            if len(x & of[j]) >= 0.8 * len(x | of[j]):
+                old, new = sorted((label[i], label[j]), reverse=True)
+                label = [new if k == old else k for k in label]
+    got = remove_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed = 0").collect()
+    assert 1 < len(set(label)) < len(lines) and {r.doc_id for r in got} == set(label)
