@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .common import components, sized, written
 from .places import keyed
 
-#: Shingles: 12 characters from the start of each word, and from every 8th character of a longer one.
-SHINGLE = r"(?s)(?=(.{1,12}))\S{1,8}"
+#: Characters of a shingle, one from every character of a line; a shorter line is one shingle.
+SHINGLE = 12
 #: Minima of a signature; a band holds those at these steps from its number, around the ring.
 MINIMA, STEPS = 12, (0, 1, 4)
-#: Lines of so few shingles reach the similarity only with equal sets.
-FEW = 3
+#: Lines of more first shingles don't carry them to the pairs; such pairs may be met more than once.
+CARRIED = 64
 #: Lines of each bucket that all its lines are compared with first.
 PIVOTS = 3
 
@@ -28,65 +28,76 @@ def _long(k: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _minimum(k: int) -> Column:
-    return F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(_long(k)))))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, tag, n, line, id``: every line that isn't blank; ``id`` is the hash of its text."""
     lines = docs.where("doc_id is not null").select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return lines.where(F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
 
 
-def shingles(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), 1), lambda s: F.xxhash64(s)))
+def _coded(line: Column) -> Column:
+    """Four bytes a character, so that a shingle is cut out without reading the line from its start."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(coded: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(coded) - F.lit(4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+
+
+def _shingle(coded: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(coded, start, F.lit(4 * SHINGLE)))
+
+
+def with_shingles(df: DataFrame, line: str, name: str) -> DataFrame:
+    """``df`` with the set of hashes of ``line``'s shingles instead of the line."""
+    df = _once(df, "_coded", _coded(F.col(line))).drop(line)
+    return _once(df, name, F.array_distinct(F.transform(_starts(F.col("_coded")), lambda i: _shingle(F.col("_coded"), i)))).drop("_coded")
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """The bands of each line. A minimum is over the shingle hashes under another exclusive or, so two
-    lines agree in one with the chance of their Jaccard similarity."""
-    rows = _once(lines, "h", shingles(F.col("line"))).drop("line")
-    rows = _once(rows, "m", F.array(*[_minimum(k) for k in range(MINIMA)]))
-    band = [F.xxhash64(F.lit(b), *[F.col("m")[(b + s) % MINIMA] for s in STEPS]) for b in range(MINIMA)]
-    few = F.size("h") <= FEW
-    return rows.select(
-        "doc_id", "tag", "n", "id",
-        F.when(few, F.array(F.xxhash64(F.lit(MINIMA), F.array_sort("h")))).otherwise(F.array(*band)).alias("bands"),
-    )
+def _banded(lines: DataFrame) -> DataFrame:
+    """``id, bands`` of each distinct line. A minimum is over the shingle hashes under another exclusive or,
+    so two lines agree in one with the chance of their Jaccard similarity. A row a shingle goes into a
+    partial aggregate, which leaves a row a line before the shuffle."""
+    coded = _once(lines.select("id", "line"), "coded", _coded(F.col("line"))).select("id", "coded")
+    rows = coded.select("id", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select("id", _shingle(F.col("coded"), F.col("at")).alias("h"))
+    minima = rows.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_long(k)))).alias(f"m{k}") for k in range(MINIMA)])
+    band = [F.xxhash64(F.lit(b), *[F.col(f"m{(b + s) % MINIMA}") for s in STEPS]) for b in range(MINIMA)]
+    return minima.select("id", F.array(*band).alias("bands"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similar`` or more."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
+    both = with_shingles(with_shingles(both, "s", "x"), "t", "y")
     near = F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * F.lit(similar)
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(near).where(common >= (F.size("x") + F.size("y") - common) * F.lit(similar)).select(*pairs.columns)
+    both = _once(both.where(near), "common", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("common") >= (F.size("x") + F.size("y") - F.col("common")) * F.lit(similar)).select(*pairs.columns)
 
 
-def _undecided(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
-    """``id, component, h`` of the lines of buckets in which, after the pivots, some pairs of lines are
+def _undecided(members: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, component, line`` of the lines of buckets in which, after the pivots, some pairs of lines are
     neither compared nor in one component."""
     named = members.join(joined, members["id"] == joined["node"], "left").withColumn("component", F.coalesce("component", "id"))
     pivots = [f"p{k}" for k in range(PIVOTS)]
     ends = named.groupBy(*pivots).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     open_ = ends.where(F.col("c0") != F.col("c1")).where(F.col("n") > 1 + F.size(F.array_distinct(F.array(*pivots)))).select(*pivots)
     lines = named.join(sized(written(open_, "undecided-buckets")), pivots, "left_semi").groupBy("id").agg(F.min("component").alias("component"))
-    return written(lines.join(sets, "id"), "undecided-lines")
+    return written(lines.join(texts, "id"), "undecided-lines")
 
 
 def _candidates(lines: DataFrame, similar: float) -> DataFrame:
-    """``a, b, ca, cb``: all pairs of ``lines`` (``id, component, h``) in different components that can
+    """``a, b, ca, cb``: all pairs of ``lines`` (``id, component, line``) in different components that can
     have a Jaccard similarity of ``similar``, and each once.
 
     With shingles in one order for all lines, rarest first, similar lines share one of their first
     ``size - similar * size + 1``; and at the first that they share, enough must be left in both.
     """
-    one = lines.select("id", "component", F.explode("h").alias("t"))
+    one = written(with_shingles(lines, "line", "h").select("id", "component", F.explode("h").alias("t")), "line-shingles")
     often = one.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "t")))
     ranked = one.join(often, "t", "left").groupBy("id", "component").agg(order.alias("o")).withColumn("k", F.size("o"))
     head = F.slice("o", F.lit(1), F.col("k") - F.ceil(F.col("k") * F.lit(similar) - F.lit(1e-9)).cast("int") + 1)
-    shared = F.transform(F.filter(head, lambda e: e["f"] > 1), lambda e: e["t"])
+    # the first shingles go along, so that of those that two lines share only one makes the pair
+    shared = F.when(F.size(head) <= CARRIED, F.transform(F.filter(head, lambda e: e["f"] > 1), lambda e: e["t"]))
     heads = ranked.select("id", "component", "k", shared.alias("head"), F.posexplode(head).alias("pos", "e")).where("e.f > 1")
     heads = written(heads.select(F.col("e.t").alias("t"), "id", "component", "k", "pos", "head"), "line-heads")
     x, y = (heads.select("t", *[F.col(c).alias(f"{c}{side}") for c in heads.columns if c != "t"]) for side in "xy")
@@ -95,8 +106,8 @@ def _candidates(lines: DataFrame, similar: float) -> DataFrame:
     # the small slack keeps pairs that are similar by rounding only; they are verified exactly
     fits = (small >= large * F.lit(similar) - F.lit(1e-6)) & (left >= (F.col("kx") + F.col("ky")) * F.lit(similar / (1 + similar)) - F.lit(1e-6))
     met = x.join(y, "t").where(F.col("componentx") < F.col("componenty")).where(fits)
-    met = met.where(F.get(F.array_intersect("headx", "heady"), 0) == F.col("t"))
-    return met.select(F.col("idx").alias("a"), F.col("idy").alias("b"), F.col("componentx").alias("ca"), F.col("componenty").alias("cb"))
+    met = met.where(F.coalesce(F.get(F.array_intersect("headx", "heady"), 0) == F.col("t"), F.lit(True)))
+    return met.select(F.col("idx").alias("a"), F.col("idy").alias("b"), F.col("componentx").alias("ca"), F.col("componenty").alias("cb")).distinct()
 
 
 def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
@@ -111,21 +122,21 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     """
     lines = lines_of(docs)
     place = F.struct("doc_id", "tag", "n")
-    signed = _signed(lines).groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    signed = lines.drop("line").groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     signed = written(signed, "distinct-lines")
-    banded = signed.select("id", F.explode("bands").alias("bucket"))
+    banded = written(_banded(lines), "bands").select("id", F.explode("bands").alias("bucket"))
     pivots = [F.min("id").alias("p0"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)]]
     buckets = banded.groupBy("bucket").agg(F.max("id").alias("other"), *pivots).where("p0 <> other").drop("other")
     members = written(banded.select("bucket", "id").join(sized(written(buckets, "buckets")), "bucket").drop("bucket"), "bucket-members")
     wanted = members.select("id").distinct().join(signed.select("id", "first"), "id")
     wanted = written(wanted.select(F.col("id").alias("_id"), "first"), "wanted-lines")
     found = lines.join(sized(wanted), (F.col("id") == F.col("_id")) & (F.struct("doc_id", "tag", "n") == F.col("first")))
-    sets = written(found.select("id", shingles(F.col("line")).alias("h")), "shingle-sets")
+    texts = written(found.select("id", "line").dropDuplicates(["id"]), "wanted-texts")
 
     stars = members.select(F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"), "id").where("id <> p")
     stars = stars.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-    joined = written(components(_verified(stars, sets, similar)), "joined-lines")
-    more = _verified(_candidates(_undecided(members, joined, sets), similar), sets, similar)
+    joined = written(components(_verified(stars, texts, similar)), "joined-lines")
+    more = _verified(_candidates(_undecided(members, joined, texts), similar), texts, similar)
     merged = written(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged-components")
     merged = merged.select(F.col("node").alias("_own"), F.col("component").alias("_merged"))
 

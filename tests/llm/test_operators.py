@@ -167,3 +167,36 @@ def test_crowded_buckets(spark):
                 label = [new if k == old else k for k in label]
     got = remove_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed = 0").collect()
     assert 1 < len(set(label)) < len(lines) and {r.doc_id for r in got} == set(label)
+
+
+def kept_by_brute_force(lines):
+    """Numbers of the lines that stay by all pairs of their full sets of 12-character shingles."""
+    of = [{x[i : i + 12] for i in range(max(len(x) - 11, 1))} for x in lines]
+    label = list(range(len(lines)))
+    for i, x in enumerate(of):
+        for j in range(i):
+            if len(x & of[j]) >= 0.8 * len(x | of[j]):
+                old, new = sorted((label[i], label[j]), reverse=True)
+                label = [new if k == old else k for k in label]
+    return set(label)
+
+
+def kept_lines(spark, lines):
+    got = remove_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    return {r.doc_id for r in got.where("n_removed = 0").collect()}
+
+
+def test_shingles_at_every_character(spark):
+    """Lines near by all 12-character shingles, which shingles at word starts hold apart, and a crowded bucket."""
+    said = "Subscribe to our newsletter today"
+    lines = [said, said + "!", "Über " + said.lower() + " 😀 und mehr", "Über " + said.lower() + " 😀 und mehr.", "x" * 40, "x" * 50, "ab", "abc"]
+    assert kept_by_brute_force(lines) == {0, 2, 4, 6, 7}
+    rng = random.Random(3)
+    base = words(rng, 60).split()
+    for _ in range(150):
+        w = list(base)
+        for k in rng.sample(range(60), rng.randint(0, 6)):
+            w[k] = f"w{rng.randint(0, 10**6)}"
+        lines.append(" ".join(w))
+    lines += [" ".join(lines[8:14]), " ".join(lines[8:14]) + " and a little more at the end"]
+    assert kept_lines(spark, lines) == kept_by_brute_force(lines)
