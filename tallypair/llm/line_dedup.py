@@ -14,6 +14,8 @@ SHINGLE = 12
 MINIMA, STEPS = 12, (0, 1, 4)
 #: Lines of more first shingles don't carry them to the pairs; such pairs may be met more than once.
 CARRIED = 64
+#: Lines of at most so many shingles meet exactly, besides the bands.
+FEW = 9
 #: Lines of each bucket that all its lines are compared with first.
 PIVOTS = 3
 
@@ -54,16 +56,29 @@ def with_shingles(df: DataFrame, line: str, name: str) -> DataFrame:
 
 
 def _banded(lines: DataFrame) -> DataFrame:
-    """``id, bands`` of each distinct line. A minimum is over the shingle hashes under another exclusive or,
-    so two lines agree in one with the chance of their Jaccard similarity. A row a shingle goes into a
-    partial aggregate, which leaves a row a line before the shuffle."""
+    """``id, bands`` of each distinct line. A minimum is over the shingles hashed anew, so two lines agree
+    in one with the chance of their Jaccard similarity, whatever the others do. A row a shingle goes into
+    a partial aggregate, which leaves a row a line before the shuffle."""
     coded = _once(lines.select("id", "line"), "coded", _coded(F.col("line"))).select("id", "coded")
     rows = coded.select("id", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select("id", _shingle(F.col("coded"), F.col("at")).alias("h"))
-    minima = rows.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_long(k)))).alias(f"m{k}") for k in range(MINIMA)])
+    minima = rows.groupBy("id").agg(*[F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(_long(k))))).alias(f"m{k}") for k in range(MINIMA)])
     band = [F.xxhash64(F.lit(b), *[F.col(f"m{(b + s) % MINIMA}") for s in STEPS]) for b in range(MINIMA)]
     return minima.select("id", F.array(*band).alias("bands"))
 
 
+def _few(lines: DataFrame) -> DataFrame:
+    """``id, bucket`` of the lines of ``FEW`` shingles or fewer: two whose sets differ in one shingle, or by
+    one on either side, meet in a bucket. At a similarity of 0.8 no others of such sizes are near but
+    those of equal sets, whose bands are equal."""
+    # a longer line has so few only if one of its first shingles comes again
+    again = rf"(?s)^.{{0,{FEW}}}(?=(.{{{SHINGLE}}})).{{1,{FEW}}}\1"
+    short = lines.select("id", "line").where((F.char_length("line") < SHINGLE + FEW) | F.col("line").rlike(again))
+    rows = _once(with_shingles(short, "line", "h").where(F.size("h").between(4, FEW)), "o", F.array_sort("h"))
+    rest = F.transform("o", lambda x: F.xxhash64(F.lit(MINIMA), F.array_remove("o", x)))
+    buckets = F.concat(F.array(F.xxhash64(F.lit(MINIMA), "o")), F.when(F.size("o") > 4, rest).otherwise(F.array().cast("array<bigint>")))
+    return rows.select("id", F.explode(buckets).alias("bucket")).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similar`` or more."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
@@ -125,6 +140,7 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     signed = lines.drop("line").groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     signed = written(signed, "distinct-lines")
     banded = written(_banded(lines), "bands").select("id", F.explode("bands").alias("bucket"))
+    banded = banded.unionByName(written(_few(lines), "few"))
     pivots = [F.min("id").alias("p0"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)]]
     buckets = banded.groupBy("bucket").agg(F.max("id").alias("other"), *pivots).where("p0 <> other").drop("other")
     members = written(banded.select("bucket", "id").join(sized(written(buckets, "buckets")), "bucket").drop("bucket"), "bucket-members")

@@ -200,3 +200,15 @@ def test_shingles_at_every_character(spark):
         lines.append(" ".join(w))
     lines += [" ".join(lines[8:14]), " ".join(lines[8:14]) + " and a little more at the end"]
     assert kept_lines(spark, lines) == kept_by_brute_force(lines)
+
+
+def test_lines_of_few_shingles(spark):
+    """Lines of 4 to 9 shingles at a similarity of 0.8 or a little more always meet."""
+    rng = random.Random(11)
+    lines = []
+    for i in range(1500):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(15 + i % 5))
+        lines += [line, line + "!"]
+    lines += ["?abcdefghijklmnopqrs", "abcdefghijklmnopqrs?"]
+    left = set(range(0, 3000, 2)) | {3000}
+    assert kept_lines(spark, lines) == left
