@@ -70,9 +70,9 @@ def _few(lines: DataFrame) -> DataFrame:
     """``id, bucket`` of the lines of ``FEW`` shingles or fewer: two whose sets differ in one shingle, or by
     one on either side, meet in a bucket. At a similarity of 0.8 no others of such sizes are near but
     those of equal sets, whose bands are equal."""
-    # a longer line has so few only if one of its first shingles comes again
-    again = rf"(?s)^.{{0,{FEW}}}(?=(.{{{SHINGLE}}})).{{1,{FEW}}}\1"
-    short = lines.select("id", "line").where((F.char_length("line") < SHINGLE + FEW) | F.col("line").rlike(again))
+    # a longer line has so few only if one of its first shingles comes again, and with it what they all share
+    shared, later = F.substring("line", FEW, SHINGLE + 1 - FEW), F.substring("line", FEW + 1, SHINGLE)
+    short = lines.select("id", "line").where((F.char_length("line") < SHINGLE + FEW) | F.contains(later, shared))
     rows = _once(with_shingles(short, "line", "h").where(F.size("h").between(4, FEW)), "o", F.array_sort("h"))
     rest = F.transform("o", lambda x: F.xxhash64(F.lit(MINIMA), F.array_remove("o", x)))
     buckets = F.concat(F.array(F.xxhash64(F.lit(MINIMA), "o")), F.when(F.size("o") > 4, rest).otherwise(F.array().cast("array<bigint>")))
@@ -106,15 +106,18 @@ def _candidates(lines: DataFrame, similar: float) -> DataFrame:
     With shingles in one order for all lines, rarest first, similar lines share one of their first
     ``size - similar * size + 1``; and at the first that they share, enough must be left in both.
     """
-    one = written(with_shingles(lines, "line", "h").select("id", "component", F.explode("h").alias("t")), "line-shingles")
+    sets = with_shingles(lines, "line", "h").select("id", "component", "h", F.size("h").alias("k"))
+    one = sets.select("id", F.explode("h").alias("t"))
     often = one.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    order = F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "t")))
-    ranked = one.join(often, "t", "left").groupBy("id", "component").agg(order.alias("o")).withColumn("k", F.size("o"))
-    head = F.slice("o", F.lit(1), F.col("k") - F.ceil(F.col("k") * F.lit(similar) - F.lit(1e-9)).cast("int") + 1)
+    # shingles that no other line has come first; their number says enough
+    order = F.sort_array(F.collect_list(F.struct("f", "t")))
+    ranked = one.join(often, "t").groupBy("id").agg(order.alias("o")).join(sets.drop("h"), "id").withColumn("own", F.col("k") - F.size("o"))
+    n = F.col("k") - F.ceil(F.col("k") * F.lit(similar) - F.lit(1e-9)).cast("int") + 1
+    head = F.slice("o", F.lit(1), F.greatest(n - F.col("own"), F.lit(0)))
     # the first shingles go along, so that of those that two lines share only one makes the pair
-    shared = F.when(F.size(head) <= CARRIED, F.transform(F.filter(head, lambda e: e["f"] > 1), lambda e: e["t"]))
-    heads = ranked.select("id", "component", "k", shared.alias("head"), F.posexplode(head).alias("pos", "e")).where("e.f > 1")
-    heads = written(heads.select(F.col("e.t").alias("t"), "id", "component", "k", "pos", "head"), "line-heads")
+    shared = F.when(F.size(head) <= CARRIED, F.transform(head, lambda e: e["t"]))
+    heads = ranked.select("id", "component", "k", "own", shared.alias("head"), F.posexplode(head).alias("pos", "e"))
+    heads = written(heads.select(F.col("e.t").alias("t"), "id", "component", "k", (F.col("pos") + F.col("own")).alias("pos"), "head"), "line-heads")
     x, y = (heads.select("t", *[F.col(c).alias(f"{c}{side}") for c in heads.columns if c != "t"]) for side in "xy")
     small, large = F.least("kx", "ky"), F.greatest("kx", "ky")
     left = F.least(F.col("kx") - F.col("posx"), F.col("ky") - F.col("posy"))
