@@ -27,8 +27,8 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
-        self.ids = sorted({i for i, _ in items})
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
+        self.ids = sorted({i for i, _ in items}, key=lambda i: (i is not None, i or ""))
         number = {x: i for i, x in enumerate(self.ids)}
         raw, offsets = texts_of(pa.array([t for _, t in items], pa.string()))
         text, nth, (words,) = words_of(raw, offsets, LETTERS, LOWER)
@@ -129,12 +129,12 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) ->
     ``item_id, document_word, item_word, n_words`` (words from 0). One block unless the items' table is
     over ``BLOCK_BYTES``; a pass is narrow: the items go to the tasks, documents are not shuffled."""
     spark = docs.sparkSession
-    items = written(benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null"), "test-items")
+    items = written(benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null"), "test-items")
     blocks = max(1, -(-bytes_of(items) // BLOCK_BYTES))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row"))
 
     def block(k: int) -> DataFrame:
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast(TestSuffixes([(r.item_id, r.text) for r in part.collect()], width))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in sorted((m["document_word"], m["document_word"] + m["n_words"]) for m in matches):
                 hit += max(0, b - max(a, end))
                 end = max(end, b)
-            items = sorted({m["item_id"] for m in matches})
+            items = sorted({m["item_id"] for m in matches} - {None})
             out.append((hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0))
         columns = zip(*out, strict=True) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays(
@@ -177,8 +177,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every input row.
 
     A window is ``width`` successive words of an item, or all words of a shorter one. Null and wordless
-    texts have no words and no hits; items that are null, wordless or without an id match nothing; items
-    that share an id count once. Repeated documents each get a row; without items nothing is
+    texts have no words and no hits; null and wordless items match nothing; items
+    that share an id count once; those without an id hit like any other, but ``n_items`` and the hash are
+    of ids only. Repeated documents each get a row; without items nothing is
     contaminated; an empty table gives no rows. Other columns are ignored.
     """
     blocks = verbatim_matches(docs, benchmark, width)

@@ -212,3 +212,12 @@ def test_lines_of_few_shingles(spark):
     lines += ["?abcdefghijklmnopqrs", "abcdefghijklmnopqrs?"]
     left = set(range(0, 3000, 2)) | {3000}
     assert kept_lines(spark, lines) == left
+
+
+def test_items_without_an_id_hit(spark):
+    rows = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "alpha beta gamma"), (4, "beta")], "doc_id long, text string")
+    tests = spark.createDataFrame([(None, "alpha beta"), ("x", "gamma")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(rows, tests).collect()}
+    none, x = (hashlib.sha256(s).hexdigest() for s in (b"", b"x"))
+    assert got == {1: (2, 0, none, True), 2: (1, 1, x, True), 3: (3, 1, x, True), 4: (0, 0, none, False)}
+    assert [r.doc_id for r in decontaminate(rows, tests).collect()] == [4]
