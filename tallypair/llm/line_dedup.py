@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, sized, written
@@ -10,19 +10,16 @@ from .places import keyed
 
 #: Characters of a shingle, one from every character of a line; a shorter line is one shingle.
 SHINGLE = 12
-#: Minima of a signature; a band holds those at these steps from its number, around the ring.
-MINIMA, STEPS = 12, (0, 1, 4)
+#: Bands, each of two minima: two lines of similarity 0.8 share one with probability 0.994.
+BANDS = 5
+#: Shingles that one row carries to the aggregate of minima.
+ABREAST = 4
 #: Lines of more first shingles don't carry them to the pairs; such pairs may be met more than once.
 CARRIED = 64
 #: Lines of at most so many shingles meet exactly, besides the bands.
 FEW = 9
-#: Lines of each bucket that all its lines are compared with first.
-PIVOTS = 3
-
-
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that later expressions read often but that is computed once a row."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
+#: Further pivots of the buckets that the first leaves with several components.
+MORE = 3
 
 
 def _long(k: int) -> int:
@@ -41,8 +38,9 @@ def _coded(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _starts(coded: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.octet_length(coded) - F.lit(4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+def _last(coded: Column) -> Column:
+    """Where the last shingle starts."""
+    return F.greatest(F.octet_length(coded) - F.lit(4 * SHINGLE - 1), F.lit(1))
 
 
 def _shingle(coded: Column, start: Column) -> Column:
@@ -51,52 +49,81 @@ def _shingle(coded: Column, start: Column) -> Column:
 
 def with_shingles(df: DataFrame, line: str, name: str) -> DataFrame:
     """``df`` with the set of hashes of ``line``'s shingles instead of the line."""
-    df = _once(df, "_coded", _coded(F.col(line))).drop(line)
-    return _once(df, name, F.array_distinct(F.transform(_starts(F.col("_coded")), lambda i: _shingle(F.col("_coded"), i)))).drop("_coded")
-
-
-def _banded(lines: DataFrame) -> DataFrame:
-    """``id, bands`` of each distinct line. A minimum is over the shingles hashed anew, so two lines agree
-    in one with the chance of their Jaccard similarity, whatever the others do. A row a shingle goes into
-    a partial aggregate, which leaves a row a line before the shuffle."""
-    coded = _once(lines.select("id", "line"), "coded", _coded(F.col("line"))).select("id", "coded")
-    rows = coded.select("id", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select("id", _shingle(F.col("coded"), F.col("at")).alias("h"))
-    minima = rows.groupBy("id").agg(*[F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(_long(k))))).alias(f"m{k}") for k in range(MINIMA)])
-    band = [F.xxhash64(F.lit(b), *[F.col(f"m{(b + s) % MINIMA}") for s in STEPS]) for b in range(MINIMA)]
-    return minima.select("id", F.array(*band).alias("bands"))
+    # as a lambda's variable the coded line is fetched from the row once, not once a shingle
+    of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), _last(c), F.lit(4)), lambda i: _shingle(c, i)))
+    return df.select("*", F.explode(F.transform(F.array(_coded(F.col(line))), of)).alias(name)).drop(line)
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """``id, doc, copies, bands`` of each distinct line: its smallest document, its number of places and its
+    bands. Minima are of halves of 64-bit hashes of the shingles, each pair of minima of hashes of its
+    own, so two lines agree in one with the chance of their Jaccard similarity, whatever the others do.
+    ``ABREAST`` successive shingles go as a row into a partial aggregate, which leaves a row a line
+    before the shuffle; what a row has too many repeats the last shingle."""
+    coded = lines.select("id", "doc_id", F.explode(F.array(_coded(F.col("line")))).alias("coded")).select("id", "doc_id", "coded", _last(F.col("coded")).alias("last"))
+    rows = coded.select("id", "doc_id", "coded", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * ABREAST))).alias("at"))
+    shingles = [_shingle(F.col("coded"), F.least(F.col("at") + F.lit(4 * j), "last")).alias(f"h{j}") for j in range(ABREAST)]
+    rows = rows.select("id", "doc_id", F.when(F.col("at") == 1, 1).otherwise(0).alias("one"), *shingles)
+    anew = lambda k, j: F.xxhash64(F.col(f"h{j}").bitwiseXOR(F.lit(_long(k)))).alias(f"g{k}_{j}")
+    rows = rows.select("id", "doc_id", "one", *[anew(k, j) for k in range(BANDS) for j in range(ABREAST)])
+    half = [lambda g: g.bitwiseAND(F.lit(0xFFFFFFFF)), lambda g: F.shiftrightunsigned(g, 32)]
+    least = [F.least(*[f(F.col(f"g{k}_{j}")) for j in range(ABREAST)]).alias(f"m{k}_{i}") for k in range(BANDS) for i, f in enumerate(half)]
+    rows = rows.select("id", "doc_id", "one", *least)
+    minima = [F.min(f"m{k}_{i}").alias(f"m{k}_{i}") for k in range(BANDS) for i in range(2)]
+    bands = F.array(*[F.xxhash64(F.lit(k), f"m{k}_0", f"m{k}_1") for k in range(BANDS)])
+    return rows.groupBy("id").agg(F.min("doc_id").alias("doc"), F.sum("one").alias("copies"), *minima).select("id", "doc", "copies", bands.alias("bands"))
 
 
 def _few(lines: DataFrame) -> DataFrame:
     """``id, bucket`` of the lines of ``FEW`` shingles or fewer: two whose sets differ in one shingle, or by
     one on either side, meet in a bucket. At a similarity of 0.8 no others of such sizes are near but
     those of equal sets, whose bands are equal."""
-    # a longer line has so few only if one of its first shingles comes again, and with it what they all share
-    shared, later = F.substring("line", FEW, SHINGLE + 1 - FEW), F.substring("line", FEW + 1, SHINGLE)
-    short = lines.select("id", "line").where((F.char_length("line") < SHINGLE + FEW) | F.contains(later, shared))
-    rows = _once(with_shingles(short, "line", "h").where(F.size("h").between(4, FEW)), "o", F.array_sort("h"))
-    rest = F.transform("o", lambda x: F.xxhash64(F.lit(MINIMA), F.array_remove("o", x)))
-    buckets = F.concat(F.array(F.xxhash64(F.lit(MINIMA), "o")), F.when(F.size("o") > 4, rest).otherwise(F.array().cast("array<bigint>")))
+    # a longer line has so few only if one of its first shingles comes again, and with it what they all
+    # share; likewise among its last
+    again = lambda part: F.contains(F.substring(part, FEW + 1, SHINGLE), F.substring(part, FEW, SHINGLE + 1 - FEW))
+    periodic = again(F.substring("line", 1, SHINGLE + FEW)) & again(F.right("line", F.lit(SHINGLE + FEW)))
+    short = lines.select("id", "line").where((F.char_length("line") < SHINGLE + FEW) | periodic)
+    rows = with_shingles(short, "line", "h").where(F.size("h").between(4, FEW)).select("id", F.sort_array("h").alias("o"))
+    rest = F.transform("o", lambda x: F.xxhash64(F.lit(BANDS), F.array_remove("o", x)))
+    buckets = F.concat(F.array(F.xxhash64(F.lit(BANDS), "o")), F.when(F.size("o") > 4, rest).otherwise(F.array().cast("array<bigint>")))
     return rows.select("id", F.explode(buckets).alias("bucket")).distinct()
 
 
+def _similar(x: Column, y: Column, similar: float) -> Column:
+    """Whether two sets have a Jaccard similarity of ``similar`` or more; sizes that rule it out are seen first."""
+    common = F.size(F.array_intersect(x, y))
+    sizes = F.least(F.size(x), F.size(y)) >= F.greatest(F.size(x), F.size(y)) * F.lit(similar)
+    return F.when(sizes, common >= (F.size(x) + F.size(y)) * F.lit(similar / (1 + similar)) - F.lit(1e-9)).otherwise(F.lit(False))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similar`` or more."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
     both = with_shingles(with_shingles(both, "s", "x"), "t", "y")
-    near = F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * F.lit(similar)
-    both = _once(both.where(near), "common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("common") >= (F.size("x") + F.size("y") - F.col("common")) * F.lit(similar)).select(*pairs.columns)
+    return both.where(_similar(F.col("x"), F.col("y"), similar)).select(*pairs.columns)
+
 
+def _renamed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with the ``component`` that ``names`` (``node, component``) has for theirs, where it has one;
+    ``near``, if there, becomes true of these."""
+    new = names.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    named = rows.join(new, rows["component"] == F.col("_node"), "left")
+    if "near" in rows.columns:
+        named = named.withColumn("near", F.col("near") | F.col("_component").isNotNull())
+    return named.withColumn("component", F.coalesce("_component", "component")).drop("_node", "_component")
 
-def _undecided(members: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
-    """``id, component, line`` of the lines of buckets in which, after the pivots, some pairs of lines are
-    neither compared nor in one component."""
-    named = members.join(joined, members["id"] == joined["node"], "left").withColumn("component", F.coalesce("component", "id"))
-    pivots = [f"p{k}" for k in range(PIVOTS)]
-    ends = named.groupBy(*pivots).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    open_ = ends.where(F.col("c0") != F.col("c1")).where(F.col("n") > 1 + F.size(F.array_distinct(F.array(*pivots)))).select(*pivots)
-    lines = named.join(sized(written(open_, "undecided-buckets")), pivots, "left_semi").groupBy("id").agg(F.min("component").alias("component"))
-    return written(lines.join(texts, "id"), "undecided-lines")
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (``bucket, id, component``) of buckets with lines of several components."""
+    ends = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    return rows.join(sized(written(ends.where("c0 <> c1").select("bucket"), "undecided-buckets")), "bucket", "left_semi")
+
+
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """``rows`` (``bucket, id, component``) with ``pivots``, up to ``MORE`` lines of the bucket, chosen by hashes."""
+    line = F.struct("id", "component")
+    picked = rows.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(line, F.xxhash64("id", F.lit(k))) for k in range(MORE)])).alias("pivots"))
+    return written(rows.join(sized(written(picked, "further-pivots")), "bucket"), "undecided-members")
 
 
 def _candidates(lines: DataFrame, similar: float) -> DataFrame:
@@ -106,25 +133,23 @@ def _candidates(lines: DataFrame, similar: float) -> DataFrame:
     With shingles in one order for all lines, rarest first, similar lines share one of their first
     ``size - similar * size + 1``; and at the first that they share, enough must be left in both.
     """
-    sets = with_shingles(lines, "line", "h").select("id", "component", "h", F.size("h").alias("k"))
-    one = sets.select("id", F.explode("h").alias("t"))
+    sets = written(with_shingles(lines, "line", "h"), "undecided-lines").withColumn("k", F.size("h"))
+    one = sets.select("id", "component", "k", F.explode("h").alias("t"))
     often = one.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    # shingles that no other line has come first; their number says enough
-    order = F.sort_array(F.collect_list(F.struct("f", "t")))
-    ranked = one.join(often, "t").groupBy("id").agg(order.alias("o")).join(sets.drop("h"), "id").withColumn("own", F.col("k") - F.size("o"))
-    n = F.col("k") - F.ceil(F.col("k") * F.lit(similar) - F.lit(1e-9)).cast("int") + 1
-    head = F.slice("o", F.lit(1), F.greatest(n - F.col("own"), F.lit(0)))
+    # shingles that no other line has would come first: places are counted from the end
+    commonest = Window.partitionBy("id").orderBy(F.desc("f"), F.desc("t"))
+    ranked = one.join(often, "t").withColumn("pos", F.col("k") - F.row_number().over(commonest))
+    heads = ranked.where(F.col("pos") <= F.col("k") - F.ceil(F.col("k") * F.lit(similar) - F.lit(1e-9))).select("id", "component", "k", "t", "pos")
     # the first shingles go along, so that of those that two lines share only one makes the pair
-    shared = F.when(F.size(head) <= CARRIED, F.transform(head, lambda e: e["t"]))
-    heads = ranked.select("id", "component", "k", "own", shared.alias("head"), F.posexplode(head).alias("pos", "e"))
-    heads = written(heads.select(F.col("e.t").alias("t"), "id", "component", "k", (F.col("pos") + F.col("own")).alias("pos"), "head"), "line-heads")
-    x, y = (heads.select("t", *[F.col(c).alias(f"{c}{side}") for c in heads.columns if c != "t"]) for side in "xy")
+    heads = heads.withColumn("head", F.sort_array(F.collect_list(F.struct("pos", "t")).over(Window.partitionBy("id")))["t"])
+    heads = written(heads.withColumn("head", F.when(F.size("head") <= CARRIED, F.col("head"))), "line-heads")
+    x, y = (heads.select(*[F.col(c).alias(f"{c}{side}") for c in heads.columns]) for side in "xy")
     small, large = F.least("kx", "ky"), F.greatest("kx", "ky")
     left = F.least(F.col("kx") - F.col("posx"), F.col("ky") - F.col("posy"))
     # the small slack keeps pairs that are similar by rounding only; they are verified exactly
     fits = (small >= large * F.lit(similar) - F.lit(1e-6)) & (left >= (F.col("kx") + F.col("ky")) * F.lit(similar / (1 + similar)) - F.lit(1e-6))
-    met = x.join(y, "t").where(F.col("componentx") < F.col("componenty")).where(fits)
-    met = met.where(F.coalesce(F.get(F.array_intersect("headx", "heady"), 0) == F.col("t"), F.lit(True)))
+    first = F.coalesce(F.get(F.array_intersect("headx", "heady"), 0) == F.col("tx"), F.lit(True))
+    met = x.join(y, (F.col("tx") == F.col("ty")) & (F.col("componentx") < F.col("componenty")) & fits & first)
     return met.select(F.col("idx").alias("a"), F.col("idy").alias("b"), F.col("componentx").alias("ca"), F.col("componenty").alias("cb")).distinct()
 
 
@@ -132,43 +157,45 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     """``_doc, _tag, gone``: for each document that loses lines, a flag a line (by number): it isn't the
     one that its component keeps. ``docs``: ``doc_id, tag, text``.
 
-    Exact copies of a line are one; its first place is the smallest (id, number). In each band's bucket
-    ``PIVOTS`` lines are pivots, the smallest and others by hashes, and every line of the bucket is
-    compared with them, which joins the large groups of near lines. The lines of buckets that still hold
-    several components are then compared across components, all that can be similar, so no pair that
-    meets in a band is left out.
+    Exact copies of a line are one; its first place is the smallest (id, number). Every line of a band's
+    bucket is compared with its pivot, the line of the smallest hash, which joins the large groups of near
+    lines; where the others are still of several components, with up to ``MORE`` further ones. The lines of
+    buckets that then hold several components are compared across components, all that can be similar,
+    so no pair that meets in a band is left out.
     """
     lines = lines_of(docs)
-    place = F.struct("doc_id", "tag", "n")
-    signed = lines.drop("line").groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
-    signed = written(signed, "distinct-lines")
-    banded = written(_banded(lines), "bands").select("id", F.explode("bands").alias("bucket"))
-    banded = banded.unionByName(written(_few(lines), "few"))
-    pivots = [F.min("id").alias("p0"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)]]
-    buckets = banded.groupBy("bucket").agg(F.max("id").alias("other"), *pivots).where("p0 <> other").drop("other")
-    members = written(banded.select("bucket", "id").join(sized(written(buckets, "buckets")), "bucket").drop("bucket"), "bucket-members")
-    wanted = members.select("id").distinct().join(signed.select("id", "first"), "id")
-    wanted = written(wanted.select(F.col("id").alias("_id"), "first"), "wanted-lines")
-    found = lines.join(sized(wanted), (F.col("id") == F.col("_id")) & (F.struct("doc_id", "tag", "n") == F.col("first")))
+    signed = written(_signed(lines), "distinct-lines")
+    banded = signed.select("id", F.explode("bands").alias("bucket")).unionByName(written(_few(lines), "few"))
+    buckets = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").drop("other")
+    members = written(banded.join(sized(written(buckets, "buckets")), "bucket"), "bucket-members")
+    wanted = members.select("id").distinct().join(signed.select("id", "doc"), "id")
+    wanted = written(wanted.select(F.col("id").alias("_id"), "doc"), "wanted-lines")
+    found = lines.join(sized(wanted), (F.col("id") == F.col("_id")) & (F.col("doc_id") == F.col("doc")))
     texts = written(found.select("id", "line").dropDuplicates(["id"]), "wanted-texts")
 
-    stars = members.select(F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"), "id").where("id <> p")
-    stars = stars.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     joined = written(components(_verified(stars, texts, similar)), "joined-lines")
-    more = _verified(_candidates(_undecided(members, joined, texts), similar), texts, similar)
-    merged = written(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged-components")
-    merged = merged.select(F.col("node").alias("_own"), F.col("component").alias("_merged"))
-
-    # the place that each class of lines keeps; classes of one place need no row
-    placed = signed.join(joined, signed["id"] == joined["node"], "left").select("id", "first", "copies", "component")
-    placed = placed.withColumn("own", F.coalesce("component", "id")).join(merged, F.col("own") == F.col("_own"), "left")
-    placed = placed.select("id", "first", "copies", F.coalesce("_merged", "component").alias("component"))
-    kept = placed.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-    contested = placed.where("component is not null").join(kept, "component").select("id", "keep")
-    contested = contested.unionByName(placed.where("component is null and copies > 1").select("id", F.col("first").alias("keep")))
-    contested = written(contested.select(F.col("id").alias("_id"), "keep"), "contested-lines")
+
+    # a pivot has been compared with all of its bucket, so only the others count there from then on
+    rest = _with_pivots(_open(_renamed(members.where("id <> pivot").select("bucket", "id", F.col("id").alias("component")), joined)))
+    stars = rest.select("id", "component", F.explode("pivots").alias("p")).where("p.component <> component")
+    stars = stars.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.component").alias("ca"), F.col("component").alias("cb")).distinct()
+    ends = [F.col("ca").alias("a"), F.col("cb").alias("b")]
+    merged = written(components(_verified(stars, texts, similar).select(*ends)), "merged-components")
+    left = rest.where(~F.array_contains(F.transform("pivots", lambda p: p["id"]), F.col("id"))).select("bucket", "id", "component")
+    left = _open(_renamed(left, merged)).groupBy("id").agg(F.min("component").alias("component")).join(texts, "id")
+    last = written(components(_verified(_candidates(left, similar), texts, similar).select(*ends)), "last-components")
+
+    # the lines that have several places or near ones, by the class that keeps one place
+    placed = signed.select("id", (F.col("copies") > 1).alias("near"), F.col("id").alias("component"))
+    for names in (joined, merged, last):
+        placed = _renamed(placed, names)
+    contested = written(placed.where("near").select(F.col("id").alias("_id"), F.col("component").alias("group")), "contested-lines")
     marked = lines.drop("line").join(sized(contested), F.col("id") == F.col("_id"))
-    gone = marked.where(F.struct("doc_id", "tag", "n") != F.col("keep"))
+    marked = written(marked.select("doc_id", "tag", "n", "group"), "contested-places")
+    place = F.struct("doc_id", "tag", "n")
+    kept = marked.groupBy("group").agg(F.min(place).alias("keep"))
+    gone = marked.join(sized(written(kept, "kept-places")), "group").where(place != F.col("keep"))
     numbers = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(F.sort_array(F.collect_list("n")).alias("numbers"))
     # flags up to the last line that goes: the differences of successive numbers say how many stay between
     steps = F.zip_with("numbers", F.concat(F.array(F.lit(-1)), F.slice("numbers", 1, F.size("numbers") - 1)), lambda a, b: F.concat(F.array_repeat(F.lit(False), a - b - 1), F.array(F.lit(True))))
@@ -180,12 +207,12 @@ def remove_repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     one at the smallest (doc_id, line number) stays.
 
     Lines are near if the Jaccard similarity of their shingle sets is ``similar`` or more; a pair of
-    similarity 0.8 meets in a band with probability 0.993, of 0.9 with 0.9998, and all that meet are decided. Blank lines always stay.
+    similarity 0.8 meets in a band with probability 0.994, of 0.9 with 0.9998, and all that meet are decided. Blank lines always stay.
     Null text: one empty line. Null id: such a row neither loses lines nor takes any. Rows that share an
     id and differ in text keep separate lines; equal rows lose the same ones. An empty table gives no
     rows; other columns are ignored. Lines are told apart by 64-bit hashes of their texts.
     """
-    rows, _ = keyed(docs)
+    rows = keyed(docs)
     return _without_lines(rows, similar).select("doc_id", "n_lines", "n_removed", "kept_text")
 
 
@@ -204,7 +231,7 @@ def _without_lines(rows: DataFrame, similar: float) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all their columns, with the text that stays; ``n_chars``, where there is one,
     follows. A row that loses lines and has none but blank ones left goes."""
-    rows, _ = keyed(docs, whole=True)
+    rows = keyed(docs, whole=True)
     left = _without_lines(rows, similar).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     cut = F.col("n_removed") > 0
     put = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("_row.text"))}

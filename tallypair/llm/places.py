@@ -115,20 +115,23 @@ def pairs_of(blob: bytes | None) -> np.ndarray:
     return np.frombuffer(blob, np.int32).reshape(2, -1) if blob else np.zeros((2, 0), np.int32)
 
 
-def keyed(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, int]:
-    """``doc_id, tag, text`` and the bytes of all texts. The tag is 0; rows that share an id have a hash
+def text_bytes(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc_id, tag, text``. The tag is 0; rows that share an id have a hash
     of their text instead, so that places in one are not taken for places in another. ``whole``: with all
     columns of the row in ``_row``."""
     row = [F.struct(*docs.columns).alias("_row")] if whole else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
     again = written(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if again.limit(1).count():
         rows = rows.join(sized(again), rows["doc_id"] == F.col("_again"), "left")
         tag = F.when(F.col("_again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
     else:
         tag = F.lit(0).cast("long")
-    return rows.select("doc_id", tag.alias("tag"), "text", *(["_row"] if whole else [])), size
+    return rows.select("doc_id", tag.alias("tag"), "text", *(["_row"] if whole else []))
 
 
 def in_ranges(blob: bytes | None, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized, written
-from .places import PLACES, as_batch, as_table, by_box, from_planes, in_ranges, keyed, pack, planes, ranges, unpack
+from .places import PLACES, as_batch, as_table, by_box, from_planes, in_ranges, keyed, pack, planes, ranges, text_bytes, unpack
 from .words import FIRST, SECOND, SPACED, slices, texts_of, windows_of, words_of
 
 ASK, RUN, FOUND = 0, 1, 2
@@ -194,7 +194,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, cuts: tuple[float,
     Rows that share an id don't take words from each other. Texts of fewer words than a window are
     kept. An empty table gives no rows; other columns are ignored.
     """
-    rows, size = keyed(docs)
+    rows = keyed(docs)
+    size = text_bytes(rows)
     boxes = LEAST_BOXES
     while boxes * BOX_BYTES < size:
         boxes *= 2

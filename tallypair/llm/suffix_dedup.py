@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized
-from .places import PLACES, as_batch, as_table, by_box, from_planes, keyed, pack, pairs_of, planes, ranges, unpack
+from .places import PLACES, as_batch, as_table, by_box, from_planes, keyed, pack, pairs_of, planes, ranges, text_bytes, unpack
 from .substring_dedup import pieces
 from .words import FIRST, mixed, texts_of
 
@@ -292,7 +292,8 @@ def remove_repeated_strings(docs: DataFrame, width: int = 50) -> DataFrame:
     Rows that share an id don't take bytes from each other. Shorter texts are kept whole. An empty table
     gives no rows; other columns are ignored.
     """
-    rows, size = keyed(docs)
+    rows = keyed(docs)
+    size = text_bytes(rows)
     boxes = LEAST_BOXES
     while boxes * BOX_BYTES < size:
         boxes *= 2
