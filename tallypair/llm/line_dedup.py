@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +18,13 @@ BANDS = 5
 #: Shingles that one row carries to the aggregate of minima.
 ABREAST = 4
 #: Lines of more first shingles don't carry them to the pairs; such pairs may be met more than once.
-CARRIED = 64
+CARRIED = 256
 #: Lines of at most so many shingles meet exactly, besides the bands.
 FEW = 9
+#: Words of 64 bits in a sketch of a line's shingles.
+SKETCH = 8
 #: Further pivots of the buckets that the first leaves with several components.
-MORE = 3
+MORE = 2
 
 
 def _long(k: int) -> int:
@@ -131,7 +136,8 @@ def _candidates(lines: DataFrame, similar: float) -> DataFrame:
     have a Jaccard similarity of ``similar``, and each once.
 
     With shingles in one order for all lines, rarest first, similar lines share one of their first
-    ``size - similar * size + 1``; and at the first that they share, enough must be left in both.
+    ``size - similar * size + 1``; and at the first that they share, enough must be left in both. Each
+    shingle turns a bit of a line's sketch, so at least as many shingles as bits differ.
     """
     sets = written(with_shingles(lines, "line", "h"), "undecided-lines").withColumn("k", F.size("h"))
     one = sets.select("id", "component", "k", F.explode("h").alias("t"))
@@ -142,13 +148,20 @@ def _candidates(lines: DataFrame, similar: float) -> DataFrame:
     heads = ranked.where(F.col("pos") <= F.col("k") - F.ceil(F.col("k") * F.lit(similar) - F.lit(1e-9))).select("id", "component", "k", "t", "pos")
     # the first shingles go along, so that of those that two lines share only one makes the pair
     heads = heads.withColumn("head", F.sort_array(F.collect_list(F.struct("pos", "t")).over(Window.partitionBy("id")))["t"])
-    heads = written(heads.withColumn("head", F.when(F.size("head") <= CARRIED, F.col("head"))), "line-heads")
+    word = F.shiftright("t", 6).bitwiseAND(F.lit(SKETCH - 1))
+    bit = F.expr("shiftleft(1L, cast(t & 63 as int))")
+    sketch = [f"s{i}" for i in range(SKETCH)]
+    sketches = one.groupBy("id").agg(*[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(sketch)])
+    heads = heads.withColumn("head", F.when(F.size("head") <= CARRIED, F.col("head"))).join(sketches, "id")
+    heads = written(heads, "line-heads")
     x, y = (heads.select(*[F.col(c).alias(f"{c}{side}") for c in heads.columns]) for side in "xy")
     small, large = F.least("kx", "ky"), F.greatest("kx", "ky")
     left = F.least(F.col("kx") - F.col("posx"), F.col("ky") - F.col("posy"))
     # the small slack keeps pairs that are similar by rounding only; they are verified exactly
     fits = (small >= large * F.lit(similar) - F.lit(1e-6)) & (left >= (F.col("kx") + F.col("ky")) * F.lit(similar / (1 + similar)) - F.lit(1e-6))
     first = F.coalesce(F.get(F.array_intersect("headx", "heady"), 0) == F.col("tx"), F.lit(True))
+    unlike = reduce(add, [F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in sketch])
+    fits = fits & (F.col("kx") + F.col("ky") - unlike >= (F.col("kx") + F.col("ky")) * F.lit(2 * similar / (1 + similar)) - F.lit(1e-6))
     met = x.join(y, (F.col("tx") == F.col("ty")) & (F.col("componentx") < F.col("componenty")) & fits & first)
     return met.select(F.col("idx").alias("a"), F.col("idy").alias("b"), F.col("componentx").alias("ca"), F.col("componenty").alias("cb")).distinct()
 
@@ -158,22 +171,25 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     one that its component keeps. ``docs``: ``doc_id, tag, text``.
 
     Exact copies of a line are one; its first place is the smallest (id, number). Every line of a band's
-    bucket is compared with its pivot, the line of the smallest hash, which joins the large groups of near
+    bucket is compared with its pivot, the line of the most copies, which joins the large groups of near
     lines; where the others are still of several components, with up to ``MORE`` further ones. The lines of
     buckets that then hold several components are compared across components, all that can be similar,
     so no pair that meets in a band is left out.
     """
     lines = lines_of(docs)
     signed = written(_signed(lines), "distinct-lines")
-    banded = signed.select("id", F.explode("bands").alias("bucket")).unionByName(written(_few(lines), "few"))
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").drop("other")
-    members = written(banded.join(sized(written(buckets, "buckets")), "bucket"), "bucket-members")
+    # near lines are mostly variants of a line with many copies; of equals, one that all bands choose
+    weight = F.shiftleft("copies", 32) + F.shiftrightunsigned("id", 32)
+    few = signed.join(sized(written(_few(lines), "few")), "id").select("id", weight.alias("weight"), "bucket")
+    banded = signed.select("id", weight.alias("weight"), F.explode("bands").alias("bucket")).unionByName(few)
+    buckets = banded.groupBy("bucket").agg(F.max_by("id", "weight").alias("pivot"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    members = written(banded.drop("weight").join(sized(written(buckets.select("bucket", "pivot"), "buckets")), "bucket"), "bucket-members")
     wanted = members.select("id").distinct().join(signed.select("id", "doc"), "id")
     wanted = written(wanted.select(F.col("id").alias("_id"), "doc"), "wanted-lines")
     found = lines.join(sized(wanted), (F.col("id") == F.col("_id")) & (F.col("doc_id") == F.col("doc")))
     texts = written(found.select("id", "line").dropDuplicates(["id"]), "wanted-texts")
 
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = members.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     joined = written(components(_verified(stars, texts, similar)), "joined-lines")
 
     # a pivot has been compared with all of its bucket, so only the others count there from then on
