@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only if its Parquet files hold no more than this many bytes.
@@ -16,6 +16,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_key() -> Column:
+    """Tells the rows of a table apart unless they are equal in id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def nested(docs: DataFrame) -> DataFrame:
+    """``_key, _row``: each row's ``row_key`` and, in one column, all of the row, so that no name of it
+    meets a name of ours."""
+    return docs.select(row_key().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, but for those whose key is in ``keys`` (``key``, from ``written``)."""
+    rows = nested(docs)
+    return rows.join(sized(keys), rows["_key"] == keys["key"], "left_anti").select("_row.*")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset, a new one, in local mode only."""
     sc = spark.sparkContext

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, sized, written
-from .quality import row_key
+from .common import bytes_of, row_key, sized, without, written
 from .words import FIRST, LETTERS, LOWER, slices, texts_of, words_of
 
 #: Test items are sent to the tasks in blocks whose Parquet files hold at most so many bytes.
@@ -22,10 +21,9 @@ MATCH = "item_id string, document_word long, item_word long, n_words long"
 FOUND = f"doc_id long, row long, n_words long, matches array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"
 
 
-class TestSuffixes:
+class ItemSuffixes:
     """The suffixes of some test items, cut to the window: word hashes (0 beyond the end) and lengths."""
 
-    __test__ = False
 
     def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.ids = sorted({i for i, _ in items}, key=lambda i: (i is not None, i or ""))
@@ -72,7 +70,7 @@ class SuffixArray:
     sorted: no other can be found by a search.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, tests: TestSuffixes, width: int):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, tests: ItemSuffixes, width: int):
         self.text, self.nth, (words,) = words_of(raw, offsets, LETTERS, LOWER)
         self.counts = np.bincount(self.text, minlength=len(offsets) - 1)
         left = self.counts[self.text] - self.nth if len(self.text) else self.nth
@@ -84,7 +82,7 @@ class SuffixArray:
         order = np.lexsort(prefix.T[::-1])
         self.starts, self.prefix = starts[order], prefix[order]
 
-    def _edge(self, tests: TestSuffixes, after: bool) -> np.ndarray:
+    def _edge(self, tests: ItemSuffixes, after: bool) -> np.ndarray:
         """Binary search of all test suffixes at once: the first place not before (or after) each."""
         low, high = np.zeros(len(tests.words), np.int64), np.full(len(tests.words), len(self.starts), np.int64)
         beyond = np.arange(tests.words.shape[1]) >= tests.length[:, None]
@@ -101,7 +99,7 @@ class SuffixArray:
             high[todo[~before]] = middle[~before]
         return low
 
-    def search(self, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, tests: ItemSuffixes) -> tuple[np.ndarray, np.ndarray]:
         """Every (test suffix, word of the shard at which its window occurs)."""
         low = self._edge(tests, False)
         count = self._edge(tests, True) - low
@@ -110,7 +108,7 @@ class SuffixArray:
         return suffix, self.starts[low[suffix] + inside]
 
 
-def _longest(array: SuffixArray, tests: TestSuffixes) -> tuple[np.ndarray, ...]:
+def _longest(array: SuffixArray, tests: ItemSuffixes) -> tuple[np.ndarray, ...]:
     """Longest verbatim matches: windows that follow each other in a document and an item joined.
     Arrays by document: text, item, word of the document, word of the item, words."""
     suffix, place = array.search(tests)
@@ -135,7 +133,7 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) ->
 
     def block(k: int) -> DataFrame:
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast(TestSuffixes([(r.item_id, r.text) for r in part.collect()], width))
+        sent = spark.sparkContext.broadcast(ItemSuffixes([(r.item_id, r.text) for r in part.collect()], width))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tests = sent.value
@@ -196,12 +194,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose text holds no window of a test item."""
-    blocks = verbatim_matches(docs, benchmark, width)
+    """The rows of ``docs``, all their columns, whose text holds no window of a test item. Null, empty and
+    wordless texts stay; very long ones are searched whole; repeated rows go or stay together; rows that
+    share an id, or have none, are judged each by its own text. An empty table gives no rows, an empty
+    benchmark keeps all; columns of any other name pass unchanged."""
     hit = None
-    for x in blocks:
-        own = x.where(F.size("matches") > 0).select(F.col("row").alias("_hit"))
+    for x in verbatim_matches(docs, benchmark, width):
+        own = x.where(F.size("matches") > 0).select(F.col("row").alias("key"))
         hit = own if hit is None else hit.unionByName(own)
-    hit = written(hit.distinct(), "contaminated")
-    marked = docs.withColumn("_row", row_key())
-    return marked.join(sized(hit), F.col("_row") == F.col("_hit"), "left_anti").select(*docs.columns)
+    return without(docs, written(hit.distinct(), "contaminated"))

@@ -246,7 +246,9 @@ def _without_lines(rows: DataFrame, similar: float) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all their columns, with the text that stays; ``n_chars``, where there is one,
-    follows. A row that loses lines and has none but blank ones left goes."""
+    follows. A row that loses lines and has none but blank ones left goes; null, empty and blank texts
+    stay as they are. Lines are near as in ``remove_repeated_lines``, which says what rows without an id,
+    repeated rows and shared ids do. An empty table gives no rows; other columns pass unchanged."""
     rows = keyed(docs, whole=True)
     left = _without_lines(rows, similar).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     cut = F.col("n_removed") > 0

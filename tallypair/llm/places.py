@@ -123,7 +123,7 @@ def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``doc_id, tag, text``. The tag is 0; rows that share an id have a hash
     of their text instead, so that places in one are not taken for places in another. ``whole``: with all
     columns of the row in ``_row``."""
-    row = [F.struct(*docs.columns).alias("_row")] if whole else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
     again = written(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
     if again.limit(1).count():

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import row_key, sized, without, written
 
 #: Byte classes whose shares are statistics.
 SYMBOLS, STOPS, SENTENCE = b"!#$%&*+/<=>@[\\]^_`{|}~", b".,;:?'\"()-", b".!?"
@@ -69,11 +69,6 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def row_key() -> F.Column:
-    """Tells the rows of a table apart unless they are equal in id and text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
 def document_statistics(docs: DataFrame) -> DataFrame:
     """``doc_id, row, x`` with the statistics of every whole text; one narrow pass."""
 
@@ -88,7 +83,8 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Per class: log prior, mean, Cholesky factor of the shrunken covariance, its log determinant."""
+    """Per class: log prior, mean, inverse of the Cholesky factor of the shrunken covariance, the log
+    determinant of the covariance."""
 
     parts: tuple[tuple[float, np.ndarray, np.ndarray, float], ...] | None
     flat: float
@@ -98,8 +94,8 @@ class Discriminant:
         if self.parts is None or not len(x):
             return np.full(len(x), self.flat)
         logs = []
-        for prior, mean, factor, log_det in self.parts:
-            z = np.linalg.solve(factor, (x - mean).T)
+        for prior, mean, unmix, log_det in self.parts:
+            z = unmix @ (x - mean).T
             logs.append(prior - 0.5 * (log_det + (z * z).sum(0)))
         return 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / self.temper, -36, 36)))
 
@@ -139,7 +135,7 @@ def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.15, ridge: float
     parts = []
     for c in (0, 1):
         factor = np.linalg.cholesky((1 - shrink) * covs[c] + shrink * pooled + ridge * np.eye(p))
-        parts.append((float(np.log(n[c] / n.sum())), means[c], factor, float(2 * np.log(np.diag(factor)).sum())))
+        parts.append((float(np.log(n[c] / n.sum())), means[c], np.linalg.inv(factor), float(2 * np.log(np.diag(factor)).sum())))
     return Discriminant(tuple(parts), float(n[1] / n.sum()), temper)
 
 
@@ -173,7 +169,9 @@ def _scored(docs: DataFrame, labels: DataFrame, cut: float) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all their columns, that the classifier doesn't reject."""
-    poor = written(_scored(docs, labels, cut).where("predicted = 0").select(F.col("row").alias("_poor")).distinct(), "rejected")
-    marked = docs.withColumn("_row", row_key())
-    return marked.join(sized(poor), F.col("_row") == F.col("_poor"), "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all their columns, that the classifier doesn't reject, scored as by
+    ``quality_scores``: null, empty and very long texts by their statistics like any other, repeated rows
+    alike, rows that share an id each by its own text. A row with a null id is judged too. An empty
+    table gives no rows; columns of any other name pass unchanged."""
+    poor = written(_scored(docs, labels, cut).where("predicted = 0").select(F.col("row").alias("key")).distinct(), "rejected")
+    return without(docs, poor)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, sized, written
+from .common import components, nested, row_key, sized, written
 
 #: Fingerprints that a shard should hold on average, and that one tree or one row of queries holds.
 SHARD, TREE = 64, 1024
@@ -38,14 +38,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a long) of every whole text; one narrow pass."""
+    """``doc_id, row, fp`` (the key of the row; the fingerprint's bits as a long) of every whole text; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -181,25 +181,35 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     columns are ignored. Documents come down to distinct fingerprints before any search, so exact
     copies cost nothing; within a shard's cluster of n fingerprints fewer than n links go on.
     """
+    out = _in_components(docs, radius)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _in_components(docs: DataFrame, radius: int) -> DataFrame:
     rows = written(fingerprints(docs), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     joined = components(near_links(prints.select("fp"), radius))
     named = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = written(named, "named-fingerprints")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(named.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id"), "fingerprint-components")
-    out = rows.join(sized(named), rows["fp"] == F.col("_fp"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(named.join(ids, "component").select(F.col("fp").alias("_fp"), "component", "component_id"), "fingerprint-components")
+    return rows.join(sized(named), rows["fp"] == F.col("_fp")).drop("_fp")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of ``docs``, all their columns, with the smallest id of their component, one row an id;
-    rows with a null id, whose order isn't known, all stay."""
-    near = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_near")).distinct()
-    kept = docs.join(sized(written(near, "near-copies")), F.col("doc_id").cast("long") == F.col("_near"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    again = written(again, "repeated")
-    if not again.limit(1).count():
-        return kept
-    own = F.col("doc_id") == F.col("_again")
-    return kept.join(sized(again), own, "left_anti").unionByName(kept.join(sized(again), own, "left_semi").dropDuplicates(["doc_id"]))
+    """The rows of ``docs``, all their columns, but for near copies: of each component the row of the
+    smallest id stays (of those that share it, the one of the smallest hash). Rows with a null id, whose
+    order isn't known, all stay. Rows that share an id but not a component each stay; of repeated rows
+    one does. Null, empty and wordless texts are near each other. An empty table gives no rows; columns
+    of any other name pass unchanged."""
+    known = written(_in_components(docs, radius).where("doc_id is not null").select("component", F.struct("doc_id", "row").alias("place")), "places")
+    first = known.groupBy("component").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = known.join(sized(written(first.select("component", "first"), "first-places")), "component")
+    gone = written(met.where("place <> first").select("place.row").distinct(), "near-copies")
+    again = written(met.where("place = first").groupBy("place.row").count().where("count > 1").select("row"), "repeated")
+    rows = nested(docs)
+    rows = rows.join(sized(gone), rows["_key"] == gone["row"], "left_anti")
+    if again.limit(1).count():
+        own = rows["_key"] == again["row"]
+        rows = rows.join(sized(again), own, "left_anti").unionByName(rows.join(sized(again), own, "left_semi").dropDuplicates(["_key"]))
+    return rows.select("_row.*")
