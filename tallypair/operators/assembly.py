@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallypair.functions.parse import seeded
+from tallypair.operators.sampling import seeded_rank
 
 PAIR = ["category", "id1", "status1", "id2", "status2"]
 
@@ -34,11 +35,13 @@ def catalogue_join(products: DataFrame, images: DataFrame) -> DataFrame:
 
 def survey_answers(wide: DataFrame, comparisons: DataFrame, id_column: str = "participant_id") -> DataFrame:
     """Answers of a wide export, columns ``<number>_Q7``, joined with the comparison of that number.
-    Top is choice 1, Bottom 2, all else is dropped, as are numbers without a comparison."""
+    Top is choice 1, Bottom 2; all else is dropped, the export's two rows of question texts and import ids
+    among it, as are numbers without a comparison. ``mode``: ``within`` if comparisons are of one strategy."""
+    mode = F.lit("within" if "strategy" in comparisons.columns else "across").alias("mode")
     asked = [c for c in wide.columns if "_Q7" in c and c.split("_")[0].isdigit()]
     each = [F.struct(F.lit(int(c.split("_")[0])).alias("number"), F.col(f"`{c}`").alias("answer")) for c in asked]
     rows = wide.select(id_column, F.inline(F.array(*each))).withColumn("choice", F.when(F.col("answer") == "Top", 1).when(F.col("answer") == "Bottom", 2))
-    return rows.where("choice is not null").drop("answer").join(comparisons, "number")
+    return rows.where("choice is not null").drop("answer").join(comparisons, "number").select("*", mode)
 
 
 def nearest_config(files: DataFrame, configs: DataFrame, most: int = 5) -> DataFrame:
@@ -60,8 +63,7 @@ def sample_per_category(rows: DataFrame, most: int, key: str, category: str, by:
     """Within each group of ``by`` that has more than ``most`` rows: the first ``most // categories`` of
     each category in seeded order; other groups stay whole."""
     counts = rows.groupBy(*by, category).agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("categories"))
-    order = Window.partitionBy(*by, category).orderBy(seeded(seed, key), key)
-    ranked = rows.join(counts, by).withColumn("rank", F.row_number().over(order))
+    ranked = seeded_rank(rows.join(counts, by), [*by, category], seed, key)
     return ranked.where((F.col("total") <= most) | (F.col("rank") <= F.floor(F.lit(most) / F.col("categories")))).select(*rows.columns)
 
 
@@ -73,8 +75,7 @@ def sample_folders(rows: DataFrame, folders: int, images: int, folder: str, key:
     kept = rows.join(names, folder, "left_semi").select(*rows.columns)
     if images < 0:
         return kept
-    order = Window.partitionBy(folder).orderBy(seeded(seed, key), key)
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= images).drop("rank")
+    return seeded_rank(kept, [folder], seed, key).where(F.col("rank") <= images).drop("rank")
 
 
 def density_allotment(rows: DataFrame, n: int, key: str, by: str, label: str, seed: int = 42) -> DataFrame:
@@ -85,8 +86,7 @@ def density_allotment(rows: DataFrame, n: int, key: str, by: str, label: str, se
     shares = sizes.withColumn("allot", F.least(F.bround(F.lit(float(n)) * F.col("size") / F.sum("size").over(own)).cast("long"), F.col("size")))
     before = own.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     shares = shares.withColumn("allot", F.least("allot", F.greatest(F.lit(n) - F.coalesce(F.sum("allot").over(before), F.lit(0)), F.lit(0)))).drop("size")
-    order = Window.partitionBy(by, label).orderBy(seeded(seed, key), key)
-    return rows.join(shares, [by, label]).withColumn("rank", F.row_number().over(order)).where("rank <= allot").select(*rows.columns)
+    return seeded_rank(rows.join(shares, [by, label]), [by, label], seed, key).where("rank <= allot").select(*rows.columns)
 
 
 def assign_participants(pairs: DataFrame, n: int, key: str, category: str, seed: int = 42) -> DataFrame:
@@ -95,13 +95,12 @@ def assign_participants(pairs: DataFrame, n: int, key: str, category: str, seed:
     sizes = pairs.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
     whole = sizes.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count(F.lit(1)).alias("categories"))
     place = sizes.withColumn("place", F.row_number().over(Window.orderBy(seeded(seed, category), category))).drop("n")
-    rows = pairs.join(F.broadcast(place), category).crossJoin(F.broadcast(whole))
-    rank = F.row_number().over(Window.partitionBy(category).orderBy(seeded(seed, key), key))
+    rows = seeded_rank(pairs.join(place, category).crossJoin(F.broadcast(whole)), [category], seed, key)
     each = F.greatest(F.floor(F.lit(n) / F.col("least")), F.lit(1))
     by_category = F.when(F.col("rank") <= F.col("least"), F.floor((F.col("place") - 1) / each) + 1)
     spread = F.floor((F.col("rank") - 1) / F.greatest(F.floor(F.lit(n) / F.col("categories")), F.lit(1))) + 1
     blocks = (F.col("least") < n) & (F.col("least") * F.col("categories") > n)
-    out = rows.withColumn("rank", rank).withColumn("participant", F.when(blocks, by_category).otherwise(spread).cast("long"))
+    out = rows.withColumn("participant", F.when(blocks, by_category).otherwise(spread).cast("long"))
     return out.where(F.col("participant") <= F.floor(F.col("total") / n)).select(*pairs.columns, "participant")
 
 

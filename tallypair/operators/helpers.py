@@ -120,22 +120,20 @@ def cut(n: int, tree: list[tuple[float, int, int]], clusters: int) -> np.ndarray
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def hierarchical_levels(rows: DataFrame, group: list[str], item: str, linkage: str = "ward", most: int = 1000) -> DataFrame:
-    """``group, item, block, level, cluster_id``: an agglomerative tree of each group cut at n/2, n/4, ..., 1
+def hierarchical_levels(rows: DataFrame, group: list[str], item: str, linkage: str = "ward", most: int = 8000) -> DataFrame:
+    """``group, item, level, cluster_id``: one agglomerative tree of each group cut at n/2, n/4, ..., 1
     clusters, items in their order; one item is level 1, cluster 0. Rows without a vector go. A tree needs
-    all distances of its items, so a group over ``most`` items is dealt by hash to blocks of about half
-    that, a tree each, and no task's matrix grows with the data."""
+    all distances of its items, so a group of more than ``most`` items fails the job: another tree would
+    be another result."""
     rows = rows.where(F.col("embedding").isNotNull()).select(*group, item, "embedding")
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") * 2 / most))
-    block = F.conv(F.substring(seeded(42, item), 1, 8), 16, 10).cast("long") % blocks
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group, item).schema)
 
     def levels(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > most:
+            raise ValueError(f"a group has {len(part)} items; a tree takes {most} at most")
         part = part.sort_values(item, ignore_index=True)
         tree = merges(np.stack(part["embedding"].tolist()).astype(float), linkage)
         counts = dict.fromkeys(-(-len(part) // 2**k) for k in range(1, 63))
-        return pd.concat([part[[*group, item, "block"]].assign(level=level, cluster_id=cut(len(part), tree, k)) for level, k in enumerate(counts, 1)])
+        return pd.concat([part[[*group, item]].assign(level=level, cluster_id=cut(len(part), tree, k)) for level, k in enumerate(counts, 1)])
 
-    dealt = rows.join(sizes, group).withColumn("block", block).drop("n")
-    return dealt.groupBy(*group, "block").applyInPandas(levels, f"{kinds}, block long, level int, cluster_id long")
+    return rows.groupBy(*group).applyInPandas(levels, f"{kinds}, level int, cluster_id long")

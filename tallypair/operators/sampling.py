@@ -8,45 +8,62 @@ from pyspark.sql import functions as F
 from tallypair.functions.parse import seeded
 
 
-def balanced_sample(pairs: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """If there are more than ``most`` pairs (and it is positive): of each pair of statuses the first
-    ``most // groups`` in seeded order; no redistribution, and maybe none.
+def seeded_rank(rows: DataFrame, by: list[str], seed: int, *keys: str) -> DataFrame:
+    """``rows`` with ``rank`` (from 1) in the seeded order of their group (nulls a group of their own).
 
-    Few groups hold all pairs, so a window over them all would have few tasks: counts come first, then a
-    hash threshold of twice the quota, and the window ranks what is left (all of a group whose
-    threshold leaves too few can't be: such a group keeps a threshold of 1 below 1000 rows a quota).
+    A group may hold most rows, so no window takes one whole: rows are ranked within a slot of the hash,
+    to which the group's earlier slots, counted before, are added.
     """
+    hashed = rows.withColumn("_at", seeded(seed, *keys)).withColumn("_slot", F.substring("_at", 1, 3))
+    counts = hashed.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_slot").alias("_own")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*[f"_by{i}" for i in range(len(by))]).orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    same = F.col("_slot") == F.col("_own")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    order = Window.partitionBy(*by, "_slot").orderBy("_at", *keys)
+    ranked = hashed.join(before, same).withColumn("rank", F.col("_before") + F.row_number().over(order))
+    return ranked.select(*rows.columns, "rank")
+
+
+def balanced_sample(pairs: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """If there are more than ``most`` pairs (and it is positive): of each pair of statuses the first
+    ``most // groups`` in seeded order; no redistribution, and maybe none."""
     if most <= 0:
         return pairs
     a, b = F.least("status1", "status2").alias("type1"), F.greatest("status1", "status2").alias("type2")
     counts = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("there"))
     whole = counts.agg(F.sum("there").alias("total"), F.count(F.lit(1)).alias("groups"))
-    quota = counts.crossJoin(whole).withColumn("quota", F.when(F.col("total") > most, F.floor(F.lit(most) / F.col("groups"))).otherwise(F.col("there")))
-    rows = pairs.withColumns({"type1": a, "type2": b}).join(quota, ["type1", "type2"]).withColumn("at", seeded(seed, "base1", "base2"))
-    share = F.when(F.col("quota") < 1000, F.lit(1.0)).otherwise(F.lit(2.0) * F.col("quota") / F.col("there"))
-    early = F.conv(F.substring("at", 1, 8), 16, 10).cast("double") / float(1 << 32) <= share
-    order = Window.partitionBy("type1", "type2").orderBy("at", "base1", "base2")
-    return rows.where(early).withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("quota")).select(*pairs.columns)
+    quota = whole.select(F.when(F.col("total") > most, F.floor(F.lit(most) / F.col("groups"))).alias("quota"))
+    ranked = seeded_rank(pairs.withColumns({"type1": a, "type2": b}), ["type1", "type2"], seed, "base1", "base2")
+    return ranked.crossJoin(F.broadcast(quota)).where(F.col("quota").isNull() | (F.col("rank") <= F.col("quota"))).select(*pairs.columns)
 
 
-def sample_n_per_group(rows: DataFrame, n: int, by: list[str], key: str, seed: int = 42) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(seeded(seed, key), key)
-    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n")
+def sample_n_per_group(rows: DataFrame, n: int, by: list[str], key: str, seed: int = 42, total: bool = False, strict: bool = False) -> DataFrame:
+    """The first ``n`` rows of each group in seeded order; ``total``: ``n`` is shared out evenly, rounded
+    down. ``strict``: a group that has fewer fails the job, as a draw of a fixed size does."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("there"))
+    share = F.floor(F.lit(n) / F.count(F.lit(1))) if total else F.lit(n)
+    quota = sizes.agg(share.cast("long").alias("quota"), F.min("there").alias("least"))
+    if strict:
+        quota = quota.select(F.when(F.col("least") >= F.col("quota"), F.col("quota")).otherwise(F.raise_error(F.lit("a group has too few rows")).cast("long")).alias("quota"))
+    return seeded_rank(rows, by, seed, key).crossJoin(F.broadcast(quota.select("quota"))).where("rank <= quota").select(*rows.columns)
 
 
-def band_filter(rows: DataFrame, columns: tuple[str, ...], width: float = 0.5) -> DataFrame:
-    """Rows within ``width`` sample deviations of the mean of every column, statistics over all rows."""
+def band_filter(rows: DataFrame, columns: tuple[str, ...], width: float = 0.5, most: int | None = None, key: str | None = None, seed: int = 42) -> DataFrame:
+    """Rows within ``width`` sample deviations of the mean of every column, statistics over all rows; of
+    more than ``most``, the first in the seeded order of ``key``."""
     stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
     inside: Column = F.lit(True)
     for c in columns:
         inside &= F.abs(F.col(c) - F.col(f"mean_{c}")) <= F.col(f"sd_{c}") * F.lit(width)
-    return rows.crossJoin(F.broadcast(stats)).where(inside).select(*rows.columns)
+    kept = rows.crossJoin(F.broadcast(stats)).where(inside).select(*rows.columns)
+    return kept if most is None else kept.orderBy(seeded(seed, key), key).limit(most)
 
 
 def partition_into_sets(rows: DataFrame, size: int, by: list[str], key: str, seed: int = 42) -> DataFrame:
     """Shuffle each task's rows and cut them into sets of ``size``."""
-    order = Window.partitionBy(*by).orderBy(seeded(seed, key), key)
-    return rows.withColumn("set_number", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    return seeded_rank(rows, by, seed, key).withColumn("set_number", F.floor((F.col("rank") - 1) / size).cast("long")).drop("rank")
 
 
 def repeat_tasks(rows: DataFrame, times: int) -> DataFrame:

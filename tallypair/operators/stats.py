@@ -40,12 +40,13 @@ def clustered_se(long: DataFrame, cells: list[str], margin: list[str], cluster:
     return out.select(*margin, "emm", F.sqrt(F.col("s2") * F.col("factor")).alias("se"))
 
 
-def contrasts(long: DataFrame, cells: list[str], focal: str, by: list[str], levels: list[str], cluster: str = "pair_id") -> DataFrame:
-    """All later-minus-earlier differences of the focal levels within ``by``: estimate and clustered SE.
+def contrasts(long: DataFrame, cells: list[str], focal: str, by: list[str], levels: list[str], cluster: str = "pair_id", pairwise: bool = False) -> DataFrame:
+    """All differences of the focal levels within ``by``, later minus earlier or, ``pairwise``, earlier minus
+    later: estimate and clustered SE.
     A cluster's scores are one row, a column a level, so no self-join."""
     scores = _scores(long, cells, [focal, *by], cluster).groupBy(cluster, *by).pivot(focal, levels).agg(F.sum("u"))
     means = marginal_means(cell_means(long, cells), [focal, *by]).groupBy(*by).pivot(focal, levels).agg(F.first("emm"))
-    pairs = [(a, b) for i, a in enumerate(levels) for b in levels[i + 1 :]]
+    pairs = [(b, a) if pairwise else (a, b) for i, a in enumerate(levels) for b in levels[i + 1 :]]
     u = lambda x: F.coalesce(F.col(f"`{x}`"), F.lit(0.0))
     square = scores.groupBy(*by).agg(*[F.sum((u(b) - u(a)) * (u(b) - u(a))).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
     rows = means.join(square, by).crossJoin(_factor(long, cells, cluster))

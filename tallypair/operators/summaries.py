@@ -46,15 +46,11 @@ def set_task_counts(sets: DataFrame, tasks: list[str]) -> DataFrame:
     return wide.withColumn("total", total)
 
 
-def differences_by_category(rows: DataFrame, key: str = "base", most: int = 100) -> DataFrame:
-    """``category, block, n, differences``: bulleted texts of a category for a summarizer. A large category
-    is dealt by hash to blocks of about ``most`` rows, so no text grows with the data."""
-    sizes = rows.groupBy("category").agg(F.count(F.lit(1)).alias("there"))
-    block = F.conv(F.substring(seeded(42, key), 1, 8), 16, 10).cast("long") % F.ceil(F.col("there") / F.lit(most))
-    said = F.array_sort(F.collect_list(F.struct(key, "differences")))
-    each = rows.join(sizes, "category").withColumn("block", block).groupBy("category", "block").agg(said.alias("said"))
+def differences_by_category(rows: DataFrame, key: str = "base") -> DataFrame:
+    """``category, n, differences``: the bulleted text of a category for a summarizer, one whatever its size."""
+    said = rows.groupBy("category").agg(F.array_sort(F.collect_list(F.struct(key, "differences"))).alias("said"))
     text = F.array_join(F.transform("said", lambda x: F.concat(F.lit("- "), x["differences"])), "\n")
-    return each.select("category", "block", F.size("said").cast("long").alias("n"), text.alias("differences"))
+    return said.select("category", F.size("said").cast("long").alias("n"), text.alias("differences"))
 
 
 def themes_by_category(rows: DataFrame, themes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallypair.functions.parse import seeded
+
 
 def collapse_orders(judgements: DataFrame, keys: list[str]) -> DataFrame:
     """Two judgements, one in each order, to a verdict: the item that both chose (A or B), else
@@ -26,7 +28,9 @@ def collapse_orders(judgements: DataFrame, keys: list[str]) -> DataFrame:
 
 def judge_panel(judgements: DataFrame, tie: str = "A") -> DataFrame:
     """Winner by the consistent judges' votes, score = its votes / consistent judges; 0.5 and the tie rule
-    if none or equal. Feedback: the winner's A-first reasons by judge."""
+    if none or equal: A, B, or ``random``, which the hash of the contest's id decides. Feedback: the winner's
+    A-first reasons by judge."""
+    tied = F.when(F.conv(F.substring(seeded(42, "contest_id"), 1, 1), 16, 10).cast("int") % 2 == 0, "A").otherwise("B") if tie == "random" else F.lit(tie)
     each = collapse_orders(judgements, ["contest_id", "judge_id"]).join(
         judgements.where("is_a_first").select("contest_id", "judge_id", F.col("reason").alias("said")), ["contest_id", "judge_id"]
     )
@@ -35,7 +39,7 @@ def judge_panel(judgements: DataFrame, tie: str = "A") -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("choice") != "inconsistent", F.struct("judge_id", "choice", "said")))).alias("said"),
     )
     n = F.col("a") + F.col("b")
-    winner = F.when(F.col("a") > F.col("b"), "A").when(F.col("b") > F.col("a"), "B").otherwise(tie)
+    winner = F.when(F.col("a") > F.col("b"), "A").when(F.col("b") > F.col("a"), "B").otherwise(tied)
     out = votes.withColumn("winner", winner).withColumn("score", F.when(n == 0, F.lit(0.5)).otherwise(F.greatest("a", "b") / n))
     texts = F.transform(F.filter("said", lambda x: x["choice"] == F.col("winner")), lambda x: x["said"])
     feedback = F.when(n == 0, "No consistent preference detected.").otherwise(F.array_join(texts, "\n"))

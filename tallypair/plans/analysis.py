@@ -40,12 +40,10 @@ def differences(get: Get) -> DataFrame:
     return get("items").selectExpr("task AS category", "base", "concat(image_class, ' differs in ', status) AS differences")
 
 
-BULLETS = f"""(WITH d AS (SELECT task AS category, base, concat(image_class, ' differs in ', status) AS differences FROM {sql('items')}),
-b AS (SELECT *, CAST('0x' || substr(md5('42|' || base), 1, 8) AS BIGINT) % CAST(ceil(CAST(there AS DOUBLE) / 100) AS BIGINT) AS block FROM d JOIN (SELECT category, count(*) AS there FROM d GROUP BY category) USING (category))
-SELECT category, block, count(*) AS n, string_agg('- ' || differences, chr(10) ORDER BY base) AS differences FROM b GROUP BY category, block)"""
+BULLETS = f"""(SELECT task AS category, count(*) AS n, string_agg('- ' || concat(image_class, ' differs in ', status), chr(10) ORDER BY base) AS differences FROM {sql('items')} GROUP BY task)"""
 add("a13_differences_by_category", lambda g: summaries.differences_by_category(differences(g)), f"SELECT * FROM {BULLETS}")
-add("a13_themes_by_category", lambda g: summaries.themes_by_category(differences(g), summaries.differences_by_category(differences(g)).groupBy("category").agg(F.md5(F.max("differences")).alias("themes"))), f"""
-SELECT task AS category, base, concat(image_class, ' differs in ', status) AS differences, themes FROM {sql('items')} JOIN (SELECT category, md5(max(differences)) AS themes FROM {BULLETS} GROUP BY category) t ON t.category = task""")
+add("a13_themes_by_category", lambda g: summaries.themes_by_category(differences(g), summaries.differences_by_category(differences(g)).select("category", F.md5("differences").alias("themes"))), f"""
+SELECT task AS category, base, concat(image_class, ' differs in ', status) AS differences, themes FROM {sql('items')} JOIN (SELECT category, md5(differences) AS themes FROM {BULLETS}) t ON t.category = task""")
 
 # --- statistics ----------------------------------------------------------------------------------
 HUMAN = """(SELECT participant_id, pair_id % 701 AS pair, strategy, image1_status AS type, CAST(choice = 1 AS INTEGER) AS chosen FROM {0} UNION ALL SELECT participant_id, pair_id % 701, strategy, image2_status, CAST(choice = 2 AS INTEGER) FROM {0})""".format(sql("responses"))
@@ -172,8 +170,8 @@ SELECT pair_id, CASE WHEN right(base1, 1) = right(base2, 1) THEN 'inconsistent'
   CAST(2 AS BIGINT) AS completion_tokens, CAST(4 AS BIGINT) AS prompt_tokens, CAST(6 AS BIGINT) AS total_tokens, CAST(0 AS BIGINT) AS reasoning_tokens FROM {sql('verdicts')}""")
 add("u2_encode", lambda g: user.encode(g("verdicts"), load_encoder, ["pair_id"], "base1").selectExpr("pair_id", "embedding[0] AS x", "embedding[1] AS y"), f"""
 SELECT pair_id, CAST(length(base1) AS DOUBLE) AS x, CAST(length(base1) - length(replace(base1, '_', '')) AS DOUBLE) AS y FROM {sql('verdicts')}""")
-add("u3_summarize_clusters", lambda g: user.summarize_clusters(clustered(g).where("level = 1").groupBy("grp", "cluster_id").agg(F.collect_list("text").alias("texts")), load_summarizer, ["grp", "cluster_id"]), f"""
-SELECT grp, cluster_id, count(*) || ' from ' || min(text) AS summary FROM {LABELS} WHERE level = 1 GROUP BY grp, cluster_id""")
+add("u3_summarize_clusters", lambda g: user.summarize_clusters(summaries.cluster_sources(clustered(g), told(g), ["grp"], "item").groupBy("grp", "level", "cluster_id").agg(F.collect_list("source").alias("texts")), load_summarizer, ["grp", "level", "cluster_id"]), f"""
+SELECT grp, level, cluster_id, count(*) || ' from ' || min(source) AS summary FROM ({ORACLES["t4_cluster_sources"]}) GROUP BY grp, level, cluster_id""")
 
 
 # --- numpy helpers: compared with plain computations in the tests ---------------------------------

@@ -70,7 +70,8 @@ def wide_export(get: Get) -> DataFrame:
 
 
 def comparisons(get: Get) -> DataFrame:
-    return get("head2head").where("pair_id < 4").selectExpr("CAST(pair_id + 1 AS INT) AS number", "strategy1", "strategy2")
+    rows = get("head2head").groupBy(F.expr("CAST(pair_id % 5 + 1 AS INT)").alias("number"))
+    return rows.agg(F.min_by(F.struct("strategy1", "strategy2"), F.struct("pair_id", "strategy1", "strategy2")).alias("s")).select("number", "s.*")
 
 
 add("j12_resume_iteration", lambda g: assembly.resume_iteration(debiased(g), 4), f"""
@@ -118,5 +119,5 @@ add("k12_model_order", lambda g: rounded(assembly.model_order(stats.marginal_mea
 SELECT model, round(emm, 6) AS emm, row_number() OVER (ORDER BY emm DESC, model) AS place FROM (SELECT model, avg(cell_mean) AS emm FROM {CELL_SQL} WHERE strategy = 'competition' GROUP BY model)""")
 add("j8_survey_answers", lambda g: assembly.survey_answers(wide_export(g), comparisons(g)), f"""
 WITH w AS (SELECT participant_id, number, max(CASE WHEN pair_id % 3 = 0 THEN 'Top' WHEN pair_id % 3 = 1 THEN 'Bottom' ELSE '' END) AS answer
-  FROM {sql('responses')} GROUP BY ALL), c AS (SELECT CAST(pair_id + 1 AS INTEGER) AS number, strategy1, strategy2 FROM {sql('head2head')} WHERE pair_id < 4)
-SELECT participant_id, number, CASE answer WHEN 'Top' THEN 1 ELSE 2 END AS choice, strategy1, strategy2 FROM w JOIN c USING (number) WHERE answer IN ('Top', 'Bottom')""")
+  FROM {sql('responses')} GROUP BY ALL), c AS (SELECT CAST(pair_id % 5 + 1 AS INTEGER) AS number, strategy1, strategy2 FROM {sql('head2head')} QUALIFY row_number() OVER (PARTITION BY pair_id % 5 ORDER BY pair_id, strategy1, strategy2) = 1)
+SELECT participant_id, number, CASE answer WHEN 'Top' THEN 1 ELSE 2 END AS choice, strategy1, strategy2, 'across' AS mode FROM w JOIN c USING (number) WHERE answer IN ('Top', 'Bottom')""")

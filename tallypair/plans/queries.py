@@ -88,9 +88,12 @@ add("k1_balanced_sample", lambda g: sampling.balanced_sample(pairing.pairs_withi
 add("k1_balanced_sample_large", lambda g: sampling.balanced_sample(pairing.pairs_within_class(g("items")), 7200), K1.format(7200))
 add("k3_sample_n_per_group", lambda g: sampling.sample_n_per_group(g("items").select("task", "image_id"), 5, ["task"], "image_id"), f"""
 SELECT task, image_id FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('42|' || image_id), image_id) AS n FROM {sql('items')}) WHERE n <= 5""")
+add("k3_sample_total", lambda g: sampling.sample_n_per_group(g("items").select("task", "image_id"), 16, ["task"], "image_id", total=True, strict=True), f"""
+SELECT task, image_id FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('42|' || image_id), image_id) AS n FROM {sql('items')}) WHERE n <= 16 // (SELECT count(DISTINCT task) FROM {sql('items')})""")
 add("k5_band_filter", lambda g: sampling.band_filter(g("housing"), ("price", "area")), """
 SELECT h.* FROM {0} h, (SELECT avg(price) AS mp, stddev_samp(price) AS sp, avg(area) AS ma, stddev_samp(area) AS sa FROM {0})
 WHERE abs(price - mp) <= sp / 2 AND abs(area - ma) <= sa / 2""".format(sql("housing")))
+add("k5_band_filter_limited", lambda g: sampling.band_filter(g("housing"), ("price", "area"), most=12, key="id"), ORACLES["k5_band_filter"] + " ORDER BY md5('42|' || CAST(h.id AS VARCHAR)), h.id LIMIT 12")
 add("k7_partition_into_sets", lambda g: sampling.partition_into_sets(g("head2head").select("task", "pair_id"), 160, ["task"], "pair_id"), f"""
 SELECT task, pair_id, (row_number() OVER (PARTITION BY task ORDER BY md5('42|' || CAST(pair_id AS VARCHAR)), pair_id) - 1) // 160 AS set_number FROM {sql('head2head')}""")
 add("k9_repeat_tasks", lambda g: sampling.repeat_tasks(g("head2head").select("task", "pair_id"), 3), f"SELECT task, pair_id, rep FROM {sql('head2head')}, (VALUES (1), (2), (3)) r(rep)")
@@ -110,6 +113,7 @@ WITH e AS ({A1}), v AS (SELECT contest_id, count(*) FILTER (choice = 'A') AS a,
 w AS (SELECT *, CASE WHEN b > a THEN 'B' ELSE 'A' END AS winner FROM v)
 SELECT w.contest_id, winner, round(CASE WHEN a + b = 0 THEN 0.5 ELSE CAST(greatest(a, b) AS DOUBLE) / (a + b) END, 6) AS score, a + b AS consistent,
   CASE WHEN a + b = 0 THEN 'No consistent preference detected.' ELSE (SELECT string_agg(r1, chr(10) ORDER BY judge_id) FROM e WHERE e.contest_id = w.contest_id AND e.choice = w.winner) END AS feedback FROM w""")
+add("a2_judge_panel_random", lambda g: rounded(verdicts.judge_panel(g("judgements"), "random"), "score"), ORACLES["a2_judge_panel"].replace("CASE WHEN b > a THEN 'B' ELSE 'A' END AS winner", "CASE WHEN a > b THEN 'A' WHEN b > a THEN 'B' WHEN CAST('0x' || substr(md5('42|' || CAST(contest_id AS VARCHAR)), 1, 1) AS BIGINT) % 2 = 0 THEN 'A' ELSE 'B' END AS winner"))
 add("a4_retry_consensus", lambda g: verdicts.retry_consensus(g("judgements")), f"""
 SELECT contest_id, coalesce(arg_min(choice, judge_id) FILTER (choice <> 'inconsistent'), 'current_best') AS winner FROM ({A1}) GROUP BY contest_id""")
 add("a5_contest_trajectory", lambda g: verdicts.contest_trajectory(g("rounds")), f"""
@@ -145,6 +149,7 @@ g AS (SELECT DISTINCT pair_id, strategy FROM u), x AS (SELECT strategy, p.a, p.b
   FROM g CROSS JOIN p LEFT JOIN u ua ON ua.pair_id = g.pair_id AND ua.strategy = g.strategy AND ua.type = p.a LEFT JOIN u ub ON ub.pair_id = g.pair_id AND ub.strategy = g.strategy AND ub.type = p.b GROUP BY ALL)
 SELECT x.strategy, x.b || ' - ' || x.a AS contrast, round(mb.emm - ma.emm, 6) AS estimate, round(sqrt(s * factor), 6) AS se
 FROM x JOIN m ma ON ma.strategy = x.strategy AND ma.type = x.a JOIN m mb ON mb.strategy = x.strategy AND mb.type = x.b, f""".replace("SELECT strategy, p.a, p.b, sum", "SELECT g.strategy, p.a, p.b, sum"))
+add("m6_contrasts_pairwise", lambda g: rounded(stats.contrasts(kept(g), CELLS, "type", ["strategy"], LEVELS, pairwise=True), "estimate", "se"), f"SELECT strategy, split_part(contrast, ' - ', 2) || ' - ' || split_part(contrast, ' - ', 1) AS contrast, -estimate AS estimate, se FROM ({ORACLES['m6_contrasts']})")
 add("m7_bh_adjust", lambda g: rounded(stats.bh_adjust(g("verdicts").selectExpr("pair_id", "task", "CASE WHEN pair_id % 10 = 0 THEN NULL ELSE CAST(pair_id * 7919 % 100003 AS DOUBLE) / 100003 END AS p"), ["task"], "p", "pair_id"), "p", "p_adjusted"), f"""
 WITH t AS (SELECT pair_id, task, CASE WHEN pair_id % 10 = 0 THEN NULL ELSE CAST(pair_id * 7919 % 100003 AS DOUBLE) / 100003 END AS p FROM {sql('verdicts')}),
 r AS (SELECT *, row_number() OVER (PARTITION BY task, p IS NULL ORDER BY p, pair_id) AS k, count(p) OVER (PARTITION BY task, p IS NULL) AS n FROM t)

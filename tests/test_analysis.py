@@ -71,9 +71,12 @@ def test_trees_equal_plain_merging(linkage):
 
 def test_levels_of_one_and_of_large_groups(spark):
     rows = [("a", 1, [0.0, 1.0]), ("a", 2, None)] + [("b", i, [float(i), 0.0]) for i in range(30)]
-    got = helpers.hierarchical_levels(spark.createDataFrame(rows, "grp string, item long, embedding array<double>"), ["grp"], "item", most=10).collect()
+    got = helpers.hierarchical_levels(spark.createDataFrame(rows, "grp string, item long, embedding array<double>"), ["grp"], "item").collect()
     assert [(r.item, r.level, r.cluster_id) for r in got if r.grp == "a"] == [(1, 1, 0)]
-    assert {r.item for r in got if r.grp == "b"} == set(range(30)) and len({r.block for r in got if r.grp == "b"}) > 1
+    assert {r.item for r in got if r.grp == "b"} == set(range(30))
+    assert [len({r.cluster_id for r in got if r.grp == "b" and r.level == k}) for k in (1, 2, 3, 4, 5)] == [15, 8, 4, 2, 1]
+    with pytest.raises(Exception, match="a tree takes 10 at most"):
+        helpers.hierarchical_levels(spark.createDataFrame(rows, "grp string, item long, embedding array<double>"), ["grp"], "item", most=10).collect()
 
 
 def test_configs_and_quoted_results_come_back(spark, tmp_path):
