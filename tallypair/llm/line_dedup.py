@@ -18,7 +18,7 @@ BANDS = 5
 #: Shingles that one row carries to the aggregate of minima.
 ABREAST = 4
 #: Lines of more first shingles don't carry them to the pairs; such pairs may be met more than once.
-CARRIED = 256
+CARRIED = 64
 #: Lines of at most so many shingles meet exactly, besides the bands.
 FEW = 9
 #: Words of 64 bits in a sketch of a line's shingles.
@@ -140,18 +140,19 @@ def _candidates(lines: DataFrame, similar: float) -> DataFrame:
     shingle turns a bit of a line's sketch, so at least as many shingles as bits differ.
     """
     sets = written(with_shingles(lines, "line", "h"), "undecided-lines").withColumn("k", F.size("h"))
-    one = sets.select("id", "component", "k", F.explode("h").alias("t"))
+    one = sets.select("id", "k", F.explode("h").alias("t"))
     often = one.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # shingles that no other line has would come first: places are counted from the end
     commonest = Window.partitionBy("id").orderBy(F.desc("f"), F.desc("t"))
     ranked = one.join(often, "t").withColumn("pos", F.col("k") - F.row_number().over(commonest))
-    heads = ranked.where(F.col("pos") <= F.col("k") - F.ceil(F.col("k") * F.lit(similar) - F.lit(1e-9))).select("id", "component", "k", "t", "pos")
+    heads = ranked.where(F.col("pos") <= F.col("k") - F.ceil(F.col("k") * F.lit(similar) - F.lit(1e-9))).select("id", "k", "t", "pos")
     # the first shingles go along, so that of those that two lines share only one makes the pair
     heads = heads.withColumn("head", F.sort_array(F.collect_list(F.struct("pos", "t")).over(Window.partitionBy("id")))["t"])
     word = F.shiftright("t", 6).bitwiseAND(F.lit(SKETCH - 1))
     bit = F.expr("shiftleft(1L, cast(t & 63 as int))")
     sketch = [f"s{i}" for i in range(SKETCH)]
-    sketches = one.groupBy("id").agg(*[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(sketch)])
+    marked = sets.select("id", "component", F.explode("h").alias("t"))
+    sketches = marked.groupBy("id", "component").agg(*[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(sketch)])
     heads = heads.withColumn("head", F.when(F.size("head") <= CARRIED, F.col("head"))).join(sketches, "id")
     heads = written(heads, "line-heads")
     x, y = (heads.select(*[F.col(c).alias(f"{c}{side}") for c in heads.columns]) for side in "xy")
