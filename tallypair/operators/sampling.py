@@ -26,16 +26,16 @@ def seeded_rank(rows: DataFrame, by: list[str], seed: int, *keys: str) -> DataFr
     return ranked.select(*rows.columns, "rank")
 
 
-def balanced_sample(pairs: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """If there are more than ``most`` pairs (and it is positive): of each pair of statuses the first
-    ``most // groups`` in seeded order; no redistribution, and maybe none."""
+def balanced_sample(pairs: DataFrame, most: int, seed: int = 42, by: str = "status", keys: tuple[str, ...] = ("base1", "base2")) -> DataFrame:
+    """If there are more than ``most`` pairs (and it is positive): of each pair of statuses (or
+    strategies) the first ``most // groups`` in seeded order; no redistribution, and maybe none."""
     if most <= 0:
         return pairs
-    a, b = F.least("status1", "status2").alias("type1"), F.greatest("status1", "status2").alias("type2")
+    a, b = F.least(f"{by}1", f"{by}2").alias("type1"), F.greatest(f"{by}1", f"{by}2").alias("type2")
     counts = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("there"))
     whole = counts.agg(F.sum("there").alias("total"), F.count(F.lit(1)).alias("groups"))
     quota = whole.select(F.when(F.col("total") > most, F.floor(F.lit(most) / F.col("groups"))).alias("quota"))
-    ranked = seeded_rank(pairs.withColumns({"type1": a, "type2": b}), ["type1", "type2"], seed, "base1", "base2")
+    ranked = seeded_rank(pairs.withColumns({"type1": a, "type2": b}), ["type1", "type2"], seed, *keys)
     return ranked.crossJoin(F.broadcast(quota)).where(F.col("quota").isNull() | (F.col("rank") <= F.col("quota"))).select(*pairs.columns)
 
 

@@ -77,6 +77,13 @@ def mitigation_outcomes(long: DataFrame, keys: list[str]) -> DataFrame:
     return sides.unionByName(third)
 
 
-def human_choices_long(responses: DataFrame) -> DataFrame:
-    side = lambda n: F.struct(F.col(f"image{n}_status").alias("type"), (F.col("choice") == n).cast("int").alias("chosen"))
-    return responses.select("participant_id", "strategy", "task", F.inline(F.array(side(1), side(2))))
+def human_choices_long(responses: DataFrame, by: str = "status", levels: list[str] | None = None) -> DataFrame:
+    """Two rows a response, one an image: its status (``type``) or strategy, and whether it is the chosen
+    one's. A level that isn't among ``levels`` is null, and so is what depends on it."""
+    known = lambda c: c if levels is None else F.when(c.isin(levels), c)
+    at = {n: known(F.col(f"image{n}_{by}")) for n in (1, 2)}
+    chosen = F.when(F.col("choice") == 1, at[1]).when(F.col("choice").isNotNull(), at[2])
+    name = "type" if by == "status" else by
+    side = lambda n: F.struct(at[n].alias(name), (at[n] == chosen).cast("int").alias("chosen"))
+    kept = ["participant_id", *(["strategy"] if by == "status" else []), "task"]
+    return responses.select(*kept, F.inline(F.array(side(1), side(2))))

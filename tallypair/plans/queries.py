@@ -73,6 +73,12 @@ add("j4_participant_pairs", lambda g: pairing.participant_pairs(g("versions")),
 WITH v AS (SELECT *, row_number() OVER (PARTITION BY category, base_id ORDER BY md5('42|' || category || '|' || base_id || '|' || status), status) AS n FROM {sql('versions')})
 SELECT a.category, a.base_id AS id1, a.status AS status1, b.base_id AS id2, b.status AS status2 FROM v a JOIN v b
 ON a.category = b.category AND a.base_id < b.base_id AND a.status <> b.status WHERE a.n = 1 AND b.n = 1""")
+DRAWN = "CAST(FLOOR(CAST(image_id AS BIGINT) / 9) AS BIGINT)"
+add("j4_participant_pairs_strategies", lambda g: pairing.participant_pairs(g("items").selectExpr(f"concat('c', CAST({DRAWN} % 20 AS STRING)) AS category", f"CAST({DRAWN} AS STRING) AS base_id", "strategy"), by="strategy"), f"""
+WITH i AS (SELECT DISTINCT concat('c', CAST({DRAWN} % 20 AS VARCHAR)) AS category, CAST({DRAWN} AS VARCHAR) AS base_id, strategy FROM {sql('items')}),
+v AS (SELECT *, row_number() OVER (PARTITION BY category, base_id ORDER BY md5('42|' || category || '|' || base_id || '|' || strategy), strategy) AS n FROM i)
+SELECT a.category, a.base_id AS id1, a.strategy AS strategy1, b.base_id AS id2, b.strategy AS strategy2 FROM v a JOIN v b
+ON a.category = b.category AND a.base_id < b.base_id AND a.strategy <> b.strategy WHERE a.n = 1 AND b.n = 1""")
 add("j5_match_original_final", lambda g: pairing.match_original_final(g("versions")), f"""
 SELECT * FROM (SELECT category, base_id, max(CASE WHEN status = 'original' THEN path END) AS original_path, max(CASE WHEN status = 'final' THEN path END) AS final_path
 FROM {sql('versions')} GROUP BY ALL) WHERE original_path IS NOT NULL AND final_path IS NOT NULL""")
@@ -86,6 +92,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY md5('42|' || bas
 SELECT image_class, base1, base2, status1, status2 FROM r, c WHERE total <= {{0}} OR n <= {{0}} // g"""
 add("k1_balanced_sample", lambda g: sampling.balanced_sample(pairing.pairs_within_class(g("items")), 600), K1.format(600))
 add("k1_balanced_sample_large", lambda g: sampling.balanced_sample(pairing.pairs_within_class(g("items")), 7200), K1.format(7200))
+add("k1_balanced_sample_strategies", lambda g: sampling.balanced_sample(pairing.pairs_cross_strategy(g("items")), 60, by="strategy", keys=("image_id1", "image_id2")), f"""
+WITH p AS ({ORACLES['j3_pairs_cross_strategy']}), c AS (SELECT count(*) AS total, count(DISTINCT strategy1 || strategy2) AS g FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY strategy1, strategy2 ORDER BY md5('42|' || image_id1 || '|' || image_id2), image_id1, image_id2) AS n FROM p)
+SELECT task, image_class, strategy1, image_id1, strategy2, image_id2 FROM r, c WHERE total <= 60 OR n <= 60 // g""")
 add("k3_sample_n_per_group", lambda g: sampling.sample_n_per_group(g("items").select("task", "image_id"), 5, ["task"], "image_id"), f"""
 SELECT task, image_id FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('42|' || image_id), image_id) AS n FROM {sql('items')}) WHERE n <= 5""")
 add("k3_sample_total", lambda g: sampling.sample_n_per_group(g("items").select("task", "image_id"), 16, ["task"], "image_id", total=True, strict=True), f"""
@@ -108,6 +118,8 @@ FROM (SELECT contest_id, judge_id, max(CASE WHEN is_a_first THEN item END) AS a,
   CAST(CASE WHEN count(reasoning_tokens) = 2 THEN sum(reasoning_tokens) ELSE 0 END AS BIGINT) AS reasoning_tokens
   FROM (SELECT *, CASE WHEN (choice = 'first') = is_a_first THEN 'A' ELSE 'B' END AS item FROM {sql('judgements')}) GROUP BY contest_id, judge_id)"""
 add("a1_collapse_orders", lambda g: verdicts.collapse_orders(g("judgements"), ["contest_id", "judge_id"]), f"SELECT * EXCLUDE (r1) FROM ({A1})")
+add("a1_collapse_orders_strategies", lambda g: verdicts.collapse_orders(g("judgements"), ["contest_id", "judge_id"], strategies=True), f"""
+SELECT a.* EXCLUDE (r1, reason), CASE WHEN choice <> 'inconsistent' THEN r1 ELSE r1 || ' | ' || replace(r1, 'a', 'b') END AS reason FROM ({A1}) a""")
 add("a2_judge_panel", lambda g: rounded(verdicts.judge_panel(g("judgements")), "score"), f"""
 WITH e AS ({A1}), v AS (SELECT contest_id, count(*) FILTER (choice = 'A') AS a, count(*) FILTER (choice = 'B') AS b FROM e GROUP BY contest_id),
 w AS (SELECT *, CASE WHEN b > a THEN 'B' ELSE 'A' END AS winner FROM v)
@@ -122,12 +134,20 @@ k AS (SELECT r.*, least(coalesce(hit, 30), 30) AS stop, hit IS NOT NULL AND hit
 e AS (SELECT *, CASE WHEN round_number < stop OR NOT eq THEN CASE WHEN winner = 'A' THEN 'B' ELSE 'A' END END AS edited FROM k WHERE round_number <= stop)
 SELECT pair_key, arg_min(winner, round_number) AS zero_shot_winner, arg_max(winner, round_number) AS final_winner, count(*) AS rounds, bool_or(eq) AS equilibrium,
   count(*) FILTER (edited = 'A') AS edits_a, count(*) FILTER (edited = 'B') AS edits_b, max(round_number) FILTER (winner = 'A') AS champion_a, max(round_number) FILTER (winner = 'B') AS champion_b FROM e GROUP BY pair_key""")
+add("a5_contest_edits", lambda g: verdicts.contest_edits(g("rounds")), f"""
+WITH r AS (SELECT * FROM {sql('rounds')}), h AS (SELECT pair_key, min(round_number) FILTER (round_number >= 10 AND winner_score < 0.51) AS hit FROM r GROUP BY pair_key),
+k AS (SELECT r.*, coalesce(least(hit, 30), 30) AS stop, coalesce(hit, 31) <= 30 AS eq FROM r JOIN h USING (pair_key))
+SELECT k.pair_key, k.round_number, CASE k.winner WHEN 'A' THEN 'B' ELSE 'A' END AS side,
+  CASE WHEN n.winner IS NULL THEN NULL WHEN n.winner <> k.winner THEN true WHEN k.eq AND n.round_number = k.stop THEN NULL ELSE false END AS won_next_round
+FROM k LEFT JOIN k n ON n.pair_key = k.pair_key AND n.round_number = k.round_number + 1 AND n.round_number <= k.stop WHERE k.round_number <= k.stop AND NOT (k.eq AND k.round_number = k.stop)""")
 add("a6_descent_trajectory", lambda g: verdicts.descent_trajectory(g("rounds")), f"""
 WITH r AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (PARTITION BY pair_key ORDER BY round_number ROWS UNBOUNDED PRECEDING) AS island FROM {sql('rounds')} WHERE round_number <= 30),
 i AS (SELECT *, sum(CAST(NOT failed AND NOT improved AS INTEGER)) OVER (PARTITION BY pair_key, island ORDER BY round_number ROWS UNBOUNDED PRECEDING) AS idle FROM r),
 s AS (SELECT *, min(CASE WHEN idle >= 10 THEN round_number END) OVER (PARTITION BY pair_key) AS stop FROM i)
 SELECT pair_key, count(*) AS steps, count(*) FILTER (improved) AS improvements, arg_max(proposed_prompt, round_number) FILTER (improved) AS best_prompt,
-  CAST(arg_max(idle, round_number) AS BIGINT) AS rejects_since, bool_or(stop IS NOT NULL) AS out_of_patience FROM s WHERE stop IS NULL OR round_number <= stop GROUP BY pair_key""")
+  CAST(arg_max(idle, round_number) AS BIGINT) AS rejects_since, bool_or(stop IS NOT NULL) AS out_of_patience,
+  coalesce(string_agg(proposed_prompt, chr(10) ORDER BY round_number) FILTER (NOT failed AND NOT improved AND island = top), '') AS history
+FROM (SELECT *, max(island) FILTER (stop IS NULL OR round_number <= stop) OVER (PARTITION BY pair_key) AS top FROM s) s WHERE stop IS NULL OR round_number <= stop GROUP BY pair_key""")
 add("a10_survey_summary", lambda g: verdicts.survey_summary(g("responses")), f"""
 SELECT strategy, task, count(DISTINCT participant_id) AS participants, count(*) AS responses, round(CAST(count(*) AS DOUBLE) / count(DISTINCT participant_id), 6) AS mean_responses
 FROM {sql('responses')} GROUP BY GROUPING SETS ((strategy, task), ())""")
@@ -162,6 +182,12 @@ SELECT task, iterations, pair_id, type, coalesce(chosen, 0) AS chosen FROM {LONG
 UNION ALL SELECT task, iterations, pair_id, 'inconsistent', CAST(max(CAST(chosen IS NULL AS INTEGER)) AS INTEGER) FROM {LONG} GROUP BY task, iterations, pair_id""")
 add("m14_human_choices_long", lambda g: stats.human_choices_long(g("responses")), """
 SELECT participant_id, strategy, task, image1_status AS type, CAST(choice = 1 AS INTEGER) AS chosen FROM {0} UNION ALL SELECT participant_id, strategy, task, image2_status, CAST(choice = 2 AS INTEGER) FROM {0}""".format(sql("responses")))
+SHOWN = ["pair_id AS participant_id", "task", "strategy1 AS image1_strategy", "strategy2 AS image2_strategy", "CASE choice WHEN 'first' THEN 1 WHEN 'second' THEN 2 END AS choice"]
+add("m14_human_choices_long_strategies", lambda g: stats.human_choices_long(g("head2head").selectExpr(*SHOWN), "strategy", ["competition", "textgrad"]), f"""
+WITH s AS (SELECT {", ".join(SHOWN)} FROM {sql('head2head')}),
+l AS (SELECT participant_id, task, choice, nullif(image1_strategy, 'feedback_descent') AS s1, nullif(image2_strategy, 'feedback_descent') AS s2 FROM s),
+c AS (SELECT *, CASE choice WHEN 1 THEN s1 WHEN 2 THEN s2 END AS won FROM l)
+SELECT participant_id, task, s1 AS strategy, CAST(s1 = won AS INTEGER) AS chosen FROM c UNION ALL SELECT participant_id, task, s2, CAST(s2 = won AS INTEGER) FROM c""")
 add("k11_best_level", lambda g: rounded(sampling.best_level(stats.marginal_means(stats.cell_means(kept(g), CELLS), ["type", "model"]), ["model"], "type", "emm"), "emm"), f"""
 SELECT type, model, round(emm, 6) AS emm, cells FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY emm DESC, type) AS n FROM (SELECT type, model, avg(cell_mean) AS emm, count(*) AS cells FROM {CELL_SQL} GROUP BY ALL)) WHERE n = 1""")
 
