@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallypair.functions.parse import seeded
@@ -78,6 +78,44 @@ def sample_folders(rows: DataFrame, folders: int, images: int, folder: str, key:
     return seeded_rank(kept, [folder], seed, key).where(F.col("rank") <= images).drop("rank")
 
 
+def _squared(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def kmeans_labels(rows: DataFrame, k: int, key: str, by: str, vector: str, folder: str, rounds: int = 10, seed: int = 42, name: str = "label") -> DataFrame:
+    """``rows`` with ``name`` (0 to ``k - 1``), the nearest of their category's centers after ``rounds``
+    rounds of k-means; ties to the smaller label. The first ``k`` rows of a category in seeded order are
+    the first centers, and a center without rows goes. Rows without a vector have no label.
+
+    Rows meet their category's ``k`` centers in a join and leave sums by label and place, combined before
+    the shuffle; each round's centers are written to ``folder``, so that a round's plan starts there.
+    """
+    points = rows.where(F.col(vector).isNotNull()).select(F.col(key), F.col(by), F.col(vector).cast("array<double>").alias("_v"))
+    first = seeded_rank(points, [by], seed, key).where(F.col("rank") <= k)
+    centers = first.groupBy(F.col(by).alias("_by")).agg(F.sort_array(F.collect_list(F.struct((F.col("rank") - 1).cast("int").alias("label"), F.col("_v").alias("at")))).alias("centers"))
+
+    def stored(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{folder}/{name}")
+        return rows.sparkSession.read.parquet(f"{folder}/{name}")
+
+    def labelled(table: DataFrame) -> DataFrame:
+        near = F.array_min(F.transform("centers", lambda c: F.struct(_squared(F.col("_v"), c["at"]).alias("d"), c["label"].alias("label"))))["label"]
+        return points.join(table, points[by] == table["_by"]).select(key, points[by].alias("_by"), "_v", near.alias("label"))
+
+    centers = stored(centers, "centers-0")
+    for n in range(1, rounds + 1):
+        means = labelled(centers).select("_by", "label", F.posexplode("_v").alias("i", "x")).groupBy("_by", "label", "i").agg(F.avg("x").alias("x"))
+        at = means.groupBy("_by", "label").agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("at"))
+        centers = stored(at.groupBy("_by").agg(F.sort_array(F.collect_list(F.struct("label", "at"))).alias("centers")), f"centers-{n}")
+    return rows.join(labelled(centers).select(key, F.col("_by").alias(by), F.col("label").alias(name)), [key, by])
+
+
+def density_subsample(rows: DataFrame, n: int, key: str, by: str, vector: str, folder: str, seed: int = 42) -> DataFrame:
+    """About ``n`` rows of each category, by the density of their vectors: k-means into ``n`` clusters, each
+    of which gets its rounded share of ``n``. ``folder``: a new one that all executors share."""
+    return density_allotment(kmeans_labels(rows, n, key, by, vector, folder, seed=seed, name="_cluster"), n, key, by, "_cluster", seed).select(*rows.columns)
+
+
 def density_allotment(rows: DataFrame, n: int, key: str, by: str, label: str, seed: int = 42) -> DataFrame:
     """From given cluster labels: each cluster gets its share of ``n`` rounded half to even, drawn in
     seeded order; in label order no more than ``n`` rows of a category are taken in all."""

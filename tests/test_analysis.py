@@ -1,3 +1,6 @@
+import hashlib
+import struct
+
 import numpy as np
 import pytest
 
@@ -111,3 +114,44 @@ def test_empty_inputs(spark):
     names = spark.createDataFrame([(None,), ("",)], "file_name string")
     assert labels.parse_debias_name(names).count() == 0 and labels.parse_final_name(names).count() == 0
     assert summaries.set_task_counts(spark.createDataFrame([], "task string, set_number long"), ["hotels"]).count() == 0
+
+
+def test_kmeans_against_plain_rounds(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], (rng.normal(size=3) + 4 * (i % 6)).tolist()) for i in range(120)] + [(120, "a", None)]
+    df = spark.createDataFrame(rows, "id long, grp string, v array<double>")
+    got = {r.id: r.label for r in assembly.kmeans_labels(df, 5, "id", "grp", "v", str(tmp_path / "one"), rounds=4).collect()}
+    for grp in "ab":
+        own = {i: np.array(v) for i, g, v in rows if g == grp and v}
+        first = sorted(own, key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i))[:5]
+        at = {n: own[i] for n, i in enumerate(first)}
+        near = lambda v: min(at, key=lambda n: (((v - at[n]) ** 2).sum(), n))  # noqa: B023, E731
+        for _ in range(4):
+            labels = {i: near(v) for i, v in own.items()}
+            at = {n: np.mean([own[i] for i in own if labels[i] == n], axis=0) for n in set(labels.values())}
+        assert {i: got[i] for i in own} == {i: near(v) for i, v in own.items()}
+    drawn = assembly.density_subsample(df, 5, "id", "grp", "v", str(tmp_path / "two"))
+    assert drawn.columns == df.columns and all(0 < r["count"] <= 5 for r in drawn.groupBy("grp").count().collect())
+
+
+def _bitmap(path, pixels):
+    """A picture file of 24 bits a pixel, written plainly."""
+    height, width, _ = pixels.shape
+    rows = b"".join(row.tobytes() + b"\0" * (-3 * width % 4) for row in pixels[::-1])
+    path.write_bytes(b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(rows), 0, 0, 54, 40, width, height, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows)
+
+
+def test_similarity_of_picture_files(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    one, two = (rng.integers(0, 256, (20, 24, 3), dtype=np.uint8) for _ in range(2))
+    for name, pixels in (("a", one), ("b", two), ("c", one), ("d", np.repeat(np.repeat(one, 2, 0), 2, 1))):
+        _bitmap(tmp_path / f"{name}.bmp", pixels)
+    (tmp_path / "e.bmp").write_bytes(b"no picture")
+    of = lambda n: f"file://{tmp_path}/{n}.bmp"
+    pairs = spark.createDataFrame([(of("a"), of(x)) for x in "bcdef"], "path_a string, path_b string")
+    plain = {r.path_b[-5]: r.similarity for r in helpers.image_pair_scores(pairs, str(tmp_path), side=None).collect()}
+    assert set(plain) == {"b", "c", "d"} and plain["c"] == 1
+    assert abs(plain["b"] - helpers.ssim_of(one.transpose(2, 0, 1).astype(float), two.transpose(2, 0, 1).astype(float)).mean()) < 1e-12
+    assert abs(plain["d"] - 1) < 1e-12  # each pixel doubled: the middles of the new pixels lie on the old
+    fixed = {r.path_b[-5]: r.similarity for r in helpers.image_pair_scores(pairs, str(tmp_path)).collect()}
+    assert fixed["c"] == 1 and fixed["b"] < 0.5 < fixed["d"] <= 1
