@@ -15,6 +15,8 @@ from .places import keyed
 SHINGLE = 12
 #: Bands, each of two minima: two lines of similarity 0.8 share one with probability 0.994.
 BANDS = 5
+#: Bits by which the hashes are turned from band to band; those of all bands fit into 64.
+TURN = 12
 #: Shingles that one row carries to the aggregate of minima.
 ABREAST = 4
 #: Lines of more first shingles don't carry them to the pairs; such pairs may be met more than once.
@@ -27,11 +29,6 @@ SKETCH = 8
 MORE = 2
 
 
-def _long(k: int) -> int:
-    x = (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-    return x - (1 << 64) if x >> 63 else x
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, tag, n, line, id``: every line that isn't blank; ``id`` is the hash of its text."""
     lines = docs.where("doc_id is not null").select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("n", "line"))
@@ -61,18 +58,18 @@ def with_shingles(df: DataFrame, line: str, name: str) -> DataFrame:
 
 def _signed(lines: DataFrame) -> DataFrame:
     """``id, doc, copies, bands`` of each distinct line: its smallest document, its number of places and its
-    bands. Minima are of halves of 64-bit hashes of the shingles, each pair of minima of hashes of its
-    own, so two lines agree in one with the chance of their Jaccard similarity, whatever the others do.
+    bands. A band's two minima are of two 64-bit hashes of the shingles, turned by ``TURN`` bits from band to
+    band: other bits lead in each, so two lines agree in one with the chance of their Jaccard similarity,
+    whatever the others do.
     ``ABREAST`` successive shingles go as a row into a partial aggregate, which leaves a row a line
     before the shuffle; what a row has too many repeats the last shingle."""
     coded = lines.select("id", "doc_id", F.explode(F.array(_coded(F.col("line")))).alias("coded")).select("id", "doc_id", "coded", _last(F.col("coded")).alias("last"))
     rows = coded.select("id", "doc_id", "coded", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * ABREAST))).alias("at"))
     shingles = [_shingle(F.col("coded"), F.least(F.col("at") + F.lit(4 * j), "last")).alias(f"h{j}") for j in range(ABREAST)]
     rows = rows.select("id", "doc_id", F.when(F.col("at") == 1, 1).otherwise(0).alias("one"), *shingles)
-    anew = lambda k, j: F.xxhash64(F.col(f"h{j}").bitwiseXOR(F.lit(_long(k)))).alias(f"g{k}_{j}")
-    rows = rows.select("id", "doc_id", "one", *[anew(k, j) for k in range(BANDS) for j in range(ABREAST)])
-    half = [lambda g: g.bitwiseAND(F.lit(0xFFFFFFFF)), lambda g: F.shiftrightunsigned(g, 32)]
-    least = [F.least(*[f(F.col(f"g{k}_{j}")) for j in range(ABREAST)]).alias(f"m{k}_{i}") for k in range(BANDS) for i, f in enumerate(half)]
+    rows = rows.select("*", *[F.xxhash64(f"h{j}").alias(f"g{j}") for j in range(ABREAST)])
+    turned = lambda h, k: F.shiftleft(h, TURN * k).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN * k)) if k else F.col(h)
+    least = [F.least(*[turned(f"{h}{j}", k) for j in range(ABREAST)]).alias(f"m{k}_{i}") for k in range(BANDS) for i, h in enumerate("hg")]
     rows = rows.select("id", "doc_id", "one", *least)
     minima = [F.min(f"m{k}_{i}").alias(f"m{k}_{i}") for k in range(BANDS) for i in range(2)]
     bands = F.array(*[F.xxhash64(F.lit(k), f"m{k}_0", f"m{k}_1") for k in range(BANDS)])
