@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ TRIGGER = re.compile(r"[0-9@]")
 CHUNK = re.compile(r"[^\s]+")
 TOKEN = re.compile(r"[A-Za-z0-9]+|\s+|[^\sA-Za-z0-9]")
 DIGITS = re.compile(r"[0-9]+")
-#: Tokens of a span, tokens that a region for learning has at most.
-LONGEST, LEARN_TOKENS = 16, 120
+#: Tokens and characters of a span, tokens that a region for learning has at most.
+LONGEST, LONGEST_CHARS, LEARN_TOKENS = 16, 320, 120
 
 Span = tuple[int, int, int]
 
@@ -98,20 +99,24 @@ def features(region: str, a: int, b: int) -> list[str]:
     return out
 
 
-def segments(region: str) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-    """Token borders of a region, and its candidate segments as (first border, last border, features)."""
-    tokens = [m.span() for m in TOKEN.finditer(region)]
-    out = []
-    for i, (a, _) in enumerate(tokens):
-        if not (region[a].isalnum() or region[a] in "+("):
-            continue
-        seen = False
-        for j in range(i, min(i + LONGEST, len(tokens))):
-            b = tokens[j][1]
-            seen = seen or bool(TRIGGER.search(region, tokens[j][0], b))
-            if seen and region[b - 1].isalnum():
-                out.append((i, j + 1, features(region, a, b)))
-    return [a for a, _ in tokens] + [len(region)], out
+def endings(region: str) -> Iterator[tuple[int, list[tuple[int, int, list[str]]]]]:
+    """For each token where it ends, and the candidate segments that end there as (tokens, start,
+    features), the longest first. Only the last ``LONGEST`` borders are held, however long the region."""
+    starts: deque[int] = deque(maxlen=LONGEST)
+    seen = -1
+    for n, m in enumerate(TOKEN.finditer(region)):
+        start, b = m.span()
+        starts.append(start)
+        if TRIGGER.search(region, start, b):
+            seen = n
+        found = []
+        if region[b - 1].isalnum():
+            for back, a in enumerate(reversed(starts), 1):
+                if b - a > LONGEST_CHARS:
+                    break
+                if seen > n - back and (region[a].isalnum() or region[a] in "+("):
+                    found.append((back, a, features(region, a, b)))
+        yield b, found[::-1]
 
 
 class SpanField:
@@ -126,7 +131,10 @@ class SpanField:
 
     def _gradient(self, region: str, gold: set[Span]) -> dict[tuple[int, str], float]:
         """Of the log likelihood of the gold segmentation: observed minus expected features."""
-        borders, found = segments(region)
+        borders, found = [0], []
+        for b, segments in endings(region):
+            borders.append(b)
+            found += [(len(borders) - 1 - back, len(borders) - 1, fs) for back, _, fs in segments]
         n = len(borders) - 1
         into: list[list] = [[] for _ in range(n + 1)]
         outof: list[list] = [[] for _ in range(n + 1)]
@@ -168,26 +176,23 @@ class SpanField:
         return self
 
     def decode(self, region: str, least: float = 1.0) -> list[Span]:
-        """The best segmentation, spans of at most ``LONGEST`` tokens; a span has to add ``least``."""
-        borders, found = segments(region)
-        into: list[list] = [[] for _ in borders]
-        for i, j, fs in found:
-            kind = max(range(len(KINDS)), key=lambda c: self.score(c, fs))
-            if (s := self.score(kind, fs) - least) > 0:
-                into[j].append((i, kind, s))
-        best, come = [0.0] * len(borders), [None] * len(borders)
-        for j in range(1, len(borders)):
-            best[j] = best[j - 1]
-            for i, kind, s in into[j]:
-                if best[i] + s > best[j]:
-                    best[j], come[j] = best[i] + s, (i, kind)
-        out, j = [], len(borders) - 1
-        while j > 0:
-            if come[j] is None:
-                j -= 1
-            else:
-                out.append((borders[come[j][0]], come[j][1], borders[j]))
-                j = come[j][0]
+        """The best segmentation, spans of at most ``LONGEST`` tokens and ``LONGEST_CHARS`` characters; a span
+        has to add ``least``. Held are the scores at the last borders, and the spans chosen up to them."""
+        best: deque[float] = deque([0.0], LONGEST)
+        paths: deque[tuple | None] = deque([None], LONGEST)
+        for b, segments in endings(region):
+            top, path = best[-1], paths[-1]
+            for back, a, fs in segments:
+                scores = [self.score(kind, fs) for kind in range(len(KINDS))]
+                kind = max(range(len(KINDS)), key=scores.__getitem__)
+                if scores[kind] > least and best[-back] + scores[kind] - least > top:
+                    top, path = best[-back] + scores[kind] - least, (paths[-back], (a, kind, b))
+            best.append(top)
+            paths.append(path)
+        out, path = [], paths[-1]
+        while path:
+            path, span = path
+            out.append(span)
         return out
 
 
