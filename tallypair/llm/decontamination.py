@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,125 +11,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, row_key, sized, without, written
-from .words import FIRST, LETTERS, LOWER, slices, texts_of, words_of
+from .common import row_key, without, written
+from .suffixes import suffix_order
+from .words import LETTERS, LOWER, slices, texts_of, words_of
 
-#: Test items are sent to the tasks in blocks whose Parquet files hold at most so many bytes.
+#: Test items are sent to the tasks in blocks of about so many bytes of text, eight times as much in memory.
 BLOCK_BYTES = 4 << 20
 #: Text bytes of one suffix array.
 SHARD_BYTES = 4 << 20
+#: A word of a text whose A-Z are lower-cased.
+WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 MATCH = "item_id string, document_word long, item_word long, n_words long"
 FOUND = f"doc_id long, row long, n_words long, matches array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"
 
 
 class ItemSuffixes:
-    """The suffixes of some test items, cut to the window: word hashes (0 beyond the end) and lengths."""
-
+    """The suffixes of some test items that a window begins: hashes of the items' words, one item after
+    the other, and where each suffix starts, its item's rest (``left``) and window (``need``) in words."""
 
     def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.ids = sorted({i for i, _ in items}, key=lambda i: (i is not None, i or ""))
         number = {x: i for i, x in enumerate(self.ids)}
+        self.said = [WORD.findall(t.encode().lower()) for _, t in items]
         raw, offsets = texts_of(pa.array([t for _, t in items], pa.string()))
-        text, nth, (words,) = words_of(raw, offsets, LETTERS, LOWER)
+        text, nth, (self.words,) = words_of(raw, offsets, LETTERS, LOWER)
         n = np.bincount(text, minlength=len(items))
-        need = np.minimum(n, width)
-        left = n[text] - nth if len(text) else nth
-        whole = left >= need[text] if len(text) else np.zeros(0, bool)
-        self.words = _prefixes(words, left, np.flatnonzero(whole), width)
-        self.length = need[text][whole]
-        self.row, self.at = text[whole], nth[whole]
-        self.item = np.array([number[i] for i, _ in items], np.int64)[self.row] if len(items) else self.row
-        for k in range(width):
-            self.words[self.length <= k, k] = 0
-        self.singles = np.unique(self.words[self.length == 1, 0])
-        self.pairs = np.unique(_pair(self.words[self.length > 1, 0], self.words[self.length > 1, 1])) if width > 1 else self.singles[:0]
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a * FIRST[0] + b
-
-
-def _in(values: np.ndarray, there: np.ndarray) -> np.ndarray:
-    if not len(there):
-        return np.zeros(len(values), bool)
-    return there[np.minimum(np.searchsorted(there, values), len(there) - 1)] == values
-
-
-def _prefixes(words: np.ndarray, left: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """The first ``width`` words of the suffixes at ``starts``; 0 beyond a text's end."""
-    out = np.zeros((len(starts), width), np.uint64)
-    for k in range(width):
-        there = left[starts] > k
-        out[there, k] = words[starts[there] + k]
-    return out
+        left, need = n[text] - nth, np.minimum(n, width)[text]
+        self.starts = np.flatnonzero(left >= need)
+        self.left, self.need, self.row, self.at = (x[self.starts] for x in (left, need, text, nth))
+        self.item = np.array([number[i] for i, _ in items], np.int64)[self.row] if items else self.row
 
 
 class SuffixArray:
-    """The suffixes of a shard of documents in the order of their first words.
-
-    Only suffixes that begin as some test suffix does (in two words; in one, for one-word items) are
-    sorted: no other can be found by a search.
-    """
+    """All suffixes, in words, of a shard of documents, sorted by the hashes of their words to the documents' ends."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, tests: ItemSuffixes, width: int):
-        self.text, self.nth, (words,) = words_of(raw, offsets, LETTERS, LOWER)
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        self.text, self.nth, (self.words,) = words_of(raw, offsets, LETTERS, LOWER)
         self.counts = np.bincount(self.text, minlength=len(offsets) - 1)
-        left = self.counts[self.text] - self.nth if len(self.text) else self.nth
-        begins = _in(words, tests.singles)
-        if len(words) > 1:
-            begins[:-1] |= _in(_pair(words[:-1], words[1:]), tests.pairs) & (left[:-1] > 1)
-        starts = np.flatnonzero(begins)
-        prefix = _prefixes(words, left, starts, width)
-        order = np.lexsort(prefix.T[::-1])
-        self.starts, self.prefix = starts[order], prefix[order]
-
-    def _edge(self, tests: ItemSuffixes, after: bool) -> np.ndarray:
-        """Binary search of all test suffixes at once: the first place not before (or after) each."""
-        low, high = np.zeros(len(tests.words), np.int64), np.full(len(tests.words), len(self.starts), np.int64)
-        beyond = np.arange(tests.words.shape[1]) >= tests.length[:, None]
+        self.left = self.counts[self.text] - self.nth
+        self.order, _ = suffix_order((self.words,), self.left, 1, int(self.counts.max(initial=1)))
+
+    def _common(self, place: np.ndarray, tests: ItemSuffixes, which: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that the shard's suffixes at ``place`` and the test suffixes ``which`` have in common at their
+        start, ``most`` at most, and whether the shard's comes before."""
+        common, before = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+        todo = np.flatnonzero(most > 0)
+        k = 0
+        while len(todo):
+            ended = self.left[place[todo]] <= k
+            there = self.words[np.minimum(place[todo] + k, len(self.words) - 1)]
+            sought = tests.words[tests.starts[which[todo]] + k]
+            before[todo] = ended | (there < sought)
+            k += 1
+            todo = todo[~ended & (there == sought)]
+            common[todo] = k
+            before[todo] = False
+            todo = todo[most[todo] > k]
+        return common, before
+
+    def _edge(self, tests: ItemSuffixes, which: np.ndarray, most: np.ndarray, after: bool = False) -> np.ndarray:
+        """Binary search of test suffixes, of each its first ``most`` words: the first slot not before (or after) it."""
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), len(self.order), np.int64)
         while len(todo := np.flatnonzero(low < high)):
             middle = (low[todo] + high[todo]) // 2
-            there, sought = self.prefix[middle], tests.words[todo]
-            unlike = (there != sought) & ~beyond[todo]
-            first = unlike.argmax(1)
-            rows = np.arange(len(todo))
-            before = unlike[rows, first] & (there[rows, first] < sought[rows, first])
+            common, before = self._common(self.order[middle], tests, which[todo], most[todo])
             if after:
-                before |= ~unlike.any(1)
+                before |= common == most[todo]
             low[todo[before]] = middle[before] + 1
             high[todo[~before]] = middle[~before]
         return low
 
+    def longest(self, tests: ItemSuffixes) -> np.ndarray:
+        """Words of the longest match of each test suffix: with a neighbour of its own place in the array."""
+        every = np.arange(len(tests.starts))
+        best = np.zeros(len(every), np.int64)
+        if len(self.order) and len(every):
+            slot = self._edge(tests, every, tests.left)
+            for side in (np.maximum(slot - 1, 0), np.minimum(slot, len(self.order) - 1)):
+                best = np.maximum(best, self._common(self.order[side], tests, every, tests.left)[0])
+        return best
+
     def search(self, tests: ItemSuffixes) -> tuple[np.ndarray, np.ndarray]:
-        """Every (test suffix, word of the shard at which its window occurs)."""
-        low = self._edge(tests, False)
-        count = self._edge(tests, True) - low
-        suffix = np.repeat(np.arange(len(low)), count)
-        inside = np.arange(len(suffix)) - np.repeat(np.cumsum(count) - count, count)
-        return suffix, self.starts[low[suffix] + inside]
+        """Every (test suffix, word of the shard at which its window occurs): of the suffixes whose longest
+        match holds their window, the slots between the window's edges."""
+        which = np.flatnonzero(self.longest(tests) >= tests.need)
+        low = self._edge(tests, which, tests.need[which])
+        count = self._edge(tests, which, tests.need[which], True) - low
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(which, count), self.order[np.repeat(low, count) + inside]
 
 
 def _longest(array: SuffixArray, tests: ItemSuffixes) -> tuple[np.ndarray, ...]:
-    """Longest verbatim matches: windows that follow each other in a document and an item joined.
-    Arrays by document: text, item, word of the document, word of the item, words."""
+    """Longest matches: windows that follow each other in a document and an item joined. Arrays by
+    document: text, number of the item's row, item, word of the document, word of the item, words, window."""
     suffix, place = array.search(tests)
     text, at, row, item_at = array.text[place], array.nth[place], tests.row[suffix], tests.at[suffix]
     order = np.lexsort((at, at - item_at, row, text))
-    text, at, row, item_at, size, item = text[order], at[order], row[order], item_at[order], tests.length[suffix][order], tests.item[suffix][order]
+    text, at, row, item_at, size, item = text[order], at[order], row[order], item_at[order], tests.need[suffix][order], tests.item[suffix][order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (row[1:] != row[:-1]) | ((at - item_at)[1:] != (at - item_at)[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first, len(text))[1:] - 1
-    return text[first], item[first], at[first], item_at[first], at[last] + size[last] - at[first]
+    return text[first], row[first], item[first], at[first], item_at[first], at[last] + size[last] - at[first], size[first]
+
+
+def _verbatim(raw: np.ndarray, offsets: np.ndarray, array: SuffixArray, tests: ItemSuffixes) -> list[tuple[int, int, int, int, int]]:
+    """The longest matches as (text, item, word of the document, word of the item, words), their words
+    compared; words alike in hash only part a match."""
+    out, own, said = [], -1, []
+    for text, row, item, at, item_at, n, need in zip(*(x.tolist() for x in _longest(array, tests)), strict=True):
+        if text != own:
+            own, said = text, WORD.findall(raw[offsets[text] : offsets[text + 1]].tobytes().lower())
+        theirs, begin = tests.said[row], 0
+        if said[at : at + n] == theirs[item_at : item_at + n]:
+            out.append((text, item, at, item_at, n))
+            continue
+        for k in range(n + 1):
+            if k == n or said[at + k] != theirs[item_at + k]:
+                if k - begin >= need:
+                    out.append((text, item, at + begin, item_at + begin, k - begin))
+                begin = k + 1
+    return out
 
 
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> list[DataFrame]:
     """For each block of test items: ``doc_id, row`` (a hash of id and text), ``n_words, matches`` of every input row, a match being
-    ``item_id, document_word, item_word, n_words`` (words from 0). One block unless the items' table is
+    ``item_id, document_word, item_word, n_words`` (words from 0). One block unless the items' texts are
     over ``BLOCK_BYTES``; a pass is narrow: the items go to the tasks, documents are not shuffled."""
     spark = docs.sparkSession
     items = written(benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null"), "test-items")
-    blocks = max(1, -(-bytes_of(items) // BLOCK_BYTES))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row"))
 
     def block(k: int) -> DataFrame:
@@ -141,10 +153,12 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) ->
                 raw, offsets = texts_of(batch.column(1))
                 for a, b in slices(offsets, SHARD_BYTES):
                     cut = offsets[a : b + 1]
-                    array = SuffixArray(raw[cut[0] : cut[-1]], cut - cut[0], tests, width)
-                    text, item, at, item_at, n = _longest(array, tests)
-                    fields = [pa.array([tests.ids[i] for i in item], pa.string()), *(pa.array(x, pa.int64()) for x in (at, item_at, n))]
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b - a))])
+                    shard, ends = raw[cut[0] : cut[-1]], cut - cut[0]
+                    array = SuffixArray(shard, ends)
+                    found = _verbatim(shard, ends, array, tests)
+                    text, item, *numbers = map(list, zip(*found, strict=True)) if found else [[]] * 5
+                    fields = [pa.array([tests.ids[i] for i in item], pa.string()), *(pa.array(x, pa.int64()) for x in numbers)]
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(np.array(text, np.int64), minlength=b - a))])
                     matches = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["item_id", "document_word", "item_word", "n_words"]))
                     part = batch.slice(a, b - a)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(array.counts, pa.int64()), matches], ["doc_id", "row", "n_words", "matches"])

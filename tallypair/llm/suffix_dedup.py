@@ -20,14 +20,13 @@ from pyspark.sql import functions as F
 from .common import sized
 from .places import PLACES, as_batch, as_table, by_box, from_planes, keyed, pack, pairs_of, planes, ranges, text_bytes, unpack
 from .substring_dedup import pieces
+from .suffixes import suffix_order
 from .words import FIRST, mixed, texts_of
 
 ASK, KNOWN, FOUND = 0, 1, 2
 GRAM = 24
 #: Text bytes for each box, and the least number of boxes.
 BOX_BYTES, LEAST_BOXES = 4 << 20, 64
-#: A pass of refinement moves the pointers after each of so many parts of the buckets.
-STEPS = 16
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -183,15 +182,8 @@ def _cut(width: int, boxes: int):
 
 def refined(text: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     """The bucket of the ``width``-byte suffix prefix at each place of ``text`` (-1: it would pass the end
-    of its part, at ``ends``), by bucket-pointer refinement.
-
-    ``order`` holds the suffixes bucket by bucket, at first by 8-byte grams, and ``pointer`` the last slot
-    of each suffix's bucket. A pass sorts each bucket of several suffixes by the pointers at the offset
-    that they all agree up to, and moves its pointers at once: the buckets after it in the pass are
-    split by these, so they often get deeper than the doubled offset and seldom come again. A
-    suffix ends with its part, before all that go on; a bucket that agrees up to there is done.
-    Deeper buckets may part equal ``width``-byte strings, but these stay neighbours, and are joined.
-    """
+    of its part, at ``ends``), by bucket-pointer refinement of buckets of 8-byte grams. Buckets that
+    were refined further and agree in ``width`` bytes are neighbours, and are joined."""
     n = len(text)
     left = ends - np.arange(n)
     key = np.zeros(n, np.uint64)
@@ -199,41 +191,18 @@ def refined(text: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
         key[: max(n - k, 0)] |= text[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
     short = np.flatnonzero(left < 8)
     key[short] &= ~np.uint64(0) << (8 * (8 - left[short])).astype(np.uint64)
-    grams = (key,) if text.all() else (np.minimum(left, 8), key)  # a zero byte is not an end
-    order = np.lexsort(grams) if len(grams) > 1 else np.argsort(key)
-    last = np.flatnonzero(np.append(np.any([g[order[1:]] != g[order[:-1]] for g in grams], 0), True))
-    size = np.diff(last, prepend=-1)
-    pointer = np.empty(n, np.int64)
-    pointer[order] = np.repeat(last, size)
-    slots, depth = np.flatnonzero(np.repeat(size > 1, size)), 8
-    while depth < width:
-        slots = slots[left[order[slots]] >= depth]
-        heads = np.flatnonzero(np.diff(pointer[order[slots]], prepend=-1))
-        cuts = heads[np.searchsorted(heads, np.arange(1, STEPS) * len(slots) // STEPS, "right") - 1] if len(slots) else []
-        rest = []
-        for some in np.split(slots, np.unique(cuts).astype(np.int64)):
-            at = order[some]
-            later = np.where(left[at] > depth, pointer[np.minimum(at + depth, n - 1)], -1)
-            pair = pointer[at] * np.int64(n + 1) + later + 1
-            by = np.argsort(pair)
-            at, pair = at[by], pair[by]
-            order[some] = at
-            last = np.flatnonzero(np.append(pair[1:] != pair[:-1], True)[: len(pair)])
-            size = np.diff(last, prepend=-1)
-            pointer[at] = np.repeat(some[last], size)
-            rest.append(some[np.repeat(size > 1, size)])
-        slots, depth = np.concatenate(rest), 2 * depth
+    # where there are zero bytes, they must not be taken for an end
+    order, pointer = suffix_order((key,) if text.all() else (np.minimum(left, 8), key), left, 8, width)
     order = order[left[order] >= width]
     bucket = np.full(n, -1)
-    if len(order):
-        unlike = np.flatnonzero(pointer[order[1:]] != pointer[order[:-1]])
-        same = np.ones(len(unlike), bool)
-        for k in (*range(0, width - 8, 8), width - 8):
-            some = np.flatnonzero(same)
-            same[some] = key[order[unlike[some]] + k] == key[order[unlike[some] + 1] + k]
-        new = np.zeros(len(order), np.int64)
-        new[unlike[~same] + 1] = 1
-        bucket[order] = np.cumsum(new)
+    unlike = np.flatnonzero(pointer[order[1:]] != pointer[order[:-1]])
+    same = np.ones(len(unlike), bool)
+    for k in (*range(0, width - 8, 8), width - 8):
+        some = np.flatnonzero(same)
+        same[some] = key[order[unlike[some]] + k] == key[order[unlike[some] + 1] + k]
+    new = np.zeros(len(order), np.int64)
+    new[unlike[~same] + 1] = 1
+    bucket[order] = np.cumsum(new)
     return bucket
 
 
