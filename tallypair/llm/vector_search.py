@@ -64,6 +64,8 @@ def _match(k: int):
         if rows.num_rows and queries.num_rows:
             ids, keys, x = _arrays(rows)
             query_ids, query_keys, q = _arrays(queries)
+            if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] >= 2.0**63:
+                raise ValueError("a score doesn't fit 64 bits")
             for i, left in enumerate(_nearest(q, x, k)):
                 score = x[left] @ q[i]
                 best = left[np.lexsort((ids[left], -score))[:k]]
@@ -83,9 +85,10 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
 
     Components become floor(scale * x). Blocks of queries meet blocks of candidates, each pair in a task;
     a block's ``k + 1`` best go on. Vectors that are null, or hold a null or non-finite component, and null
-    ids take no part. Rows that repeat a query's id and vector are one query, and one of them is its own
-    row. Vectors of other lengths than the query's aren't its candidates. No vectors: no rows; other
-    columns are ignored.
+    ids take no part. Rows that repeat a query's id and vector are one query, of which one is its own row
+    and the others are candidates; rows of one id and several vectors are a query each. Vectors of other
+    lengths than the query's aren't its candidates. Components so large that a score might not fit 64 bits
+    fail the job with a message. No vectors: no rows; other columns are ignored.
     """
     x = F.col("embedding").cast("array<double>")
     good = F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -101,7 +104,7 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_match(k + 1), PAIRS)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", F.desc("own"))
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    owns = F.sum(F.col("own").cast("int")).over(best)
-    found = found.withColumn("owns", owns).where(~(F.col("own") & (F.col("owns") == 1)))
-    rank = F.col("n") - F.least(F.col("owns"), F.lit(1))
+    first = F.coalesce(F.min(F.when(F.col("own"), F.col("n"))).over(Window.partitionBy("query_id", "query_key")), F.lit(k + 2))
+    found = found.withColumn("own_at", first).where(F.col("n") != F.col("own_at"))
+    rank = F.col("n") - (F.col("n") > F.col("own_at")).cast("int")
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

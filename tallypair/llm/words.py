@@ -96,6 +96,6 @@ def words_of(
 def windows_of(hashes: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     """A hash of every ``n`` successive word hashes (at the last ``n - 1`` places, of what is left of them)."""
     out = np.zeros(len(hashes), np.uint64)
-    for k, p in enumerate(powers(base, n)):
+    for k, p in enumerate(powers(base, min(n, len(hashes)))):
         out[: len(hashes) - k] += hashes[k:] * p
     return mixed(out)
