@@ -9,13 +9,16 @@ from .common import documents
 from .decontamination import contamination
 from .line_dedup import remove_repeated_lines
 from .mixing import mix_sources
+from .packing import pack_documents
 from .pii import personal_data
 from .quality import quality_scores
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_strings
 from .token_counts import token_counts
+from .vector_codes import compress_vectors
 from .vector_search import top_inner_products
+from .whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +66,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
@@ -74,6 +91,9 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op9_mixing": op9_mixing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
+    "op13_packing": op13_packing,
 }
 
 OP1_SQL = r"""
@@ -124,4 +144,31 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_vector_search": OP8_SQL}
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codebooks ``b0`` to the last one, each from the assignment ``a`` of all parts to the one before."""
+    apart = "list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT rid, part, e[part * (len(e) // {parts}) + 1:(part + 1) * (len(e) // {parts})] AS x FROM v, range({parts}) r(part)),
+s AS (SELECT rid, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS entry FROM v WHERE vec_id IS NOT NULL),
+b0 AS MATERIALIZED (SELECT part, entry, x AS c FROM s JOIN p USING (rid) WHERE entry < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT rid, part, min(CAST({apart} AS BIGINT) * {entries} + entry) AS m FROM p JOIN b{k} b USING (part) GROUP BY rid, part)")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n.c, o.c) AS c FROM b{k} o LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT part, m % {entries} AS entry, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT a.part, a.m, unnest(p.x) AS x, generate_subscripts(p.x, 1) AS i FROM a{k} a JOIN p USING (rid, part)) GROUP BY ALL) GROUP BY ALL) n USING (part, entry))""")
+    return f"""WITH {", ".join(steps)},
+r AS (SELECT rid, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+k AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN r USING (rid), k"""
+
+
+OP11_SQL = _op11_sql()
+
+ORACLES: dict[str, str] = {"op11_vector_codes": OP11_SQL, "op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_vector_search": OP8_SQL}
