@@ -5,11 +5,10 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +21,8 @@ POPULATION, CHILDREN = 4, 8
 #: Of a bin's room the part that may stay empty before its documents are dealt to another block, and the
 #: share of a block's bins, the emptiest, that are dealt so at most.
 OPEN, MOST_OPEN = 1 / 128, 1 / 16
-#: Words that a worker remembers, and the longest of them; it starts anew when there are more.
-REMEMBERED, LONGEST = 300_000, 40
+#: Words, and pieces of them, that a worker remembers (up to twice as many), and the longest of them.
+REMEMBERED, LONGEST = 250_000, 40
 #: Long texts are encoded so many characters at a time.
 SLICE = 1 << 20
 PIECES = "pos long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -32,11 +31,31 @@ PIECES = "pos long, doc_id long, piece int, start long, length long, ids_crc32 l
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xe0-\xf6\xf8-\xff]+|[0-9]|[^a-z\xe0-\xf6\xf8-\xff0-9]+").findall
 #: Words of printable ASCII and Latin-1 letters: no other normal form, one lower case a letter. The
 #: library parts words at a sharp s, so words with it are left to it.
-PLAIN = regex.compile("[!-~\xc0-\xd6\xd8-\xde\xe0-\xf6\xf8-\xff]+").fullmatch
+PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xde\xe0-\xf6\xf8-\xff]+").fullmatch
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder(dict):
+class Remembering(dict):
+    """A function's values by text; short texts are remembered. When they are many, those that weren't met
+    since the last such time are forgotten."""
+
+    def __init__(self, function: Callable[[str], bytes]):
+        super().__init__()
+        self.function, self.before = function, {}
+
+    def __missing__(self, said: str) -> bytes:
+        out = self.before.get(said)
+        if out is None:
+            out = self.function(said)
+        if len(said) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[said] = out
+        return out
+
+
+class Encoder:
     """A word's ids as little-endian 32-bit integers, by the vocabulary file of a word-end byte-pair model.
 
     White space separates tokens and is dropped, so a text's ids are its words' ids one after the other.
@@ -46,28 +65,26 @@ class Encoder(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)").search
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.letters = {b: b if b in plain else next(others) for b in range(256)}
+        self.pieces, self.words = Remembering(self._piece), Remembering(self._word)
 
-    def __missing__(self, word: str) -> bytes:
-        if PLAIN(word) and len(word) < 1000 and not any(s in word.lower() for s in self.special):
-            pieces = SPLIT(word.lower())
-            if not word.isascii():
-                pieces = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-            ids = [t.id for p in pieces for t in self.model.tokenize(p)]
-        else:
-            ids = self.library.encode(word, add_special_tokens=False).ids
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = out
-        return out
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        if PLAIN(word) and len(word) < 1000 and not self.special(word):
+            return b"".join(map(self.pieces.__getitem__, SPLIT(word.lower())))
+        ids = self.library.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         out, at = [], 0
@@ -75,7 +92,7 @@ class Encoder(dict):
             end = at + SLICE
             end = len(text) if end >= len(text) or (end := text.find(" ", end)) < 0 else end
             words = text[at:end].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            out.append(b"".join(map(self.__getitem__, words)))
+            out.append(b"".join(map(self.words.__getitem__, words)))
             at = end
         return b"".join(out)
 

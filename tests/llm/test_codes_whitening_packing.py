@@ -197,7 +197,7 @@ def test_words_of_every_plain_letter_equal_the_library():
     rng = random.Random(1)
     said = [w for c in letters for w in (c, f"ab{c}cd", f"{c}{c}", f"A{c}'s9{c}")] + ["".join(rng.choices(letters, k=9)) for _ in range(3000)]
     for w in said:
-        assert own[w] == np.array(own.library.encode(w, add_special_tokens=False).ids, np.uint32).tobytes(), w
+        assert own.words[w] == np.array(own.library.encode(w, add_special_tokens=False).ids, np.uint32).tobytes(), w
 
 
 def fewest(lengths, room):
