@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallypair.operators.ranks import pages, stored
 from tallypair.operators.verdicts import collapse_orders
 
 JUDGED = "completion_tokens int, prompt_tokens int, total_tokens int, reasoning_tokens int"
@@ -42,7 +43,24 @@ def encode(df: DataFrame, load: Callable, keys: list[str], column: str) -> DataF
     return mapped(rows, load, f"{kept}, embedding array<double>").where("embedding is not null")
 
 
-def summarize_clusters(texts: DataFrame, load: Callable, keys: list[str]) -> DataFrame:
-    """One ``summary`` for each row of ``keys`` and grouped ``texts``."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
-    return mapped(texts.select(*keys, "texts"), load, f"{kept}, summary string")
+def summarize_clusters(rows: DataFrame, load: Callable, keys: list[str], source: str = "source", page: int = 10_000) -> DataFrame:
+    """One ``summary`` for each cluster ``keys`` of texts ``rows`` (``keys, source``) by the user's summarizer of
+    ``keys, texts``; texts in their order.
+
+    A summarizer gets ``page`` texts at most. A larger cluster's pages are summarized side by side, and then
+    their summaries, in the pages' order, in place of its texts, until one is left.
+    """
+    if page < 2:
+        raise ValueError("a page needs two texts")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    texts, order, done = rows.select(*keys, F.col(source).alias("text")), ["text"], None
+    while True:
+        paged = pages(texts, keys, order, page)
+        by_page = paged.groupBy(*keys, "page").agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("text").alias("said")))), lambda x: x["said"]).alias("texts"))
+        said = stored(mapped(by_page, load, f"{kept}, page int, total long, summary string"), "summaries")
+        whole = said.where(F.col("total") <= page).select(*keys, "summary")
+        done = whole if done is None else done.unionByName(whole)
+        more = said.where(F.col("total") > page)
+        if not more.limit(1).count():
+            return done
+        texts, order = more.select(*keys, "page", F.col("summary").alias("text")).withColumnRenamed("page", "place"), ["place"]

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallypair.functions.parse import seeded
-from tallypair.operators.sampling import seeded_rank
+from tallypair.operators.ranks import beside
+from tallypair.operators.sampling import first_in_groups, seeded_rank
 
 PAIR = ["category", "id1", "status1", "id2", "status2"]
 
@@ -62,9 +63,12 @@ def image_manifest(pairs: DataFrame, prefix: str) -> DataFrame:
 def sample_per_category(rows: DataFrame, most: int, key: str, category: str, by: list[str], seed: int = 42) -> DataFrame:
     """Within each group of ``by`` that has more than ``most`` rows: the first ``most // categories`` of
     each category in seeded order; other groups stay whole."""
-    counts = rows.groupBy(*by, category).agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("categories"))
-    ranked = seeded_rank(rows.join(counts, by), [*by, category], seed, key)
-    return ranked.where((F.col("total") <= most) | (F.col("rank") <= F.floor(F.lit(most) / F.col("categories")))).select(*rows.columns)
+
+    def quota(groups: DataFrame) -> DataFrame:
+        outer = groups.groupBy(*by).agg(F.sum("there").alias("total"), F.count(F.lit(1)).alias("categories"))
+        return beside(groups, outer, by).withColumn("quota", F.when(F.col("total") > most, F.floor(F.lit(most) / F.col("categories"))))
+
+    return first_in_groups(rows, [*by, category], seed, (key,), quota)
 
 
 def sample_folders(rows: DataFrame, folders: int, images: int, folder: str, key: str, seed: int = 42) -> DataFrame:
@@ -75,7 +79,7 @@ def sample_folders(rows: DataFrame, folders: int, images: int, folder: str, key:
     kept = rows.join(names, folder, "left_semi").select(*rows.columns)
     if images < 0:
         return kept
-    return seeded_rank(kept, [folder], seed, key).where(F.col("rank") <= images).drop("rank")
+    return first_in_groups(kept, [folder], seed, (key,), lambda groups: groups.withColumn("quota", F.lit(images).cast("long")))
 
 
 def _squared(a: Column, b: Column) -> Column:

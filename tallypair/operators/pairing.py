@@ -35,12 +35,13 @@ def pairs_cross_strategy(items: DataFrame, salts: int = 4) -> DataFrame:
     return both.select(*[F.col(f"a.{c}").alias(c) for c in ("task", "image_class")], F.col("a.strategy").alias("strategy1"), F.col("a.image_id").alias("image_id1"), F.col("b.strategy").alias("strategy2"), F.col("b.image_id").alias("image_id2"))
 
 
-def participant_pairs(versions: DataFrame, seed: int = 42, by: str = "status") -> DataFrame:
-    """One seeded status (or strategy) for each id of a category, then all pairs in which it differs."""
+def participant_pairs(versions: DataFrame, seed: int = 42, by: str = "status", salts: int = 4) -> DataFrame:
+    """One seeded status (or strategy) for each id of a category, then all pairs in which it differs; a
+    category with many ids is spread over ``salts`` tasks."""
     pick = Window.partitionBy("category", "base_id").orderBy(seeded(seed, "category", "base_id", by), by)
     one = versions.withColumn("n", F.row_number().over(pick)).where("n = 1").select("category", "base_id", by)
-    a, b = one.alias("a"), one.alias("b")
-    both = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.base_id") < F.col("b.base_id")) & (F.col(f"a.{by}") != F.col(f"b.{by}")))
+    one = one.withColumn("image_id", F.col("base_id")).withColumn("status", F.col(by))
+    both = _pairs(one, ["category"], F.col("a.base_id") < F.col("b.base_id"), F.col("a.status") != F.col("b.status"), salts)
     return both.select(F.col("a.category").alias("category"), F.col("a.base_id").alias("id1"), F.col(f"a.{by}").alias(f"{by}1"), F.col("b.base_id").alias("id2"), F.col(f"b.{by}").alias(f"{by}2"))
 
 

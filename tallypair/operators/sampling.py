@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallypair.functions.parse import seeded
+from tallypair.operators.ranks import beside, stored
 
 
 def seeded_rank(rows: DataFrame, by: list[str], seed: int, *keys: str) -> DataFrame:
@@ -26,28 +29,56 @@ def seeded_rank(rows: DataFrame, by: list[str], seed: int, *keys: str) -> DataFr
     return ranked.select(*rows.columns, "rank")
 
 
+def first_in_groups(rows: DataFrame, by: list[str], seed: int, keys: tuple[str, ...], quota: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of each group the first rows in seeded order, as many as ``quota`` adds as ``quota`` to the groups' sizes
+    (``by, there``; null: all).
+
+    The rows are computed once and stored with their slot of the hash. From the slots' counts it is known
+    which slots are taken whole and which is cut: only rows of that one are ranked.
+    """
+    at = seeded(seed, *keys)
+    pool = stored(rows.withColumns({"_at": at, "_slot": F.substring(at, 1, 4)}), "pool")
+    slots = pool.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = quota(slots.groupBy(*by).agg(F.sum("_n").alias("there"))).select(*by, "quota")
+    through = F.sum("_n").over(Window.partitionBy(*by).orderBy("_slot"))
+    cut = beside(slots, sizes, by).withColumn("_over", through - F.coalesce("quota", through))
+    kept = cut.where("_over < _n").select(*by, "_slot", F.when(F.col("_over") > 0, F.col("_n") - F.col("_over")).alias("_take"))
+    taken = beside(pool, kept, [*by, "_slot"])
+    whole, border = taken.where("_take is null"), taken.where("_take is not null")
+    first = F.row_number().over(Window.partitionBy(*by, "_slot").orderBy("_at", *keys))
+    border = border.withColumn("_first", first).where("_first <= _take")
+    return whole.select(*rows.columns).unionByName(border.select(*rows.columns))
+
+
 def balanced_sample(pairs: DataFrame, most: int, seed: int = 42, by: str = "status", keys: tuple[str, ...] = ("base1", "base2")) -> DataFrame:
     """If there are more than ``most`` pairs (and it is positive): of each pair of statuses (or
     strategies) the first ``most // groups`` in seeded order; no redistribution, and maybe none."""
     if most <= 0:
         return pairs
-    a, b = F.least(f"{by}1", f"{by}2").alias("type1"), F.greatest(f"{by}1", f"{by}2").alias("type2")
-    counts = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("there"))
-    whole = counts.agg(F.sum("there").alias("total"), F.count(F.lit(1)).alias("groups"))
-    quota = whole.select(F.when(F.col("total") > most, F.floor(F.lit(most) / F.col("groups"))).alias("quota"))
-    ranked = seeded_rank(pairs.withColumns({"type1": a, "type2": b}), ["type1", "type2"], seed, *keys)
-    return ranked.crossJoin(F.broadcast(quota)).where(F.col("quota").isNull() | (F.col("rank") <= F.col("quota"))).select(*pairs.columns)
+
+    def quota(groups: DataFrame) -> DataFrame:
+        whole = groups.agg(F.sum("there").alias("total"), F.count(F.lit(1)).alias("groups"))
+        return groups.crossJoin(F.broadcast(whole)).withColumn("quota", F.when(F.col("total") > most, F.floor(F.lit(most) / F.col("groups"))))
+
+    typed = pairs.withColumns({"type1": F.least(f"{by}1", f"{by}2"), "type2": F.greatest(f"{by}1", f"{by}2")})
+    return first_in_groups(typed, ["type1", "type2"], seed, keys, quota).select(*pairs.columns)
 
 
 def sample_n_per_group(rows: DataFrame, n: int, by: list[str], key: str, seed: int = 42, total: bool = False, strict: bool = False) -> DataFrame:
     """The first ``n`` rows of each group in seeded order; ``total``: ``n`` is shared out evenly, rounded
     down. ``strict``: a group that has fewer fails the job, as a draw of a fixed size does."""
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("there"))
-    share = F.floor(F.lit(n) / F.count(F.lit(1))) if total else F.lit(n)
-    quota = sizes.agg(share.cast("long").alias("quota"), F.min("there").alias("least"))
-    if strict:
-        quota = quota.select(F.when(F.col("least") >= F.col("quota"), F.col("quota")).otherwise(F.raise_error(F.lit("a group has too few rows")).cast("long")).alias("quota"))
-    return seeded_rank(rows, by, seed, key).crossJoin(F.broadcast(quota.select("quota"))).where("rank <= quota").select(*rows.columns)
+
+    def quota(groups: DataFrame) -> DataFrame:
+        if not total:
+            out = groups.withColumn("quota", F.lit(n).cast("long"))
+        else:
+            share = groups.agg(F.floor(F.lit(n) / F.count(F.lit(1))).cast("long").alias("quota"))
+            out = groups.crossJoin(F.broadcast(share))
+        if strict:
+            out = out.withColumn("quota", F.when(F.col("there") >= F.col("quota"), F.col("quota")).otherwise(F.raise_error(F.lit("a group has too few rows")).cast("long")))
+        return out
+
+    return first_in_groups(rows, by, seed, (key,), quota)
 
 
 def band_filter(rows: DataFrame, columns: tuple[str, ...], width: float = 0.5, most: int | None = None, key: str | None = None, seed: int = 42) -> DataFrame:

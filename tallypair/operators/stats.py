@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import least_of_later
+
 
 def cell_means(long: DataFrame, cells: list[str]) -> DataFrame:
     return long.groupBy(*cells).agg(F.avg("chosen").alias("cell_mean"), F.count("chosen").alias("cell_n"))
@@ -54,14 +56,21 @@ def contrasts(long: DataFrame, cells: list[str], focal: str, by: list[str], leve
     return rows.select(*by, F.inline(F.array(*[one(i, a, b) for i, (a, b) in enumerate(pairs)])))
 
 
-def bh_adjust(tests: DataFrame, by: list[str], p: str = "p", *keys: str) -> DataFrame:
-    """Benjamini-Hochberg: the least p * n / rank over larger ranks, at most 1; null p stay out of n."""
-    own = Window.partitionBy(*by, F.col(p).isNull())
-    rank = F.row_number().over(own.orderBy(p, *keys))
-    out = tests.withColumns({"_rank": rank, "_n": F.count(p).over(own)})
-    later = own.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    least = F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(later)
-    return out.withColumn("p_adjusted", F.when(F.col(p).isNotNull(), F.least(least, F.lit(1.0)))).drop("_rank", "_n")
+def bh_adjust(tests: DataFrame, by: list[str], p: str = "p", parts: int | None = None) -> DataFrame:
+    """``tests`` with ``p_adjusted`` (Benjamini-Hochberg): the least p * n / rank over larger ranks of the
+    family, at most 1; null p stay out of n, null families are one.
+
+    A family may be all rows: equal p are one row with their count, which holds the rank of the last of
+    them; a scan over stretches of the order then finds the minima, so no task holds a family.
+    """
+    alike = tests.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
+    value = F.col(p) * F.col("_all") / F.col("_through")
+    least = least_of_later(alike, by, [p], "_n", value, parts).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(p).alias("_p"), "least")
+    same = F.col(p) == F.col("_p")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    joined = tests.join(least, same, "left")
+    return joined.select(*tests.columns, F.when(F.col(p).isNotNull(), F.least("least", F.lit(1.0))).alias("p_adjusted"))
 
 
 def head2head_long(results: DataFrame) -> DataFrame:

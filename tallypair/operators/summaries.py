@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallypair.functions.parse import seeded
+from tallypair.operators.ranks import beside, pages
 
 #: Fixed value: the published price of an image, in dollars.
 IMAGE_COST = 0.039
@@ -46,11 +46,14 @@ def set_task_counts(sets: DataFrame, tasks: list[str]) -> DataFrame:
     return wide.withColumn("total", total)
 
 
-def differences_by_category(rows: DataFrame, key: str = "base") -> DataFrame:
-    """``category, n, differences``: the bulleted text of a category for a summarizer, one whatever its size."""
-    said = rows.groupBy("category").agg(F.array_sort(F.collect_list(F.struct(key, "differences"))).alias("said"))
+def differences_by_category(rows: DataFrame, key: str = "base", page: int = 20_000) -> DataFrame:
+    """``category, page, n, differences``: the bulleted text of a category for a summarizer, in the order of
+    ``key``. Each ``page`` rows of a category are a text of their own, numbered from 0, so no task holds
+    more than a page; the texts of a category, joined by line ends, are its text."""
+    said = pages(rows.select("category", key, "differences"), ["category"], [key, "differences"], page)
+    said = said.groupBy("category", "page").agg(F.array_sort(F.collect_list(F.struct(key, "differences"))).alias("said"))
     text = F.array_join(F.transform("said", lambda x: F.concat(F.lit("- "), x["differences"])), "\n")
-    return said.select("category", F.size("said").cast("long").alias("n"), text.alias("differences"))
+    return said.select("category", "page", F.size("said").cast("long").alias("n"), text.alias("differences"))
 
 
 def themes_by_category(rows: DataFrame, themes: DataFrame) -> DataFrame:
@@ -64,9 +67,11 @@ def level_sizes(n: Column) -> Column:
     return F.array_distinct(halves)
 
 
-def cluster_members(labels: DataFrame, group: list[str], item: str) -> DataFrame:
-    """Size and items, in order, of every cluster of every level; readers of large clusters use the labels."""
-    return labels.groupBy(*group, "level", "cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), F.sort_array(F.collect_list(item)).alias("members"))
+def cluster_members(labels: DataFrame, group: list[str], item: str, page: int = 10_000) -> DataFrame:
+    """Size and items, in order, of every cluster of every level: a row for each ``page`` items, numbered from
+    0. The top level's cluster holds its whole group, so only its pages are ever in a task."""
+    keys = [*group, "level", "cluster_id"]
+    return pages(labels.select(*keys, item), keys, [item], page).groupBy(*keys, "page").agg(F.max("total").alias("cluster_size"), F.sort_array(F.collect_list(item)).alias("members"))
 
 
 def cluster_sources(labels: DataFrame, summaries: DataFrame, group: list[str], item: str) -> DataFrame:
@@ -78,7 +83,8 @@ def cluster_sources(labels: DataFrame, summaries: DataFrame, group: list[str], i
     known = summaries.select(*group, (F.col("level") + 1).alias("level"), F.col("cluster_id").alias("prior"), "summary")
     told = told.join(known, [*group, "level", "prior"], "left").withColumn("source", F.when(F.col("level") == 1, F.col("text")).otherwise(F.col("summary")))
     rows = told.select(*group, "level", "cluster_id", F.when(F.col("level") == 1, F.col(item)).otherwise(F.col("prior")).alias("part"), "source").distinct()
-    return rows.withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy(*group, "level", "cluster_id")) == 1)
+    keys = [*group, "level", "cluster_id"]
+    return beside(rows, rows.groupBy(*keys).agg((F.count(F.lit(1)) == 1).alias("alone")), keys)
 
 
 def item_levels(labels: DataFrame, summaries: DataFrame, group: list[str], item: str, levels: list[int]) -> DataFrame:

@@ -40,7 +40,7 @@ def differences(get: Get) -> DataFrame:
     return get("items").selectExpr("task AS category", "base", "concat(image_class, ' differs in ', status) AS differences")
 
 
-BULLETS = f"""(SELECT task AS category, count(*) AS n, string_agg('- ' || concat(image_class, ' differs in ', status), chr(10) ORDER BY base) AS differences FROM {sql('items')} GROUP BY task)"""
+BULLETS = f"""(SELECT task AS category, 0 AS page, count(*) AS n, string_agg('- ' || concat(image_class, ' differs in ', status), chr(10) ORDER BY base) AS differences FROM {sql('items')} GROUP BY task)"""
 add("a13_differences_by_category", lambda g: summaries.differences_by_category(differences(g)), f"SELECT * FROM {BULLETS}")
 add("a13_themes_by_category", lambda g: summaries.themes_by_category(differences(g), summaries.differences_by_category(differences(g)).select("category", F.md5("differences").alias("themes"))), f"""
 SELECT task AS category, base, concat(image_class, ' differs in ', status) AS differences, themes FROM {sql('items')} JOIN (SELECT category, md5(differences) AS themes FROM {BULLETS}) t ON t.category = task""")
@@ -133,8 +133,9 @@ TOLD = f"(SELECT DISTINCT grp, level, cluster_id, concat_ws(':', grp, level, clu
 add("t1_level_sizes", lambda g: g("verdicts").groupBy("task").agg(F.count(F.lit(1)).alias("n")).select("task", F.posexplode(summaries.level_sizes(F.col("n"))).alias("place", "size")), f"""
 WITH c AS (SELECT task, count(*) AS n FROM {sql('verdicts')} GROUP BY task), s AS (SELECT DISTINCT task, CAST(ceil(n / pow(2, k)) AS BIGINT) AS size FROM c, range(1, 63) r(k))
 SELECT task, CAST(row_number() OVER (PARTITION BY task ORDER BY size DESC) - 1 AS INTEGER) AS place, size FROM s""")
-add("t3_cluster_members", lambda g: summaries.cluster_members(clustered(g), ["grp"], "item").withColumn("members", F.concat_ws(",", F.transform("members", lambda x: x.cast("string")))), f"""
-SELECT grp, level, cluster_id, count(*) AS cluster_size, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS members FROM {LABELS} GROUP BY grp, level, cluster_id""")
+add("t3_cluster_members", lambda g: summaries.cluster_members(clustered(g), ["grp"], "item", 500).withColumn("members", F.concat_ws(",", F.transform("members", lambda x: x.cast("string")))), f"""
+SELECT grp, level, cluster_id, page, any_value(size) AS cluster_size, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS members
+FROM (SELECT *, CAST((row_number() OVER c - 1) // 500 AS INTEGER) AS page, count(*) OVER (PARTITION BY grp, level, cluster_id) AS size FROM {LABELS} WINDOW c AS (PARTITION BY grp, level, cluster_id ORDER BY item)) GROUP BY grp, level, cluster_id, page""")
 add("t4_cluster_sources", lambda g: summaries.cluster_sources(clustered(g), told(g), ["grp"], "item"), f"""
 WITH l AS (SELECT * FROM {LABELS}), r AS (SELECT grp, level, cluster_id, item AS part, text AS source FROM l WHERE level = 1
   UNION SELECT l.grp, l.level, l.cluster_id, p.cluster_id, s.summary FROM l JOIN l p ON p.grp = l.grp AND p.item = l.item AND p.level = l.level - 1 JOIN {TOLD} s ON s.grp = p.grp AND s.level = p.level AND s.cluster_id = p.cluster_id)
@@ -161,6 +162,7 @@ def load_encoder() -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def load_summarizer() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The number of texts, and the first of them."""
     return lambda batch: batch.drop(columns="texts").assign(summary=[f"{len(t)} from {min(t)}" for t in batch["texts"]])
 
 
@@ -170,7 +172,7 @@ SELECT pair_id, CASE WHEN right(base1, 1) = right(base2, 1) THEN 'inconsistent'
   CAST(2 AS BIGINT) AS completion_tokens, CAST(4 AS BIGINT) AS prompt_tokens, CAST(6 AS BIGINT) AS total_tokens, CAST(0 AS BIGINT) AS reasoning_tokens FROM {sql('verdicts')}""")
 add("u2_encode", lambda g: user.encode(g("verdicts"), load_encoder, ["pair_id"], "base1").selectExpr("pair_id", "embedding[0] AS x", "embedding[1] AS y"), f"""
 SELECT pair_id, CAST(length(base1) AS DOUBLE) AS x, CAST(length(base1) - length(replace(base1, '_', '')) AS DOUBLE) AS y FROM {sql('verdicts')}""")
-add("u3_summarize_clusters", lambda g: user.summarize_clusters(summaries.cluster_sources(clustered(g), told(g), ["grp"], "item").groupBy("grp", "level", "cluster_id").agg(F.collect_list("source").alias("texts")), load_summarizer, ["grp", "level", "cluster_id"]), f"""
+add("u3_summarize_clusters", lambda g: user.summarize_clusters(summaries.cluster_sources(clustered(g), told(g), ["grp"], "item"), load_summarizer, ["grp", "level", "cluster_id"]), f"""
 SELECT grp, level, cluster_id, count(*) || ' from ' || min(source) AS summary FROM ({ORACLES["t4_cluster_sources"]}) GROUP BY grp, level, cluster_id""")
 
 

@@ -70,6 +70,25 @@ SELECT k.key, CASE k.key WHEN 'task.name' THEN 't-' || model ELSE k.value END AS
   (VALUES ('task.name', NULL), ('evaluate.strategy_name', 's'), ('evaluate.iterations', '3'), ('evaluate.seeds', '[1, 2]')) k(key, value)""")
 
 
+YAML = """concat('run:\n  started: 2024-03-', lpad(CAST(1 + length(model) % 28 AS STRING), 2, '0'), '\n  seeds: [1, 2]\n  on: true\n  ratio: 0.5\n  none: ~\n1: ', model, '\nname: "a: b"\n')"""
+
+
+def yaml_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configs in YAML, a run each, with dates, flags and numbers as keys; every fifth is broken."""
+    folder = files.scratch(spark, "yaml")
+    runs = fixture(spark, sf_dir, "verdicts").selectExpr("model", "pair_id % 20 AS run").distinct()
+    runs.selectExpr("model", "run", f"CASE WHEN run % 5 = 4 THEN concat('a: [', model) ELSE {YAML} END AS value").write.partitionBy("model", "run").text(folder)
+    flat = files.flatten_configs(spark, folder, "*.txt")
+    named = flat.select(files.path_part(3, F.col("path")).alias("model"), files.path_part(2, F.col("path")).alias("run"), "props", F.col("error").isNotNull().alias("bad"))
+    return named.select("model", "run", "bad", F.explode_outer("props").alias("key", "value"))
+
+
+add("s5_flatten_configs_yaml", yaml_configs, f"""
+WITH r AS (SELECT DISTINCT model, pair_id % 20 AS run FROM {sql('verdicts')}), k(key, value) AS (VALUES ('run.started', NULL), ('run.seeds', '[1, 2]'), ('run.true', 'true'), ('run.ratio', '0.5'), ('run.none', NULL), ('1', NULL), ('name', 'a: b'))
+SELECT 'model=' || model AS model, 'run=' || run AS run, false AS bad, key, CASE key WHEN 'run.started' THEN '2024-03-' || lpad(CAST(1 + length(model) % 28 AS VARCHAR), 2, '0') WHEN '1' THEN model ELSE value END AS value
+FROM r, k WHERE run % 5 <> 4 UNION ALL SELECT 'model=' || model, 'run=' || run, true, NULL, NULL FROM r WHERE run % 5 = 4""")
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = files.scratch(spark, "images")
     fixture(spark, sf_dir, "images").selectExpr("image_path", "vec_id % 10 AS part").repartition("part").write.partitionBy("part").text(folder)
@@ -104,8 +123,8 @@ add("s8_read_catalogue", catalogue, f"SELECT i.image_id AS item_id, i.task AS pr
 
 def housing(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = files.scratch(spark, "housing")
-    rows = fixture(spark, sf_dir, "housing").orderBy("id").selectExpr("3 AS bedrooms", "2 AS bathrooms", "area", "'0' AS zipcode", "price")
-    rows.coalesce(1).write.option("sep", " ").csv(folder)
+    rows = fixture(spark, sf_dir, "housing").repartitionByRange("id").sortWithinPartitions("id").selectExpr("3 AS bedrooms", "2 AS bathrooms", "area", "'0' AS zipcode", "price")
+    rows.write.option("sep", " ").csv(folder)  # part files in the order of the ids
     return files.read_housing(spark, folder).selectExpr("id", "area", "round(price, 2) AS price")
 
 

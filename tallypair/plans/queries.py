@@ -170,7 +170,7 @@ g AS (SELECT DISTINCT pair_id, strategy FROM u), x AS (SELECT strategy, p.a, p.b
 SELECT x.strategy, x.b || ' - ' || x.a AS contrast, round(mb.emm - ma.emm, 6) AS estimate, round(sqrt(s * factor), 6) AS se
 FROM x JOIN m ma ON ma.strategy = x.strategy AND ma.type = x.a JOIN m mb ON mb.strategy = x.strategy AND mb.type = x.b, f""".replace("SELECT strategy, p.a, p.b, sum", "SELECT g.strategy, p.a, p.b, sum"))
 add("m6_contrasts_pairwise", lambda g: rounded(stats.contrasts(kept(g), CELLS, "type", ["strategy"], LEVELS, pairwise=True), "estimate", "se"), f"SELECT strategy, split_part(contrast, ' - ', 2) || ' - ' || split_part(contrast, ' - ', 1) AS contrast, -estimate AS estimate, se FROM ({ORACLES['m6_contrasts']})")
-add("m7_bh_adjust", lambda g: rounded(stats.bh_adjust(g("verdicts").selectExpr("pair_id", "task", "CASE WHEN pair_id % 10 = 0 THEN NULL ELSE CAST(pair_id * 7919 % 100003 AS DOUBLE) / 100003 END AS p"), ["task"], "p", "pair_id"), "p", "p_adjusted"), f"""
+add("m7_bh_adjust", lambda g: rounded(stats.bh_adjust(g("verdicts").selectExpr("pair_id", "task", "CASE WHEN pair_id % 10 = 0 THEN NULL ELSE CAST(pair_id * 7919 % 100003 AS DOUBLE) / 100003 END AS p"), ["task"], "p"), "p", "p_adjusted"), f"""
 WITH t AS (SELECT pair_id, task, CASE WHEN pair_id % 10 = 0 THEN NULL ELSE CAST(pair_id * 7919 % 100003 AS DOUBLE) / 100003 END AS p FROM {sql('verdicts')}),
 r AS (SELECT *, row_number() OVER (PARTITION BY task, p IS NULL ORDER BY p, pair_id) AS k, count(p) OVER (PARTITION BY task, p IS NULL) AS n FROM t)
 SELECT pair_id, task, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(min(p * n / k) OVER (PARTITION BY task, p IS NULL ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) END, 6) AS p_adjusted FROM r""")

@@ -6,9 +6,10 @@ import json
 import tempfile
 import uuid
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAIR_RESULTS = "image_class string, base1 string, base2 string, choice string, reason string, completion_tokens long, prompt_tokens long, total_tokens long, reasoning_tokens long"
@@ -39,33 +40,59 @@ def image_index(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
 
 
 def flatten_configs(spark: SparkSession, folder: str, glob: str = "*.yaml") -> DataFrame:
-    """``path, props``: nested run configs as dotted keys; lists are JSON text, nulls are null. JSON configs
-    are read as they are; others need a YAML library on the executors."""
+    """``path, props, error``: nested run configs as dotted keys. Lists and sets are JSON text, dates ISO text,
+    nulls null; keys of any kind are text. A file that can't be read, or isn't a mapping, has no properties
+    and says why. JSON configs are read as they are; others need a YAML library on the executors."""
     texts = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder, wholetext=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "props": [_dotted(_load(t)) for t in batch["value"]]})
+            read = [_config(t) for t in batch["value"]]
+            yield pd.DataFrame({"path": batch["path"], "props": [p for p, _ in read], "error": [e for _, e in read]})
 
-    return texts.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, "path string, props map<string,string>")
+    return texts.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, "path string, props map<string,string>, error string")
 
 
-def _load(text: str) -> dict:
+def _config(text: str) -> tuple[dict[str, str | None] | None, str | None]:
     try:
-        return json.loads(text)
-    except ValueError:
-        import yaml
+        try:
+            value = json.loads(text)
+        except ValueError:
+            import yaml
 
-        return yaml.safe_load(text) or {}
+            value = yaml.safe_load(text)
+        if value is not None and not isinstance(value, dict):
+            raise TypeError("not a mapping")
+        return _dotted(value or {}), None
+    except Exception as e:  # noqa: BLE001  a bad file is a row, not the end of the job
+        return None, f"{type(e).__name__}: {e}"[:500]
+
+
+def _text(value: object) -> str:
+    """A value as text: booleans and numbers as in JSON, dates as ISO text."""
+    return value if isinstance(value, str) else value.isoformat() if isinstance(value, date) else json.dumps(value, default=_plain)
+
+
+def _plain(value: object) -> object:
+    """What JSON lacks: sets in order, mappings' and all other values' text."""
+    return sorted((_text(v) for v in value)) if isinstance(value, (set, frozenset)) else _text(value) if isinstance(value, date) else str(value)
+
+
+def _stringed(value: object) -> object:
+    """Nested mappings with text as keys."""
+    if isinstance(value, dict):
+        return {_text(k): _stringed(v) for k, v in value.items()}
+    return [_stringed(v) for v in value] if isinstance(value, (list, tuple)) else value
 
 
 def _dotted(value: dict, prefix: str = "") -> dict[str, str | None]:
     out: dict[str, str | None] = {}
     for key, x in value.items():
+        name = prefix + _text(key)
         if isinstance(x, dict) and x:
-            out |= _dotted(x, f"{prefix}{key}.")
+            out |= _dotted(x, f"{name}.")
         else:
-            out[prefix + key] = x if x is None or isinstance(x, str) else json.dumps(x)
+            out[name] = x if x is None else _text(_stringed(x))
     return out
 
 
@@ -111,11 +138,28 @@ def read_catalogue(spark: SparkSession, products: str, images: str) -> tuple[Dat
     return spark.read.schema(schema).json(products), spark.read.schema("image_id string, path string").option("header", True).csv(images)
 
 
+HOUSING = "bedrooms double, bathrooms double, area double, zipcode string, price double"
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``id, value``: the lines that aren't blank with their number, from 1, over the files in the order of
+    their paths. Spark reads a file in several splits: each split's lines are counted, the sums of the
+    splits before it added to the line's place in its own."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).where(F.trim("value") != "")
+    counts = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("n"))
+    files = counts.groupBy("_file").agg(F.sum("n").alias("n"))
+    up_to = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = files.select(F.col("_file").alias("_f"), up_to(Window.orderBy("_file")).alias("_files"))  # a row a file
+    splits = counts.select(F.col("_file").alias("_f"), F.col("_start").alias("_s"), up_to(Window.partitionBy("_file").orderBy("_start")).alias("_splits")).join(first, "_f")
+    own = F.row_number().over(Window.partitionBy("_file", "_start").orderBy("_at"))
+    placed = lines.withColumn("_at", F.monotonically_increasing_id()).withColumn("_own", own)
+    return placed.join(splits, (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s"))).select((F.col("_files") + F.col("_splits") + F.col("_own")).alias("id"), "value")
+
+
 def read_housing(spark: SparkSession, path: str) -> DataFrame:
-    """The space-separated table without header. The id is the line's number, so the table, whose rows are
-    one file of a catalogue, is read by one task."""
-    rows = spark.read.schema("bedrooms double, bathrooms double, area double, zipcode string, price double").option("sep", " ").csv(path)
-    return rows.coalesce(1).withColumn("id", F.monotonically_increasing_id() + 1)
+    """The space-separated table without header; the id is the line's number."""
+    lines = numbered_lines(spark, path)
+    return lines.select(F.from_csv("value", HOUSING, {"sep": " "}).alias("row"), "id").select("row.*", "id")
 
 
 def append_results(results: DataFrame, path: str, by: tuple[str, ...] = ("task", "model")) -> None:
