@@ -48,10 +48,12 @@ def fixed_effect_fit(long: DataFrame, factors: list[str], effect: str, cluster:
 
 
 def ssim_of(a: np.ndarray, b: np.ndarray, window: int = 7, data_range: float = 255.0) -> np.ndarray:
-    """Mean structural similarity of planes ``(n, height, width)``, uniform windows, sample covariance."""
+    """Mean structural similarity of planes ``(n, height, width)``, uniform windows, sample covariance. A
+    window's mean is four places of a summed-area table."""
 
     def mean(x: np.ndarray) -> np.ndarray:
-        return np.lib.stride_tricks.sliding_window_view(x, (window, window), axis=(1, 2)).mean(axis=(-1, -2))
+        area = np.pad(x.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+        return (area[:, window:, window:] - area[:, :-window, window:] - area[:, window:, :-window] + area[:, :-window, :-window]) / window**2
 
     fix = window**2 / (window**2 - 1)
     ma, mb = mean(a), mean(b)
@@ -60,55 +62,6 @@ def ssim_of(a: np.ndarray, b: np.ndarray, window: int = 7, data_range: float = 2
     return ((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean(axis=(1, 2))
 
 
-def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """``(height, width, channels)``, by bilinear interpolation between the middles of pixels."""
-
-    def places(new: int, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
-        low = np.floor(at).astype(int)
-        return low, np.minimum(low + 1, old - 1), at - low
-
-    (top, bottom, y), (left, right, x) = places(height, image.shape[0]), places(width, image.shape[1])
-    rows = image[top] * (1 - y)[:, None, None] + image[bottom] * y[:, None, None]
-    return rows[:, left] * (1 - x)[None, :, None] + rows[:, right] * x[None, :, None]
-
-
-def _pixels(image: dict) -> np.ndarray:
-    """An image of Spark's image source as three channels (an opacity is left out, a gray one repeated)."""
-    planes = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"]).astype(float)
-    return planes[:, :, :3] if planes.shape[2] >= 3 else np.repeat(planes[:, :, :1], 3, axis=2)
-
-
-def image_similarity(side: int | None = 224):
-    """A function of two ``image`` columns (Spark's image source): their structural similarity, the mean of
-    three channels. Both are brought to ``side`` x ``side`` first, or with None the second to the size of
-    the first. Null if an image is missing or smaller than the window of 7."""
-
-    @F.pandas_udf(DoubleType())
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        out: list[float | None] = []
-        for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True):
-            if not isinstance(x["data"], bytes) or not isinstance(y["data"], bytes):
-                out.append(None)
-                continue
-            x, y = _pixels(x), _pixels(y)
-            size = (side, side) if side else x.shape[:2]
-            x, y = (v if v.shape[:2] == size else resized(v, *size) for v in (x, y))
-            out.append(float(ssim_of(x.transpose(2, 0, 1), y.transpose(2, 0, 1)).mean()) if min(size) >= 7 else None)
-        return pd.Series(out, dtype=object)
-
-    return score
-
-
-def image_pair_scores(pairs: DataFrame, folder: str, side: int | None = 224) -> DataFrame:
-    """``pairs`` (``path_a, path_b``, paths as the image source gives them) with the ``similarity`` of the
-    images under ``folder``; pairs with an unreadable or missing image go."""
-    read = pairs.sparkSession.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
-    of = {n: read.select(F.col("image.origin").alias(f"path_{n}"), F.col("image").alias(f"_image_{n}")) for n in "ab"}
-    both = pairs.join(of["a"], "path_a").join(of["b"], "path_b")
-    return both.select(*pairs.columns, image_similarity(side)("_image_a", "_image_b").alias("similarity")).where("similarity is not null")
-
-
 @F.pandas_udf(DoubleType())
 def ssim(a: pd.Series, b: pd.Series) -> pd.Series:
     """Of two square planes given as flat arrays of one length; null if the sizes differ or aren't square."""
@@ -167,22 +120,3 @@ def cut(n: int, tree: list[tuple[float, int, int]], clusters: int) -> np.ndarray
         a, b = sorted((find(a), find(b)))
         root[b] = a
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
-
-
-def hierarchical_levels(rows: DataFrame, group: list[str], item: str, linkage: str = "ward", most: int = 8000) -> DataFrame:
-    """``group, item, level, cluster_id``: one agglomerative tree of each group cut at n/2, n/4, ..., 1
-    clusters, items in their order; one item is level 1, cluster 0. Rows without a vector go. A tree needs
-    all distances of its items, so a group of more than ``most`` items fails the job: another tree would
-    be another result."""
-    rows = rows.where(F.col("embedding").isNotNull()).select(*group, item, "embedding")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group, item).schema)
-
-    def levels(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > most:
-            raise ValueError(f"a group has {len(part)} items; a tree takes {most} at most")
-        part = part.sort_values(item, ignore_index=True)
-        tree = merges(np.stack(part["embedding"].tolist()).astype(float), linkage)
-        counts = dict.fromkeys(-(-len(part) // 2**k) for k in range(1, 63))
-        return pd.concat([part[[*group, item]].assign(level=level, cluster_id=cut(len(part), tree, k)) for level, k in enumerate(counts, 1)])
-
-    return rows.groupBy(*group).applyInPandas(levels, f"{kinds}, level int, cluster_id long")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallypair.fixtures import sql
+from tallypair.fixtures import fixture, sql
 from tallypair.functions import labels, user
-from tallypair.operators import helpers, models, sampling, similarity, stats, summaries, verdicts
-from tallypair.plans.queries import BETWEEN, CELL_SQL, CELLS, COS, LEVELS, META, ORACLES, add, images, kept, rounded
+from tallypair.operators import helpers, models, pictures, sampling, similarity, stats, summaries, trees, verdicts
+from tallypair.plans.queries import BETWEEN, CELL_SQL, CELLS, COS, LEVELS, META, ORACLES, QUERIES, add, images, kept, rounded
+from tallypair.sources.files import scratch
 
 Get = Callable[[str], DataFrame]
 TASKS = ["hotels", "houses", "people", "products"]
@@ -40,10 +41,23 @@ def differences(get: Get) -> DataFrame:
     return get("items").selectExpr("task AS category", "base", "concat(image_class, ' differs in ', status) AS differences")
 
 
-BULLETS = f"""(SELECT task AS category, 0 AS page, count(*) AS n, string_agg('- ' || concat(image_class, ' differs in ', status), chr(10) ORDER BY base) AS differences FROM {sql('items')} GROUP BY task)"""
-add("a13_differences_by_category", lambda g: summaries.differences_by_category(differences(g)), f"SELECT * FROM {BULLETS}")
-add("a13_themes_by_category", lambda g: summaries.themes_by_category(differences(g), summaries.differences_by_category(differences(g)).select("category", F.md5("differences").alias("themes"))), f"""
-SELECT task AS category, base, concat(image_class, ' differs in ', status) AS differences, themes FROM {sql('items')} JOIN (SELECT category, md5(differences) AS themes FROM {BULLETS}) t ON t.category = task""")
+BULLETS = f"""(SELECT category, page, count(*) AS n, string_agg('- ' || differences, chr(10) ORDER BY base) AS differences FROM (
+  SELECT task AS category, base, concat(image_class, ' differs in ', status) AS differences, CAST((row_number() OVER (PARTITION BY task ORDER BY base) - 1) // 250 AS INTEGER) AS page FROM {sql('items')}) GROUP BY ALL)"""
+
+
+def bullets(get: Get) -> DataFrame:
+    return summaries.differences_by_category(differences(get), page=250)
+
+
+def themes(get: Get) -> DataFrame:
+    """A stand-in for a model's themes: a digest a page of a category's text."""
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("page", F.md5("differences").alias("digest")))), lambda x: x["digest"])
+    return bullets(get).groupBy("category").agg(F.array_join(digests, ",").alias("themes"))
+
+
+add("a13_differences_by_category", bullets, f"SELECT * FROM {BULLETS}")
+add("a13_themes_by_category", lambda g: summaries.themes_by_category(differences(g), themes(g)), f"""
+SELECT task AS category, base, concat(image_class, ' differs in ', status) AS differences, themes FROM {sql('items')} JOIN (SELECT category, string_agg(md5(differences), ',' ORDER BY page) AS themes FROM {BULLETS} GROUP BY category) t ON t.category = task""")
 
 # --- statistics ----------------------------------------------------------------------------------
 HUMAN = """(SELECT participant_id, pair_id % 701 AS pair, strategy, image1_status AS type, CAST(choice = 1 AS INTEGER) AS chosen FROM {0} UNION ALL SELECT participant_id, pair_id % 701, strategy, image2_status, CAST(choice = 2 AS INTEGER) FROM {0})""".format(sql("responses"))
@@ -187,4 +201,41 @@ def themed(get: Get) -> DataFrame:
 
 add_rows_only("m5_fixed_effect_fit", lambda g: rounded(helpers.fixed_effect_fit(head2head(g), ["strategy", "model"], "task"), "emm", "se"))
 add_rows_only("v4_ssim", lambda g: rounded(halves(g)[0].select("vec_id", helpers.ssim(F.transform("x", lambda v: (v + 1) * 127.5), F.transform("y", lambda v: (v + 1) * 127.5)).alias("similarity")), "similarity"))
-add_rows_only("t2_hierarchical_levels", lambda g: helpers.hierarchical_levels(themed(g), ["grp"], "vec_id"))
+
+
+# --- pictures of 64 rows of 64 pixels, from the vectors -------------------------------------------
+GRAY = "CAST(FLOOR((CAST(x AS DOUBLE) + 1) * 127.5) AS INT)"
+
+
+def picture_folder(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A bitmap for each 64 vectors: their components as red, 255 less it as green, half of it as blue."""
+    folder = scratch(spark, "pictures")
+    rows = fixture(spark, sf_dir, "vectors").selectExpr("CAST(FLOOR(vec_id / 64) AS BIGINT) AS name", "vec_id", f"transform(embedding, x -> least(greatest({GRAY}, 0), 255)) AS red")
+    rows = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("vec_id", "red"))).alias("rows"))
+    pixels = F.flatten(F.transform(F.flatten(F.transform("rows", lambda r: r["red"])), lambda v: F.array(v, 255 - v, F.floor(v / 2).cast("int"))))
+    hexed = F.unhex(F.array_join(F.transform(pixels, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    written = pictures.write_bitmaps(rows.select(F.col("name").cast("string").alias("name"), F.size("rows").alias("height"), F.lit(64).alias("width"), hexed.alias("pixels")), folder)
+    return folder, written
+
+
+def picture_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = picture_folder(spark, sf_dir)
+    read = pictures.pixel_statistics(pictures.picture_planes(spark, folder, None))
+    return read.withColumn("name", F.regexp_extract("path", "([0-9]+)[.]bmp$", 1)).drop("path")
+
+
+def picture_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each picture against the next: only the pixels' resizing and similarity, which SQL lacks."""
+    folder, written = picture_folder(spark, sf_dir)
+    named = written.withColumn("name", F.regexp_extract("path", "([0-9]+)[.]bmp$", 1).cast("long"))
+    origin = lambda n: F.concat(F.lit(folder + "/"), n.cast("string"), F.lit(".bmp"))
+    pairs = named.select("name", origin(F.col("name")).alias("path_a"), origin(F.col("name") + 1).alias("path_b"))
+    return rounded(pictures.image_pair_scores(pairs, folder).select("name", "similarity"), "similarity")
+
+
+QUERIES["v4_picture_statistics"] = picture_statistics
+ORACLES["v4_picture_statistics"] = f"""
+WITH p AS (SELECT CAST(vec_id // 64 AS VARCHAR) AS name, vec_id, unnest(list_transform(embedding, lambda x: least(greatest(CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INTEGER), 0), 255))) AS v FROM {sql('vectors')})
+SELECT name, CAST(count(DISTINCT vec_id) AS INTEGER) AS height, 64 AS width, CAST(sum(v) AS BIGINT) AS red, CAST(sum(255 - v) AS BIGINT) AS green, CAST(sum(v // 2) AS BIGINT) AS blue FROM p GROUP BY name"""
+QUERIES["v4_picture_similarity"] = picture_similarity
+add_rows_only("t2_hierarchical_levels", lambda g: trees.hierarchical_levels(themed(g), ["grp"], "vec_id"))

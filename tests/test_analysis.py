@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tallypair.functions import labels, user
-from tallypair.operators import assembly, helpers, models, stats, summaries
+from tallypair.operators import assembly, helpers, models, pictures, stats, summaries, trees
 from tallypair.sources import files
 
 
@@ -74,12 +74,30 @@ def test_trees_equal_plain_merging(linkage):
 
 def test_levels_of_one_and_of_large_groups(spark):
     rows = [("a", 1, [0.0, 1.0]), ("a", 2, None)] + [("b", i, [float(i), 0.0]) for i in range(30)]
-    got = helpers.hierarchical_levels(spark.createDataFrame(rows, "grp string, item long, embedding array<double>"), ["grp"], "item").collect()
+    got = trees.hierarchical_levels(spark.createDataFrame(rows, "grp string, item long, embedding array<double>"), ["grp"], "item").collect()
     assert [(r.item, r.level, r.cluster_id) for r in got if r.grp == "a"] == [(1, 1, 0)]
     assert {r.item for r in got if r.grp == "b"} == set(range(30))
     assert [len({r.cluster_id for r in got if r.grp == "b" and r.level == k}) for k in (1, 2, 3, 4, 5)] == [15, 8, 4, 2, 1]
     with pytest.raises(Exception, match="a tree takes 10 at most"):
-        helpers.hierarchical_levels(spark.createDataFrame(rows, "grp string, item long, embedding array<double>"), ["grp"], "item", most=10).collect()
+        trees.hierarchical_levels(spark.createDataFrame(rows, "grp string, item long, embedding array<double>"), ["grp"], "item", "average", most=10).collect()
+
+
+@pytest.mark.parametrize("linkage", ["ward", "single"])
+def test_large_groups_get_the_same_levels(spark, linkage):
+    rng = np.random.default_rng(8)
+    rows = [(g, int(i), rng.normal(size=3).tolist()) for g, n in (("a", 150), (None, 61), ("c", 9), ("d", 1)) for i in rng.permutation(n)]
+    frame = spark.createDataFrame(rows, "grp string, item long, embedding array<double>").repartition(3)
+    plain = {(r.grp, r.item, r.level): r.cluster_id for r in trees.hierarchical_levels(frame, ["grp"], "item", linkage).collect()}
+    large = {(r.grp, r.item, r.level): r.cluster_id for r in trees.hierarchical_levels(frame, ["grp"], "item", linkage, most=10, block=16).collect()}
+    assert plain == large and len(plain) > 800
+
+
+def test_wards_merges_without_distances():
+    points = np.random.default_rng(2).normal(size=(200, 5))
+    one, two = helpers.merges(points), trees.ward_merges(points)
+    assert np.allclose([m[0] for m in one], [m[0] for m in two])
+    for k in (100, 50, 7, 2):
+        assert (helpers.cut(200, one, k) == helpers.cut(200, two, k)).all()
 
 
 def test_configs_and_quoted_results_come_back(spark, tmp_path):
@@ -141,6 +159,28 @@ def _bitmap(path, pixels):
     path.write_bytes(b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(rows), 0, 0, 54, 40, width, height, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows)
 
 
+def test_bicubic_resizing_against_single_sums():
+    rng = np.random.default_rng(6)
+    image = rng.integers(0, 256, (11, 9, 2), dtype=np.uint8)
+    kernel = lambda x: 1.5 * abs(x) ** 3 - 2.5 * x * x + 1 if abs(x) < 1 else -0.5 * abs(x) ** 3 + 2.5 * x * x - 4 * abs(x) + 2 if abs(x) < 2 else 0.0
+
+    def line(values, new):
+        """One row of pixels, each new pixel a sum of its own."""
+        scale = len(values) / new
+        out = []
+        for i in range(new):
+            weights = [kernel(((j + 0.5) - (i + 0.5) * scale) / max(scale, 1)) for j in range(len(values))]
+            out.append(min(max(int(np.floor(sum(w * v for w, v in zip(weights, values, strict=True)) / sum(weights) + 0.5)), 0), 255))
+        return out
+
+    for height, width in ((11, 9), (22, 18), (5, 4), (7, 30), (1, 1)):
+        want = np.array([[line(image[r, :, c], width) for c in range(2)] for r in range(11)], int).transpose(0, 2, 1)
+        want = np.array([[line(want[:, x, c], height) for c in range(2)] for x in range(width)], int).transpose(2, 0, 1)
+        got = pictures.resized(image, height, width)
+        assert got.shape == (height, width, 2) and np.abs(got.astype(int) - want).max() <= 1 and (got == want).mean() > 0.97
+    assert (pictures.resized(np.full((5, 5, 3), 77, np.uint8), 12, 3) == 77).all()
+
+
 def test_similarity_of_picture_files(spark, tmp_path):
     rng = np.random.default_rng(5)
     one, two = (rng.integers(0, 256, (20, 24, 3), dtype=np.uint8) for _ in range(2))
@@ -149,9 +189,9 @@ def test_similarity_of_picture_files(spark, tmp_path):
     (tmp_path / "e.bmp").write_bytes(b"no picture")
     of = lambda n: f"file://{tmp_path}/{n}.bmp"
     pairs = spark.createDataFrame([(of("a"), of(x)) for x in "bcdef"], "path_a string, path_b string")
-    plain = {r.path_b[-5]: r.similarity for r in helpers.image_pair_scores(pairs, str(tmp_path), side=None).collect()}
+    plain = {r.path_b[-5]: r.similarity for r in pictures.image_pair_scores(pairs, str(tmp_path), side=None).collect()}
     assert set(plain) == {"b", "c", "d"} and plain["c"] == 1
     assert abs(plain["b"] - helpers.ssim_of(one.transpose(2, 0, 1).astype(float), two.transpose(2, 0, 1).astype(float)).mean()) < 1e-12
-    assert abs(plain["d"] - 1) < 1e-12  # each pixel doubled: the middles of the new pixels lie on the old
-    fixed = {r.path_b[-5]: r.similarity for r in helpers.image_pair_scores(pairs, str(tmp_path)).collect()}
+    assert 0.9 < plain["d"] < 1  # each pixel doubled: the kernel takes some of its neighbours
+    fixed = {r.path_b[-5]: r.similarity for r in pictures.image_pair_scores(pairs, str(tmp_path)).collect()}
     assert fixed["c"] == 1 and fixed["b"] < 0.5 < fixed["d"] <= 1
