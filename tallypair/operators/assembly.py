@@ -86,38 +86,78 @@ def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def kmeans_labels(rows: DataFrame, k: int, key: str, by: str, vector: str, folder: str, rounds: int = 10, seed: int = 42, name: str = "label") -> DataFrame:
-    """``rows`` with ``name`` (0 to ``k - 1``), the nearest of their category's centers after ``rounds``
-    rounds of k-means; ties to the smaller label. The first ``k`` rows of a category in seeded order are
-    the first centers, and a center without rows goes. Rows without a vector have no label.
+class _Means:
+    """Rounds of k-means: rows meet their category's centers in a join, and a label's sums are one row, a
+    column a component, combined before the shuffle. Each round's centers go to ``folder``, so that a
+    round's plan starts there."""
+
+    def __init__(self, rows: DataFrame, k: int, key: str, by: str, vector: str, folder: str, seed: int):
+        self.folder, self.by, self.key = folder, by, key
+        points = rows.where(F.col(vector).isNotNull()).select(F.col(key), F.col(by), F.col(vector).cast("array<double>").alias("_v"))
+        self.points = self.stored(points, "points")
+        some = self.points.select(F.size("_v").alias("n")).first()
+        self.size = some["n"] if some else 0
+        first = seeded_rank(self.points, [by], seed, key).where(F.col("rank") <= k)
+        start = first.select(F.col(by).alias("_by"), (F.col("rank") - 1).cast("int").alias("label"), F.col("_v").alias("at"), F.lit(0).cast("long").alias("seen"))
+        self.centers = self.packed(start, "centers-0")
+
+    def stored(self, table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{self.folder}/{name}")
+        return table.sparkSession.read.schema(table.schema).parquet(f"{self.folder}/{name}")
+
+    def packed(self, table: DataFrame, name: str) -> DataFrame:
+        return self.stored(table.groupBy("_by").agg(F.sort_array(F.collect_list(F.struct("label", "at", "seen"))).alias("centers")), name)
+
+    def labelled(self, points: DataFrame) -> DataFrame:
+        """The nearest center of the category, ties to the smaller label."""
+        near = F.array_min(F.transform("centers", lambda c: F.struct(_squared(F.col("_v"), c["at"]).alias("d"), c["label"].alias("label"))))["label"]
+        return points.join(self.centers, points[self.by] == self.centers["_by"]).select(self.key, points[self.by].alias("_by"), "_v", near.alias("label"))
 
-    Rows meet their category's ``k`` centers in a join and leave sums by label and place, combined before
-    the shuffle; each round's centers are written to ``folder``, so that a round's plan starts there.
-    """
-    points = rows.where(F.col(vector).isNotNull()).select(F.col(key), F.col(by), F.col(vector).cast("array<double>").alias("_v"))
-    first = seeded_rank(points, [by], seed, key).where(F.col("rank") <= k)
-    centers = first.groupBy(F.col(by).alias("_by")).agg(F.sort_array(F.collect_list(F.struct((F.col("rank") - 1).cast("int").alias("label"), F.col("_v").alias("at")))).alias("centers"))
+    def sums(self, points: DataFrame) -> DataFrame:
+        """``_by, label, n, sums`` of the points' labels."""
+        each = self.labelled(points).groupBy("_by", "label").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_v")[i]).alias(f"_s{i}") for i in range(self.size)])
+        return each.select("_by", "label", "n", F.array(*[f"_s{i}" for i in range(self.size)]).alias("sums"))
 
-    def stored(table: DataFrame, name: str) -> DataFrame:
-        table.write.parquet(f"{folder}/{name}")
-        return rows.sparkSession.read.parquet(f"{folder}/{name}")
+    def labels_of(self, rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(self.labelled(self.points).select(self.key, F.col("_by").alias(self.by), F.col("label").alias(name)), [self.key, self.by])
 
-    def labelled(table: DataFrame) -> DataFrame:
-        near = F.array_min(F.transform("centers", lambda c: F.struct(_squared(F.col("_v"), c["at"]).alias("d"), c["label"].alias("label"))))["label"]
-        return points.join(table, points[by] == table["_by"]).select(key, points[by].alias("_by"), "_v", near.alias("label"))
 
-    centers = stored(centers, "centers-0")
+def kmeans_labels(rows: DataFrame, k: int, key: str, by: str, vector: str, folder: str, rounds: int = 10, seed: int = 42, name: str = "label") -> DataFrame:
+    """``rows`` with ``name`` (0 to ``k - 1``), the nearest of their category's centers after ``rounds``
+    rounds of k-means over all rows; ties to the smaller label. The first ``k`` rows of a category in seeded
+    order are the first centers, and a center without rows goes. Rows without a vector have no label."""
+    own = _Means(rows, k, key, by, vector, folder, seed)
     for n in range(1, rounds + 1):
-        means = labelled(centers).select("_by", "label", F.posexplode("_v").alias("i", "x")).groupBy("_by", "label", "i").agg(F.avg("x").alias("x"))
-        at = means.groupBy("_by", "label").agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("at"))
-        centers = stored(at.groupBy("_by").agg(F.sort_array(F.collect_list(F.struct("label", "at"))).alias("centers")), f"centers-{n}")
-    return rows.join(labelled(centers).select(key, F.col("_by").alias(by), F.col("label").alias(name)), [key, by])
-
-
-def density_subsample(rows: DataFrame, n: int, key: str, by: str, vector: str, folder: str, seed: int = 42) -> DataFrame:
-    """About ``n`` rows of each category, by the density of their vectors: k-means into ``n`` clusters, each
-    of which gets its rounded share of ``n``. ``folder``: a new one that all executors share."""
-    return density_allotment(kmeans_labels(rows, n, key, by, vector, folder, seed=seed, name="_cluster"), n, key, by, "_cluster", seed).select(*rows.columns)
+        means = own.sums(own.points).select("_by", "label", F.transform("sums", lambda x: x / F.col("n")).alias("at"), F.col("n").alias("seen"))
+        own.centers = own.packed(means, f"centers-{n}")
+    return own.labels_of(rows, name)
+
+
+def minibatch_labels(rows: DataFrame, k: int, key: str, by: str, vector: str, folder: str, batch: int = 1000, steps: int = 30, seed: int = 42, name: str = "label") -> DataFrame:
+    """As ``kmeans_labels``, but each step takes a batch of about ``batch`` rows of each category: a slot of their
+    seeded order, the slots in turn, and again from the first where a category has fewer than ``steps``. A
+    center moves to the mean of all rows that it ever got: by the batch's share in them. Only rows of slots
+    that a step takes are read again and again; all rows get a label at the end."""
+    own = _Means(rows, k, key, by, vector, folder, seed)
+    slots = own.points.groupBy(F.col(by).alias("_b")).agg(F.ceil(F.count(F.lit(1)) / batch).cast("int").alias("_slots"))
+    place = F.floor(F.conv(F.substring(seeded(seed, key), 1, 12), 16, 10).cast("double") / F.lit(16.0**12) * F.col("_slots")).cast("int")
+    used = own.points.join(slots, F.col(by) == F.col("_b")).drop("_b").withColumn("_slot", place).where(F.col("_slot") < steps)
+    used = own.stored(used, "batches")
+    for n in range(1, steps + 1):
+        new = own.sums(used.where(F.col("_slot") == F.lit(n - 1) % F.col("_slots"))).select(F.col("_by").alias("_b"), F.col("label").alias("_l"), "n", "sums")
+        old = own.centers.select("_by", F.inline("centers"))
+        moved = old.join(new, (F.col("_by") == F.col("_b")) & (F.col("label") == F.col("_l")), "left")
+        seen = F.col("seen") + F.col("n")
+        at = F.when(F.col("n").isNull(), F.col("at")).otherwise(F.zip_with("at", "sums", lambda c, s: c + (s - F.col("n") * c) / seen))
+        own.centers = own.packed(moved.select("_by", "label", at.alias("at"), F.coalesce(seen, "seen").alias("seen")), f"centers-{n}")
+    return own.labels_of(rows, name)
+
+
+def density_subsample(rows: DataFrame, n: int, key: str, by: str, vector: str, folder: str, seed: int = 42, batch: int = 1000, steps: int = 30) -> DataFrame:
+    """About ``n`` rows of each category, by the density of their vectors: mini-batch k-means into ``n``
+    clusters, each of which gets its rounded share of ``n``. ``folder``: a new one that all executors share."""
+    labelled = minibatch_labels(rows, n, key, by, vector, folder, batch, steps, seed, "_cluster")
+    return density_allotment(labelled, n, key, by, "_cluster", seed).select(*rows.columns)
 
 
 def density_allotment(rows: DataFrame, n: int, key: str, by: str, label: str, seed: int = 42) -> DataFrame:

@@ -9,42 +9,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tallypair.functions.parse import seeded
+from .ranks import beside, stored
 
-#: The fit's cells (products of factor levels) may come to the driver up to this number.
-MOST_CELLS = 5000
+#: The fit's parameters (combinations of factor levels, and levels of the effect): the driver solves a
+#: dense system of so many rows at most.
+MOST_PARAMETERS = 3000
 
 
 def fixed_effect_fit(long: DataFrame, factors: list[str], effect: str, cluster: str = "pair_id") -> DataFrame:
-    """``factors, emm, se`` of ``chosen ~ product of factors | effect`` with clustered errors. Spark makes the
-    cells' counts and means and the clusters' cross-products; the driver solves a system of a row a cell."""
-    spark, keys = long.sparkSession, [*factors, effect]
+    """``factors, emm, se`` of ``chosen ~ product of factors | effect`` with clustered errors.
+
+    Spark makes the cells' counts and sums, each cluster's score vector by parameter, and the sum of these
+    vectors' outer products; the driver solves a system of a row a parameter, so there may be as many
+    cells as that has pairs. Clusters never meet one another.
+    """
+    spark = long.sparkSession
     long = long.where(F.col("chosen").isNotNull())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.select(*factors).schema) + ", emm double, se double"
-    cells = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("chosen").alias("y")).limit(MOST_CELLS + 1).toPandas().sort_values(keys, ignore_index=True)
-    if len(cells) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells")
-    if not len(cells):
+    cells = stored(long.groupBy(*factors, effect).agg(F.count(F.lit(1)).alias("n"), F.sum("chosen").cast("double").alias("y")), "cells")
+    combos, levels = (cells.select(*c).distinct().orderBy(*c).limit(MOST_PARAMETERS + 1).toPandas() for c in (factors, [effect]))
+    if len(combos) + len(levels) > MOST_PARAMETERS:
+        raise ValueError(f"more than {MOST_PARAMETERS} parameters")
+    if not len(combos):
         return spark.createDataFrame([], schema)
-    which = cells.groupby(factors, sort=True).ngroup().to_numpy()
-    effects = cells.groupby(effect, sort=True).ngroup().to_numpy()
-    combos, others = which.max() + 1, effects.max()
-    x = np.hstack([np.eye(combos)[which], np.eye(others + 1)[effects][:, 1:]])
-    n, y = cells["n"].to_numpy(float), cells["y"].to_numpy(float)
-    bread = np.linalg.pinv(x.T @ (n[:, None] * x))
-    beta = bread @ (x.T @ (n * y))
-    number = spark.createDataFrame(cells[keys].assign(cell=range(len(cells)), fitted=x @ beta))
-    scores = long.join(F.broadcast(number), keys).groupBy(cluster, "cell").agg(F.sum(F.col("chosen") - F.col("fitted")).alias("e"))
-    both = scores.alias("a").join(scores.alias("b"), cluster)
-    products = both.groupBy(F.col("a.cell").alias("i"), F.col("b.cell").alias("j")).agg(F.sum(F.col("a.e") * F.col("b.e")).alias("s")).toPandas()
-    meat = np.zeros((len(cells), len(cells)))
+    first = spark.createDataFrame(combos.assign(combo=range(len(combos))), long.select(*factors).schema.add("combo", "long"))
+    second = spark.createDataFrame(levels.assign(level=range(len(levels))), long.select(effect).schema.add("level", "long"))
+    numbered = beside(beside(cells, first, factors), second, [effect])
+    table = numbered.select("combo", "level", "n", "y").toPandas()
+    size = len(combos) + len(levels) - 1
+
+    def normal(weight: np.ndarray) -> np.ndarray:
+        """The sum over cells of weight times the outer product of their columns; the first level has none."""
+        out = np.zeros((size, size))
+        c, e = table["combo"].to_numpy(), table["level"].to_numpy()
+        np.add.at(out, (c, c), weight)
+        c, e, w = c[e > 0], len(combos) + e[e > 0] - 1, weight[e > 0]
+        for i, j in ((e, e), (c, e), (e, c)):
+            np.add.at(out, (i, j), w)
+        return out
+
+    c, e = table["combo"].to_numpy(), table["level"].to_numpy()
+    right = np.zeros(size)
+    np.add.at(right, c, table["y"].to_numpy())
+    np.add.at(right, len(combos) + e[e > 0] - 1, table["y"].to_numpy()[e > 0])
+    bread = np.linalg.pinv(normal(table["n"].to_numpy(float)), hermitian=True)
+    beta = bread @ right
+    shift = np.r_[0.0, beta[len(combos) :]]
+    guess = spark.createDataFrame(table[["combo", "level"]].assign(fitted=beta[c] + shift[e]))
+    fitted = numbered.join(guess, ["combo", "level"]).select(*factors, effect, "combo", "level", "fitted")
+    residual = beside(long.groupBy(cluster, *factors, effect).agg(F.sum("chosen").alias("_y"), F.count(F.lit(1)).alias("_n")), fitted, [*factors, effect])
+    of = F.array(F.col("combo"), F.when(F.col("level") > 0, F.col("level") + len(combos) - 1))
+    scores = residual.select(cluster, F.explode(of).alias("at"), (F.col("_y") - F.col("_n") * F.col("fitted")).alias("u")).where("at is not null").groupBy(cluster, "at").agg(F.sum("u").alias("u"))
+    vectors = stored(scores.groupBy(cluster).agg(F.collect_list(F.struct("at", "u")).alias("s")).select("s"), "scores")
+    outer = vectors.select("s", F.inline("s").alias("i", "a")).select("i", "a", F.inline("s").alias("j", "b"))
+    products = outer.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).toPandas()
+    meat = np.zeros((size, size))
     meat[products["i"], products["j"]] = products["s"]
-    total, g, k = n.sum(), long.select(F.countDistinct(cluster)).first()[0], np.linalg.matrix_rank(x)
-    v = bread @ x.T @ meat @ x @ bread * (total - 1) / (total - k) * g / (g - 1)
-    margin = np.hstack([np.eye(combos), np.full((combos, others), 1 / (others + 1))])
+    total, g, k = table["n"].sum(), vectors.count(), np.linalg.matrix_rank(normal(np.ones(len(table))), hermitian=True)
+    v = bread @ meat @ bread * (total - 1) / (total - k) * g / (g - 1)
+    margin = np.hstack([np.eye(len(combos)), np.full((len(combos), len(levels) - 1), 1 / len(levels))])
     se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", margin, v, margin), 0))
-    out = cells.assign(which=which).drop_duplicates("which").sort_values("which")[factors]
-    return spark.createDataFrame(out.assign(emm=margin @ beta, se=se), schema)
+    return spark.createDataFrame(combos.assign(emm=margin @ beta, se=se), schema)
 
 
 def ssim_of(a: np.ndarray, b: np.ndarray, window: int = 7, data_range: float = 255.0) -> np.ndarray:

@@ -116,12 +116,14 @@ def _similarity() -> Column:
 
 
 def image_pair_scores(pairs: DataFrame, folder: str, side: int | None = 224) -> DataFrame:
-    """``pairs`` (``path_a, path_b``, paths as the image source gives them) with the ``similarity`` of the
+    """``pairs`` (``path_a, path_b``, paths as the image source gives them or, of local files, without scheme) with the ``similarity`` of the
     pictures under ``folder``; pairs with an unreadable or missing picture go. With ``side`` each picture is
     brought to that size once, before the join, which so moves small pictures only; with None the second
     of a pair is brought to the size of the first."""
     planes = picture_planes(pairs.sparkSession, folder, side)
     planes = stored(planes, "planes")
-    of = {n: planes.select(F.col("path").alias(f"path_{n}"), *[F.col(c).alias(f"_{c}_{n}") for c in ("height", "width", "data")]) for n in "ab"}
-    both = pairs.join(of["a"], "path_a").join(of["b"], "path_b")
-    return both.select(*pairs.columns, _similarity().alias("similarity")).where("similarity is not null")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    pairs = pairs.withColumns({f"_path_{n}": plain(f"path_{n}") for n in "ab"})
+    of = {n: planes.select(plain("path").alias(f"_path_{n}"), *[F.col(c).alias(f"_{c}_{n}") for c in ("height", "width", "data")]) for n in "ab"}
+    both = pairs.join(of["a"], "_path_a").join(of["b"], "_path_b")
+    return both.select(*[c for c in pairs.columns if not c.startswith("_path_")], _similarity().alias("similarity")).where("similarity is not null")

@@ -81,9 +81,19 @@ def tested(get: Get) -> DataFrame:
     return stats.contrasts(kept(get), CELLS, "type", ["strategy"], LEVELS).crossJoin(F.broadcast(df))
 
 
-# p and limits need the t distribution, which SQL lacks: tests compare them with known values
+# SQL lacks the t distribution: p by Simpson's rule over the angle (x = sqrt(df) tan(angle)), the quantile by
+# its expansion in 1 / df around the normal one, which is exact to 1e-11 from 50 degrees of freedom on
+Z = "1.959963984540054e0"
+QUANTILE = (
+    "(z + (z ** 3 + z) / (4 * {0}) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * {0} ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * {0} ** 3)"
+    " + (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / (92160 * {0} ** 4))"
+).replace("z", Z)
+P_OF_T = """least(1, 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * (SELECT sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp((df - 1) * ln(cos(a0 + (a1 - a0) * i / 4000)))) * (a1 - a0) / 4000 / 3 FROM range(4001) r(i)))"""
 add_rows_only = lambda name, make: (add(name, make, ""), ORACLES.pop(name))
-add_rows_only("m8_t_interval_p", lambda g: rounded(models.t_interval_p(tested(g)), "estimate", "se", "t", "p", "low", "high"))
+add("m8_t_interval_p", lambda g: rounded(models.t_interval_p(tested(g)), "estimate", "se", "t", "p", "low", "high"), f"""
+WITH d AS (SELECT CAST(count(DISTINCT pair_id) - 1 AS DOUBLE) AS df FROM {sql('verdicts')} WHERE choice <> 'inconsistent'), c AS (SELECT * FROM ({ORACLES['m6_contrasts'].replace('round(mb.emm - ma.emm, 6)', 'mb.emm - ma.emm').replace('round(sqrt(s * factor), 6)', 'sqrt(s * factor)')})),
+t AS (SELECT c.*, df, estimate / se AS t, atan(abs(estimate / se) / sqrt(df)) AS a0, least(pi() / 2 - 1e-12, atan(abs(estimate / se) / sqrt(df)) + 20 / sqrt(df)) AS a1 FROM c, d)
+SELECT strategy, contrast, round(estimate, 6) AS estimate, round(se, 6) AS se, CAST(df AS BIGINT) AS df, round(t, 6) AS t, round({P_OF_T}, 6) AS p, round(estimate - se * {QUANTILE.format('df')}, 6) AS low, round(estimate + se * {QUANTILE.format('df')}, 6) AS high FROM t""")
 add("m9_delta_table", lambda g: rounded(models.delta_table(stats.marginal_means(stats.cell_means(kept(g), CELLS), ["strategy", "type"]), stats.contrasts(kept(g), CELLS, "type", ["strategy"], LEVELS), ["strategy"], "type"), "emm", "delta", "se"), f"""
 WITH t AS ({ORACLES['m6_contrasts']}), s AS (SELECT strategy, split_part(contrast, ' - ', 1) AS type, split_part(contrast, ' - ', 2) AS best, estimate, se FROM t
   UNION ALL SELECT strategy, split_part(contrast, ' - ', 2), split_part(contrast, ' - ', 1), -estimate, se FROM t),
@@ -116,7 +126,9 @@ add("v7_similarity_long", lambda g: rounded(both(g), "similarity"), f"SELECT * R
 add("v8_harmonize_metrics", lambda g: rounded(similarity.harmonize_metrics([both(g), both(g).withColumn("distance", 1 - F.col("similarity")).withColumn("metric", F.lit("distance")).drop("similarity")]).select("metric", "label", "path_a", "path_b", "score"), "score"), f"""
 WITH s AS (SELECT metric, similarity AS score, * EXCLUDE (metric, similarity) FROM {STACKED} UNION ALL SELECT 'distance', 1 - similarity, * EXCLUDE (metric, similarity) FROM {STACKED})
 SELECT metric, CASE WHEN comparison = 'between_pairs' THEN 'Between pairs' WHEN is_final THEN 'Final to original' ELSE 'Original to original' END AS label, path_a, path_b, round(score, 6) AS score FROM s""")
-add_rows_only("v6_t_ci_stats", lambda g: rounded(models.t_ci_stats(both(g), ["metric", "comparison", "debiased_iter"], "similarity"), "mean", "sd", "se", "low", "high"))
+add("v6_t_ci_stats", lambda g: rounded(models.t_ci_stats(both(g), ["metric", "comparison", "debiased_iter"], "similarity"), "mean", "sd", "se", "low", "high"), f"""
+WITH g AS (SELECT metric, comparison, debiased_iter, avg(similarity) AS m, stddev_samp(similarity) AS sd, count(similarity) AS n, CAST(count(similarity) - 1 AS DOUBLE) AS df FROM {STACKED} GROUP BY ALL)
+SELECT metric, comparison, debiased_iter, round(m, 6) AS mean, round(sd, 6) AS sd, n, round(sd / sqrt(n), 6) AS se, round(m - sd / sqrt(n) * {QUANTILE.format('df')}, 6) AS low, round(m + sd / sqrt(n) * {QUANTILE.format('df')}, 6) AS high FROM g""")
 
 
 def halves(get: Get) -> tuple[DataFrame, DataFrame]:

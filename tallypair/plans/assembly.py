@@ -108,7 +108,7 @@ WITH v AS (SELECT pair_id, task, pair_id * 7 % 11 AS label FROM {sql('verdicts')
 a AS (SELECT *, least(CAST(round_even(25.0::DOUBLE * size / sum(size) OVER (PARTITION BY task), 0) AS BIGINT), size) AS allot FROM s),
 b AS (SELECT task, label, least(allot, greatest(25 - coalesce(sum(allot) OVER (PARTITION BY task ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS allot FROM a)
 SELECT pair_id, task, label FROM (SELECT *, row_number() OVER (PARTITION BY task, label ORDER BY md5('42|' || CAST(pair_id AS VARCHAR)), pair_id) AS n FROM v) JOIN b USING (task, label) WHERE n <= allot""")
-QUERIES["k6_density_subsample"] = lambda spark, sf_dir: assembly.density_subsample(fixture(spark, sf_dir, "vectors"), 12, "vec_id", "label", "embedding", scratch(spark, "kmeans"))
+QUERIES["k6_density_subsample"] = lambda spark, sf_dir: assembly.density_subsample(fixture(spark, sf_dir, "vectors"), 12, "vec_id", "label", "embedding", scratch(spark, "kmeans"), steps=10)
 K8 = """WITH p AS (SELECT pair_id, {0} AS category FROM {1}), s AS (SELECT category, count(*) AS size FROM p GROUP BY ALL), w AS (SELECT sum(size) AS total, min(size) AS least, count(*) AS k FROM s),
 c AS (SELECT category, row_number() OVER (ORDER BY md5('42|' || category), category) AS place FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || CAST(pair_id AS VARCHAR)), pair_id) AS n FROM p)

@@ -152,6 +152,50 @@ def test_kmeans_against_plain_rounds(spark, tmp_path):
     assert drawn.columns == df.columns and all(0 < r["count"] <= 5 for r in drawn.groupBy("grp").count().collect())
 
 
+def test_minibatches_against_plain_steps(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, "abc"[min(i % 5, 2)], (rng.normal(size=3) + 4 * (i % 6)).tolist()) for i in range(200)] + [(200, "a", None)]
+    df = spark.createDataFrame(rows, "id long, grp string, v array<double>").repartition(3)
+    got = {r.id: r.label for r in assembly.minibatch_labels(df, 4, "id", "grp", "v", str(tmp_path / "one"), batch=25, steps=6).collect()}
+    assert len(got) == 200
+    said = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
+    for grp in "abc":
+        own = {i: np.array(v) for i, g, v in rows if g == grp and v}
+        at = [own[i] for i in sorted(own, key=lambda i: (said(i), i))[:4]]
+        seen, slots = [0] * 4, -(-len(own) // 25)
+        near = lambda v: min(range(4), key=lambda n: (((v - at[n]) ** 2).sum(), n))  # noqa: B023, E731
+        for step in range(6):
+            taken = [v for i, v in own.items() if int(int(said(i)[:12], 16) / 16**12 * slots) == step % slots]
+            labels = [near(v) for v in taken]
+            for n in set(labels):
+                mine = [v for v, x in zip(taken, labels, strict=True) if x == n]
+                seen[n] += len(mine)
+                at[n] = at[n] + (np.sum(mine, axis=0) - len(mine) * at[n]) / seen[n]
+        assert {i: got[i] for i in own} == {i: near(v) for i, v in own.items()}
+
+
+def test_fixed_effects_of_many_cells(spark):
+    """6000 cells, some clusters in many of them, others in one."""
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(40)) if i % 3 else 1000 + i, int(i % 100), int(i // 100 % 60), int(rng.integers(2))) for i in range(12000)]
+    got = helpers.fixed_effect_fit(spark.createDataFrame(rows, "pair_id long, strategy long, task long, chosen int"), ["strategy"], "task").orderBy("strategy").collect()
+    x = np.zeros((12000, 159))
+    x[np.arange(12000), [r[1] for r in rows]] = 1
+    for k, r in enumerate(rows):
+        if r[2]:
+            x[k, 99 + r[2]] = 1
+    y = np.array([r[3] for r in rows], float)
+    bread = np.linalg.inv(x.T @ x)
+    beta = bread @ x.T @ y
+    cluster = np.unique([r[0] for r in rows], return_inverse=True)[1]
+    s = np.zeros((cluster.max() + 1, 159))
+    np.add.at(s, cluster, x * (y - x @ beta)[:, None])
+    g = len(s)
+    v = bread @ s.T @ s @ bread * 11999 / (12000 - 159) * g / (g - 1)
+    m = np.hstack([np.eye(100), np.full((100, 59), 1 / 60)])
+    assert np.allclose([r.emm for r in got], m @ beta) and np.allclose([r.se for r in got], np.sqrt(np.diag(m @ v @ m.T)))
+
+
 def _bitmap(path, pixels):
     """A picture file of 24 bits a pixel, written plainly."""
     height, width, _ = pixels.shape
