@@ -5,24 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORIGINAL = r"^vp/data/([^/]+?)(?:_enhanced)?/(.*)_([^_]+)\.jpg$"
-CACHED = r"^vp/cache/([^/]+)/([^_]+)_([^_]+)_([^_]+)_vs_([^_]+)_([^_]+)_iter([0-9]+)_debiased_([12])\.jpg$"
+#: The data sets of directories of originals; any other directory is one of its own.
+DATASETS = {"abod_enhanced": "products", "hotels_enhanced": "hotels", "houses_enhanced": "houses", "shhq_enhanced": "people"}
 
 
-def parse_image_path(images: DataFrame) -> DataFrame:
+def parse_image_path(images: DataFrame, data_prefix: str = "vp/data/") -> DataFrame:
     """``dataset, image_class, current_base_id, other_base_id, current_id, other_id, debiased_iter`` of the
-    two kinds of paths; the iteration is null for originals."""
-    a, b = (lambda i, p=p: F.nullif(F.regexp_extract("image_path", p, i), F.lit("")) for p in (ORIGINAL, CACHED))
-    first = F.col("which") == "1"
-    rows = images.withColumn("which", b(8))
-    swap = lambda x, y: F.when(first, x).otherwise(y)
-    one, two = F.concat_ws("_", b(3), b(4)), F.concat_ws("_", b(5), b(6))
-    return rows.withColumns({
-        "dataset": F.coalesce(a(1), b(1)), "image_class": F.coalesce(a(2), b(2)),
-        "current_base_id": F.coalesce(a(3), swap(b(3), b(5))), "other_base_id": F.when(F.col("which").isNotNull(), swap(b(5), b(3))),
-        "current_id": F.when(F.col("which").isNotNull(), swap(one, two)), "other_id": F.when(F.col("which").isNotNull(), swap(two, one)),
-        "debiased_iter": b(7).cast("int"),
-    }).drop("which")
+    two kinds of paths: originals, under ``data_prefix``, whose id is the name's last part, and versions
+    named CLASS_ID_STATUS_vs_ID_STATUS_iterN_debiased_SIDE, of whose two ids the side tells the current.
+    The other's and the iteration are null for originals; a name that isn't such a one has only nulls."""
+    parts = F.split("image_path", "/")
+    name = F.element_at(parts, -1)
+    word = F.split(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), "_")
+    directory = F.get(parts, F.lit(2))
+    original = F.startswith("image_path", F.lit(data_prefix))
+    number = F.regexp_extract(F.get(word, F.lit(6)), "^iter([0-9]+)$", 1)
+    side = F.element_at(word, -1)
+    version = ~original & (F.size(word) >= 8) & side.isin("1", "2") & (number != "")
+    mapped = F.create_map(*[F.lit(x) for kv in DATASETS.items() for x in kv])
+    ids = [F.concat_ws("_", F.get(word, F.lit(i)), F.get(word, F.lit(i + 1))) for i in (1, 4)]
+    swapped = lambda x, y: F.when(version, F.when(side == "1", x).otherwise(y))
+    own, other = swapped(*ids), swapped(*ids[::-1])
+    return images.withColumns({
+        "dataset": F.when(original, F.coalesce(mapped[directory], directory)).when(version, directory),
+        "image_class": F.when(original | version, F.get(F.split(name, "_"), F.lit(0))),
+        "current_base_id": F.when(original, side).otherwise(F.split(own, "_")[0]), "other_base_id": F.split(other, "_")[0],
+        "current_id": F.when(original, side).otherwise(own), "other_id": other,
+        "debiased_iter": F.when(version, number.cast("int")),
+    })
+
+
+def first_of_each_name(table: DataFrame) -> DataFrame:
+    """The table with the first of the columns that share a name, as joins of metadata leave them."""
+    names = [f"_{i}" for i in range(len(table.columns))]
+    first = [i for i, c in enumerate(table.columns) if c not in table.columns[:i]]
+    return table.toDF(*names).select(*[F.col(names[i]).alias(table.columns[i]) for i in first])
 
 
 def pair_key() -> Column:
@@ -44,9 +61,12 @@ def cosine(a: str, b: str) -> Column:
 
 def between_pairs(images: DataFrame) -> DataFrame:
     """Per pair the first two images by path, and their similarity."""
-    two = images.groupBy("pair_key", "debiased_iter").agg(F.slice(F.sort_array(F.collect_list(F.struct("image_path", "embedding"))), 1, 2).alias("two")).where("size(two) = 2")
-    rows = two.select("pair_key", "debiased_iter", F.col("two")[0]["image_path"].alias("path_a"), F.col("two")[1]["image_path"].alias("path_b"), F.col("two")[0]["embedding"].alias("x"), F.col("two")[1]["embedding"].alias("y"))
-    return rows.withColumn("similarity", cosine("x", "y")).drop("x", "y")
+    keys = ["pair_key", "debiased_iter"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("image_path", "embedding"))
+    two = images.select(*keys, "image_path", "embedding").withColumn("n", place).where("n <= 2").groupBy(*keys)
+    at = lambda c, n: F.max(F.when(F.col("n") == n, F.col(c)))
+    rows = two.agg(at("image_path", 1).alias("path_a"), at("image_path", 2).alias("path_b"), at("embedding", 1).alias("x"), at("embedding", 2).alias("y"), F.max("n").alias("n"))
+    return rows.where("n = 2").withColumn("similarity", cosine("x", "y")).drop("x", "y", "n")
 
 
 def from_original(images: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .ranks import least_of_later
+from .ranks import beside, least_of_later, stored
 
 
 def cell_means(long: DataFrame, cells: list[str]) -> DataFrame:
@@ -20,40 +23,72 @@ def marginal_means(means: DataFrame, margin: list[str], grid: int | None = None)
     return means.groupBy(*margin).agg(value.alias("emm"), F.count(F.lit(1)).alias("cells"))
 
 
-def _scores(long: DataFrame, cells: list[str], margin: list[str], cluster: str) -> DataFrame:
-    """Each cluster's score for each margin: the sum of weight * residual / cell size. One large shuffle;
-    cells are few (the product of the factors' levels), so Spark may send them to all tasks."""
-    means = cell_means(long, cells)
-    sizes = means.groupBy(*margin).agg(F.count(F.lit(1)).alias("cells"))
-    u = (F.col("chosen") - F.col("cell_mean")) / F.col("cell_n") / F.col("cells")
-    return long.join(means.join(sizes, margin), cells).groupBy(cluster, *margin).agg(F.sum(u).alias("u"))
-
-
-def _factor(long: DataFrame, cells: list[str], cluster: str) -> DataFrame:
-    one = long.agg(F.count(F.lit(1)).alias("N"), F.countDistinct(cluster).alias("G")).crossJoin(long.select(*cells).distinct().agg(F.count(F.lit(1)).alias("K")))
-    return one.select(((F.col("N") - 1) / (F.col("N") - F.col("K")) * F.col("G") / (F.col("G") - 1)).alias("factor"))
+def _equals(columns: list[str], values: Row) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out &= F.col(c).eqNullSafe(F.lit(values[c]))
+    return out
+
+
+def _fit(long: DataFrame, cells: list[str], margin: list[str], cluster: str, levels: list[Row], forms: list[tuple[dict[str, Any], Callable[[list[Column]], Column]]], table: DataFrame) -> DataFrame:
+    """A row a form: its literals and ``s``, the variance of the form of the levels' margins. Each cluster's score
+    of a level is the sum of weight * residual / cell size: a column a level, so that one pass over the rows
+    and one shuffle by cluster give all of them and the number of clusters."""
+    sizes = table.groupBy(*margin).agg(F.count(F.lit(1)).alias("_cells"))
+    weights = beside(table.select(*cells, "cell_mean", "cell_n"), sizes, margin).withColumnsRenamed({c: f"_c_{c}" for c in cells})
+    same = F.lit(True)
+    for c in cells:
+        same &= F.col(c) == F.col(f"_c_{c}")
+    u = (F.col("chosen") - F.col("cell_mean")) / F.col("cell_n") / F.col("_cells")
+    each = long.select(cluster, *[c for c in cells if c != cluster], "chosen").join(weights, same, "left").groupBy(cluster)
+    scores = each.agg(*[F.sum(F.when(_equals(margin, x), u)).alias(f"_u{i}") for i, x in enumerate(levels)])
+    at = [F.coalesce(F.col(f"_u{i}"), F.lit(0.0)) for i in range(len(levels))]
+    sums = scores.agg(F.count(cluster).alias("G"), *[F.sum(make(at) * make(at)).alias(f"_s{i}") for i, (_, make) in enumerate(forms)])
+    whole = table.agg(F.sum("rows").alias("N"), F.count(F.lit(1)).alias("K"))
+    factor = (F.col("N") - 1) / (F.col("N") - F.col("K")) * F.col("G") / (F.col("G") - 1)
+    kinds = {f.name: f.dataType for f in table.schema}
+    lits = lambda row: [F.lit(v).cast(kinds[c]).alias(c) if c in kinds else F.lit(v).alias(c) for c, v in row.items()]
+    rows = [F.struct(*lits(row), (F.col(f"_s{i}") * factor).alias("s")) for i, (row, _) in enumerate(forms)]
+    return sums.crossJoin(whole).select(F.inline(F.array(*rows)))
+
+
+def _cell_table(long: DataFrame, cells: list[str]) -> DataFrame:
+    """Means and counts of the cells: few (the product of the factors' levels), made once and stored."""
+    return stored(long.groupBy(*cells).agg(F.avg("chosen").alias("cell_mean"), F.count("chosen").alias("cell_n"), F.count(F.lit(1)).alias("rows")), "cells")
 
 
 def clustered_se(long: DataFrame, cells: list[str], margin: list[str], cluster: str = "pair_id") -> DataFrame:
-    """``margin, emm, se``: cluster-robust errors of the marginal means, from two group-bys."""
-    square = _scores(long, cells, margin, cluster).groupBy(*margin).agg(F.sum(F.col("u") * F.col("u")).alias("s2"))
-    emm = marginal_means(cell_means(long, cells), margin)
-    out = emm.join(square, margin).crossJoin(_factor(long, cells, cluster))
-    return out.select(*margin, "emm", F.sqrt(F.col("s2") * F.col("factor")).alias("se"))
+    """``margin, emm, se``: cluster-robust errors of the marginal means, from two passes over the rows."""
+    table = _cell_table(long, cells)
+    emm = marginal_means(table, margin)
+    levels = table.select(*margin).distinct().collect()
+    if not levels:
+        return emm.select(*margin, "emm", F.lit(None).cast("double").alias("se"))
+    forms = [({c: x[c] for c in margin}, lambda u, i=i: u[i]) for i, x in enumerate(levels)]
+    return beside(emm, _fit(long, cells, margin, cluster, levels, forms, table), margin).select(*margin, "emm", F.sqrt("s").alias("se"))
 
 
 def contrasts(long: DataFrame, cells: list[str], focal: str, by: list[str], levels: list[str], cluster: str = "pair_id", pairwise: bool = False) -> DataFrame:
     """All differences of the focal levels within ``by``, later minus earlier or, ``pairwise``, earlier minus
-    later: estimate and clustered SE.
-    A cluster's scores are one row, a column a level, so no self-join."""
-    scores = _scores(long, cells, [focal, *by], cluster).groupBy(cluster, *by).pivot(focal, levels).agg(F.sum("u"))
-    means = marginal_means(cell_means(long, cells), [focal, *by]).groupBy(*by).pivot(focal, levels).agg(F.first("emm"))
+    later: estimate and clustered SE. A cluster's scores are one row, a column a level, so no self-join."""
+    table = _cell_table(long, cells)
+    means = marginal_means(table, [focal, *by]).groupBy(*by).pivot(focal, levels).agg(F.first("emm"))
     pairs = [(b, a) if pairwise else (a, b) for i, a in enumerate(levels) for b in levels[i + 1 :]]
-    u = lambda x: F.coalesce(F.col(f"`{x}`"), F.lit(0.0))
-    square = scores.groupBy(*by).agg(*[F.sum((u(b) - u(a)) * (u(b) - u(a))).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
-    rows = means.join(square, by).crossJoin(_factor(long, cells, cluster))
-    one = lambda i, a, b: F.struct(F.lit(f"{b} - {a}").alias("contrast"), (F.col(f"`{b}`") - F.col(f"`{a}`")).alias("estimate"), F.sqrt(F.col(f"s{i}") * F.col("factor")).alias("se"))
-    return rows.select(*by, F.inline(F.array(*[one(i, a, b) for i, (a, b) in enumerate(pairs)])))
+    groups = table.select(*by).distinct().collect()
+    if not groups:
+        return means.select(*by, F.lit(None).cast("string").alias("contrast"), F.lit(None).cast("double").alias("estimate"), F.lit(None).cast("double").alias("se"))
+    margin = [focal, *by]
+    every = [Row(**{focal: x}, **{c: g[c] for c in by}) for g in groups for x in levels]
+    forms = []
+    for k, g in enumerate(groups):
+        for a, b in pairs:
+            i, j = k * len(levels) + levels.index(a), k * len(levels) + levels.index(b)
+            forms.append(({**{c: g[c] for c in by}, "contrast": f"{b} - {a}"}, lambda u, i=i, j=j: u[j] - u[i]))
+    tested = beside(_fit(long, cells, margin, cluster, every, forms, table), means, by)
+    value = F.lit(None).cast("double")
+    for a, b in pairs:
+        value = F.when(F.col("contrast") == f"{b} - {a}", F.col(f"`{b}`") - F.col(f"`{a}`")).otherwise(value)
+    return tested.select(*by, "contrast", value.alias("estimate"), F.sqrt("s").alias("se"))
 
 
 def bh_adjust(tests: DataFrame, by: list[str], p: str = "p", parts: int | None = None) -> DataFrame:

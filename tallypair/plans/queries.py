@@ -194,7 +194,7 @@ SELECT type, model, round(emm, 6) AS emm, cells FROM (SELECT *, row_number() OVE
 # --- similarity ----------------------------------------------------------------------------------
 META = f"""(SELECT vec_id, image_path, embedding, 'hotels' AS dataset, 'rooms' AS image_class, CASE WHEN o THEN CAST(b AS VARCHAR) WHEN one THEN CAST(b AS VARCHAR) ELSE CAST(b + 1 AS VARCHAR) END AS current_base_id,
   CASE WHEN NOT o THEN CASE WHEN one THEN CAST(b + 1 AS VARCHAR) ELSE CAST(b AS VARCHAR) END END AS other_base_id,
-  CASE WHEN NOT o THEN CASE WHEN one THEN b || '_original' ELSE (b + 1) || '_final' END END AS current_id, CASE WHEN NOT o THEN CASE WHEN one THEN (b + 1) || '_final' ELSE b || '_original' END END AS other_id,
+  CASE WHEN o THEN CAST(b AS VARCHAR) WHEN one THEN b || '_original' ELSE (b + 1) || '_final' END AS current_id, CASE WHEN NOT o THEN CASE WHEN one THEN (b + 1) || '_final' ELSE b || '_original' END END AS other_id,
   CASE WHEN NOT o THEN CASE WHEN vec_id % 5 < 3 THEN 1 ELSE 3 END END AS debiased_iter
   FROM (SELECT *, vec_id // 5 AS b, vec_id % 5 = 0 AS o, vec_id % 5 IN (1, 3) AS one FROM {sql('images')}))"""
 KEYED = f"(SELECT *, CASE WHEN debiased_iter IS NOT NULL THEN dataset || '_' || least(current_id, other_id) || '_' || greatest(current_id, other_id) || '_' || debiased_iter END AS pair_key FROM {META})"

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tallypair.functions import user
-from tallypair.operators import ranks, sampling, stats, summaries
+from tallypair.operators import ranks, sampling, similarity, stats, summaries
 from tallypair.sources import files
 
 
@@ -114,3 +114,47 @@ def test_configs_with_typed_values_and_broken_files(spark, tmp_path):
     got = {r.path[-6]: (r.props, r.error) for r in files.flatten_configs(spark, str(tmp_path)).collect()}
     assert got["a"][0] == {"when": "2024-05-06", "at": "2024-05-06T07:08:09", "set": '["a", "b"]', "2": "two", "true": "true", "list": '[1, {"3": "2024-01-01"}, null]', "empty": "{}", "text": "1"}
     assert all(got[k][0] is None and got[k][1] for k in "bce") and got["d"] == ({}, None) and got["f"] == ({"k.d": None}, None)
+
+
+def test_image_paths_by_their_rules(spark):
+    paths = {
+        "vp/data/abod_enhanced/LAMP_b07_x9.png": ("products", "LAMP", "x9", None, "x9", None, None), "vp/data/shhq_enhanced/m_1.jpg": ("people", "m", "1", None, "1", None, None),
+        "vp/data/own/room_2.a.jpeg": ("own", "room", "2.a", None, "2.a", None, None), "vp/cache/houses/h_1_original_vs_22_final_iter10_debiased_2.jpg": ("houses", "h", "22", "1", "22_final", "1_original", 10),
+        "vp/cache/houses/h_1_zero-shot_vs_22_final_iter0_debiased_1.png": ("houses", "h", "1", "22", "1_zero-shot", "22_final", 0), "vp/cache/houses/h_1_original_vs_22_final_iter1_debiased_3.jpg": (None,) * 7, "vp/cache/x": (None,) * 7, "": (None,) * 7, None: (None,) * 7,
+    }
+    frame = spark.createDataFrame([(p,) for p in paths], "image_path string")
+    for r in similarity.parse_image_path(frame).collect():
+        assert (r.dataset, r.image_class, r.current_base_id, r.other_base_id, r.current_id, r.other_id, r.debiased_iter) == paths[r.image_path], r
+
+
+def test_columns_of_one_name(spark):
+    a, b = spark.createDataFrame([(1, "x")], "id int, v string"), spark.createDataFrame([(1, "y", 2)], "id int, v string, w int")
+    assert [tuple(r) for r in similarity.first_of_each_name(a.join(b, a["id"] == b["id"])).collect()] == [(1, "x", 2)]
+
+
+def test_pairs_take_the_two_smallest_paths(spark):
+    rows = [("k", 1, f"p{i}", [float(i), 1.0]) for i in (3, 1, 2)] + [("one", 1, "p", [1.0]), ("same", 2, "p", [1.0]), ("same", 2, "p", [1.0])]
+    got = {r.pair_key: (r.path_a, r.path_b, round(r.similarity, 6)) for r in similarity.between_pairs(spark.createDataFrame(rows, "pair_key string, debiased_iter int, image_path string, embedding array<double>")).collect()}
+    assert got == {"k": ("p1", "p2", round(3 / 10**0.5, 6)), "same": ("p", "p", 1.0)}
+
+
+def test_clustered_errors_of_nulls_and_of_nothing(spark):
+    """Against scores written out; a null cell belongs to no margin, its rows and clusters still count."""
+    rng = random.Random(5)
+    rows = [(i // 3, rng.choice(["a", "b", None]), rng.choice(["x", "y"]), rng.choice([0, 1])) for i in range(150)]
+    frame = spark.createDataFrame(rows, "pair_id long, model string, type string, chosen int").repartition(3)
+    got = {r.type: (r.emm, r.se) for r in stats.clustered_se(frame, ["model", "type"], ["type"]).collect()}
+    cells = {}
+    for _, m, t, c in rows:
+        cells.setdefault((m, t), []).append(c)
+    mean = {k: sum(v) / len(v) for k, v in cells.items()}
+    for t in "xy":
+        own = [k for k in cells if k[1] == t]
+        u = {}
+        for p, m, s, c in rows:
+            if s == t and m is not None:
+                u[p] = u.get(p, 0) + (c - mean[m, s]) / len(cells[m, s]) / len(own)
+        factor = 149 / (150 - len(cells)) * 50 / 49
+        assert abs(got[t][0] - sum(mean[k] for k in own) / len(own)) < 1e-12 and abs(got[t][1] - (sum(x * x for x in u.values()) * factor) ** 0.5) < 1e-12
+    assert stats.clustered_se(frame.limit(0), ["model", "type"], ["type"]).count() == 0
+    assert stats.contrasts(frame.limit(0), ["model", "type"], "type", ["model"], ["x", "y"]).count() == 0
