@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DatetimeType, DataType, MapType, NumericType, StringType, StructType
 
-#: A table is broadcast only if its Parquet files hold no more than this many bytes.
-BROADCAST_BYTES = 16 << 20
+#: A table is broadcast only if neither its Parquet files nor its rows in memory are larger than these.
+BROADCAST_BYTES, BROADCAST_MEMORY = 16 << 20, 64 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +64,36 @@ def bytes_of(table: DataFrame) -> int:
     return fs.getContentSummary(path).getLength()
 
 
-def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``table`` (from ``written``) with a broadcast hint if it is small; else Spark joins by shuffle."""
-    return F.broadcast(table) if bytes_of(table) <= limit else table
+def width_of(kind: DataType, column: Column) -> Column:
+    """About the bytes that a value of ``column`` takes in memory, at least 8; a null takes that too."""
+    if isinstance(kind, (StringType, BinaryType)):
+        size = F.octet_length(column) + 16
+    elif isinstance(kind, ArrayType):
+        fixed = isinstance(kind.elementType, (NumericType, BooleanType, DatetimeType))
+        size = F.size(column) * 8 + 24 if fixed else F.aggregate(column, F.lit(24).cast("long"), lambda n, x: n + width_of(kind.elementType, x))
+    elif isinstance(kind, MapType):
+        size = width_of(ArrayType(kind.keyType), F.map_keys(column)) + width_of(ArrayType(kind.valueType), F.map_values(column))
+    elif isinstance(kind, StructType):
+        size = F.lit(16)
+        for f in kind.fields:
+            size = size + width_of(f.dataType, column[f.name])
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
+
+
+def memory_of(table: DataFrame) -> int:
+    """About the bytes of all rows in memory: compressed files can hold many times their size."""
+    each = F.lit(16).cast("long")
+    for f in table.schema.fields:
+        each = each + width_of(f.dataType, F.col(f"`{f.name}`"))
+    return table.agg(F.sum(each)).first()[0] or 0
+
+
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES, memory: int = BROADCAST_MEMORY) -> DataFrame:
+    """``table`` (from ``written``) with a broadcast hint if its files, and then its rows, are small; else
+    Spark joins by shuffle."""
+    return F.broadcast(table) if bytes_of(table) <= limit and memory_of(table) <= memory else table
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

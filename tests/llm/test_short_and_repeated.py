@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tallypair.llm.common import bytes_of, memory_of, sized, written
 from tallypair.llm.queries import OP8_SQL
 from tallypair.llm.substring_dedup import remove_repeated_windows
 from tallypair.llm.vector_search import top_inner_products
@@ -41,3 +42,13 @@ def test_search_of_tiny_tables(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in twice) == [(50, 1, 7, 131072), (50, 2, 50, 65536)]
     with pytest.raises(Exception, match="doesn't fit 64 bits"):
         top_inner_products(spark.createDataFrame([(50, [1.5e9] * 4), (7, [1.5e9] * 4)], kind)).collect()
+
+
+def test_small_files_of_large_rows_are_not_broadcast(spark):
+    flags = written(spark.range(2000).selectExpr("id", "array_repeat(true, 5000) AS flags"), "flags")
+    assert bytes_of(flags) < 1 << 20 and memory_of(flags) > 60 << 20
+    joined = lambda t: spark.range(10).join(t, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in joined(sized(flags)) and "strategy=broadcast" in joined(sized(flags, memory=1 << 30))
+    rows = [(1, "ab", b"x", ["a", None], {"k": 1}, (1, "z")), (None, None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, "i int, s string, b binary, a array<string>, m map<string,int>, t struct<x:int,y:string>")
+    assert 100 < memory_of(written(odd, "odd")) < 1000 and memory_of(written(odd.limit(0), "none")) == 0
