@@ -91,9 +91,10 @@ def contrasts(long: DataFrame, cells: list[str], focal: str, by: list[str], leve
     return tested.select(*by, "contrast", value.alias("estimate"), F.sqrt("s").alias("se"))
 
 
-def bh_adjust(tests: DataFrame, by: list[str], p: str = "p", parts: int | None = None) -> DataFrame:
+def bh_adjust(tests: DataFrame, by: list[str], p: str = "p", *keys: str, parts: int | None = None) -> DataFrame:
     """``tests`` with ``p_adjusted`` (Benjamini-Hochberg): the least p * n / rank over larger ranks of the
-    family, at most 1; null p stay out of n, null families are one.
+    family, at most 1; null p stay out of n, null families are one. Equal p get one value, whatever the
+    order that ``keys`` give them.
 
     A family may be all rows: equal p are one row with their count, which holds the rank of the last of
     them; a scan over stretches of the order then finds the minima, so no task holds a family.
