@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def written_apart(df: DataFrame, column: str, values: tuple, name: str) -> tuple[DataFrame, ...]:
+    """Like ``written``, one table for each of the ``values`` of a column, which can be removed by itself."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tallypair/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    kind = StructType([f for f in df.schema.fields if f.name != column])
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for value in values:
+        part = f"{path}/{column}={value}"
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(part)):
+            back = spark.read.schema(kind).parquet(part).withColumn(column, F.lit(value)).select(*df.columns)
+        else:
+            back = spark.createDataFrame([], df.schema)
+        back._written_path = part
+        out.append(back)
+    return tuple(out)
+
+
+def remove(table: DataFrame) -> None:
+    """Delete the files of a scratch table that no later plan reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs in it give back their shuffle files when they end: for results that are written out."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def bytes_of(table: DataFrame) -> int:
     """Size of the files that ``written`` made."""
     spark = table.sparkSession

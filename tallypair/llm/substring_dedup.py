@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
-from .places import PLACES, as_batch, as_table, by_box, from_planes, in_ranges, keyed, pack, planes, ranges, text_bytes, unpack
+from .common import remove, shuffles_removed, sized, written, written_apart
+from .places import PLACES, as_batch, as_table, by_box, from_planes, in_ranges, keyed, pack, planes, ranges, unpack
 from .words import FIRST, SECOND, SPACED, slices, texts_of, windows_of, words_of
 
 ASK, RUN, FOUND = 0, 1, 2
 #: Text bytes for each box of fingerprints, and the least number of boxes.
 BOX_BYTES, LEAST_BOXES = 16 << 20, 64
-
+#: Bits of the first hash that aren't kept, and of the second but for the verifying byte.
+SPARE, REST = np.uint64(8), np.uint64(56)
 
 #: A task takes so many bytes of text at a time.
 PIECE_BYTES = 4 << 20
@@ -74,36 +77,75 @@ def _ask(width: int, boxes: int):
             cuts = np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1]]))
             for a, b in zip(cuts, [*cuts[1:], len(ask)], strict=True):
                 own = ask[a:b]
-                rows.append((int(box[a]), ASK, pack(doc[own], tags[text[own]], at[own]), key[own].tobytes() + (check[own] >> np.uint64(56)).astype(np.uint8).tobytes()))
+                rows.append((int(box[a]), ASK, pack(doc[own], tags[text[own]], at[own]), _as_bytes(key[own] >> SPARE, check[own] >> REST)))
             yield as_batch(rows)
 
     return run
 
 
-def _keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 9
-    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint8, n, 8 * n)
+def _as_bytes(key: np.ndarray, check: np.ndarray) -> bytes:
+    """Keys of 56 bits, then the bytes that verify them."""
+    return planes(key)[: 7 * len(key)] + check.astype(np.uint8).tobytes()
+
+
+def _from_bytes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 8
+    return from_planes(blob[: 7 * n] + bytes(n), np.uint64, n), np.frombuffer(blob, np.uint8, n, 7 * n)
+
+
+def _run_row(box: int, key: np.ndarray, check: np.ndarray) -> tuple:
+    """A sorted run of one box: the steps from key to key are small, so they compress."""
+    return box, RUN, zstandard.compress(planes(np.diff(key, prepend=np.uint64(0))), 1), check.tobytes()
+
+
+def _run_of(steps: bytes, checks: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(from_planes(zstandard.decompress(steps), np.uint64, len(checks)), dtype=np.uint64), np.frombuffer(checks, np.uint8)
 
 
-def _merge(width: int, boxes: int, keep: bool):
-    """One box: the historical runs and the batch's keys merged; a match is verified by the hash bits
-    that are not in the key. Gives the windows that a smaller document has and, if ``keep``, the
-    batch's own sorted run: each key that is new with its smallest document."""
+def in_run(run: tuple[np.ndarray, np.ndarray], key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys the sorted run holds: each goes to its position in the run, and a match
+    is verified; a run's keys that are alike but for the verifying byte are gone through."""
+    keys, checks = run
+    there, at = np.zeros(len(key), bool), np.searchsorted(keys, key)
+    left = np.flatnonzero(at < len(keys))
+    while len(left):
+        left = left[keys[at[left]] == key[left]]
+        same = checks[at[left]] == check[left]
+        there[left[same]] = True
+        left = left[~same]
+        at[left] += 1
+        left = left[at[left] < len(keys)]
+    return there
+
+
+def merged_runs(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs without a common fingerprint as one, merged by position, not sorted again."""
+    n = len(one[0]) + len(two[0])
+    at = np.searchsorted(one[0], two[0], "right") + np.arange(len(two[0]))
+    rest = np.ones(n, bool)
+    rest[at] = False
+    key, check = np.empty(n, np.uint64), np.empty(n, np.uint8)
+    key[at], check[at], key[rest], check[rest] = two[0], two[1], one[0], one[1]
+    return key, check
+
+
+def _merge(width: int, boxes: int):
+    """One box: the batch's fingerprints, sorted, are merged with each historical run. Gives the windows
+    that a smaller document has, of a run or of the batch, and the batch's own run: what no run holds."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, key, check, doc, tag, at, new = [], [], [], [], [], [], []
+        out, runs, asked = [], [], []
         for box, kind, places, keys in zip(*(c.to_pylist() for c in table.columns), strict=True):
             if kind == FOUND:
                 out.append((box - boxes, FOUND, places, None))
-                continue
-            k, c = _keys(keys)
-            d, t, p = unpack(places) if kind == ASK else (from_planes(places, np.int64, len(k)), np.zeros(len(k), np.int64), np.zeros(len(k), np.int64))
-            for to, x in zip((key, check, doc, tag, at, new), (k, c, d, t, p, np.full(len(k), kind == ASK)), strict=True):
-                to.append(x)
-        if not key:
+            elif kind == RUN:
+                runs.append(_run_of(places, keys))
+            else:
+                asked.append((*_from_bytes(keys), *unpack(places)))
+        if not asked:
             return as_table(out)
         own = table["box"][0].as_py()
-        key, check, doc, tag, at, new = map(np.concatenate, (key, check, doc, tag, at, new))
+        key, check, doc, tag, at = (np.concatenate(x) for x in zip(*asked, strict=True))
         order, starts, size = _groups(key)
         there = check[order]
         unlike = np.flatnonzero(np.minimum.reduceat(there, starts) != np.maximum.reduceat(there, starts))
@@ -114,57 +156,77 @@ def _merge(width: int, boxes: int, keep: bool):
             there, by = check[order], key[order]
             starts = np.flatnonzero(np.concatenate([[True], (by[1:] != by[:-1]) | (there[1:] != there[:-1])]))
             size = np.diff(starts, append=len(key))
+        first = order[starts]
+        old = np.zeros(len(first), bool)
+        for r in runs:
+            old |= in_run(r, key[first], check[first])
         least = np.minimum.reduceat(doc[order], starts)
-        mine = new[order] & (np.repeat(least, size) < doc[order])
-        hit = order[mine]
+        hit = order[np.repeat(old, size) | (np.repeat(least, size) < doc[order])]
         if len(hit):
             out += by_box(doc[hit], tag[hit], at[hit], boxes, FOUND)
-        if keep:
-            fresh = np.minimum.reduceat(new[order].astype(np.int8), starts) > 0
-            first = order[starts[fresh]]
-            if len(first):
-                out.append((own, RUN, planes(least[fresh]), key[first].tobytes() + check[first].tobytes()))
+        fresh = first[~old]
+        if len(fresh):
+            out.append(_run_row(own, key[fresh], check[fresh]))
         return as_table(out)
 
     return run
 
 
 def _compact(table: pa.Table) -> pa.Table:
-    """One box's runs as one run: each key once, with its smallest document."""
-    parts = [(*_keys(k), from_planes(p, np.int64, len(k) // 9)) for p, k in zip(table["places"].to_pylist(), table["keys"].to_pylist(), strict=True)]
-    key, check, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((doc, check, key))
-    key, check, doc = key[order], check[order], doc[order]
-    first = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
-    return as_table([(table["box"][0].as_py(), RUN, planes(doc[first]), key[first].tobytes() + check[first].tobytes())])
+    """One box's runs as one run."""
+    runs = [_run_of(steps, checks) for steps, checks in zip(table["places"].to_pylist(), table["keys"].to_pylist(), strict=True)]
+    return as_table([_run_row(table["box"][0].as_py(), *reduce(merged_runs, runs))])
 
 
 class WindowIndex:
-    """Fingerprints of the windows of all documents so far, as runs in the shared folder.
+    """Fingerprints of the windows of all documents so far, as sorted runs in the shared folder.
 
-    Documents come in batches of ascending ids. A run is never changed: ``ingest`` merges all runs with
-    a batch box by box and adds the batch's run; beyond ``most_runs`` runs they are compacted into one.
+    Documents come in batches of ascending ids, so that whatever a run holds is of a smaller document.
+    ``ingest`` merges a batch with every run box by box and adds the batch's run, which is never changed.
+    A batch's run is of level 0. Before the next batch the last two runs of a level become one of the
+    next, so that a fingerprint is rewritten once a level and the runs are about the logarithm of the
+    batches; the files of the two are removed once their successor is written.
     """
 
-    def __init__(self, boxes: int, width: int = 13, most_runs: int = 1):
-        self.boxes, self.width, self.most_runs, self.runs = boxes, width, most_runs, []
-
-    def ingest(self, batch: DataFrame, keep: bool = True) -> DataFrame:
-        """Places of the batch's windows that start in a smaller document of any batch. ``keep=False``:
-        the batch is the last one, nothing will be asked about it, so it writes no run."""
+    def __init__(self, boxes: int, width: int = 13):
+        self.boxes, self.width = boxes, width
+        #: Level and table of each run, the oldest first.
+        self.runs: list[tuple[int, DataFrame]] = []
+
+    def compact(self) -> None:
+        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
+            (level, one), (_, two) = self.runs[-2:]
+            with shuffles_removed(one.sparkSession):
+                both = written(one.unionByName(two).groupBy("box").applyInArrow(_compact, PLACES), "window-runs")
+            self.runs[-2:] = [(level + 1, both)]
+            remove(one)
+            remove(two)
+
+    def ingest(self, batch: DataFrame) -> DataFrame:
+        """Places of the batch's windows that start in a smaller document of this or an earlier batch."""
+        self.compact()
         asked = batch.select("doc_id", "tag", "text").where("doc_id is not null").mapInArrow(_ask(self.width, self.boxes), PLACES)
-        for r in self.runs:
+        for _, r in self.runs:
             asked = asked.unionByName(r)
-        merged = asked.groupBy("box").applyInArrow(_merge(self.width, self.boxes, keep), PLACES)
-        merged = written(merged, "window-run")
-        if keep:
-            self.runs.append(merged.where(F.col("kind") == RUN))
-            if len(self.runs) > self.most_runs:
-                every = self.runs[0]
-                for r in self.runs[1:]:
-                    every = every.unionByName(r)
-                self.runs = [written(every.groupBy("box").applyInArrow(_compact, PLACES), "window-runs")]
-        return merged.where(F.col("kind") == FOUND)
+        with shuffles_removed(batch.sparkSession):
+            found, run = written_apart(asked.groupBy("box").applyInArrow(_merge(self.width, self.boxes), PLACES), "kind", (FOUND, RUN), "window-run")
+        self.runs.append((0, run))
+        return found
+
+
+def even_cuts(rows: DataFrame, batches: int, steps: int = 128) -> tuple[list[int], int]:
+    """Ids after which a batch ends, so that the batches have about equal bytes of text, and the bytes of
+    all: a sum for each of ``steps`` stretches of ids. Rows of one id are never parted."""
+    marks = rows.agg(F.percentile_approx("doc_id", [k / steps for k in range(1, steps)], 100 * steps)).first()[0] or []
+    marks = sorted({int(m) for m in marks})
+    stretch = F.size(F.filter(F.array(*[F.lit(m) for m in marks]).cast("array<bigint>"), lambda m: m < F.col("doc_id")))
+    sums = dict(rows.where("doc_id is not null").groupBy(stretch.alias("k")).agg(F.sum(F.octet_length("text"))).collect())
+    total, cuts, done = sum(v or 0 for v in sums.values()), [], 0
+    for k, mark in enumerate(marks):
+        done += sums.get(k) or 0
+        if len(cuts) < batches - 1 and done * batches >= total * (len(cuts) + 1):
+            cuts.append(mark)
+    return cuts, total
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,31 +243,30 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = 13, cuts: tuple[float, ...] = (0.03, 0.06)) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, width: int = 13, batches: int = 4) -> DataFrame:
     """Remove each word that a window of ``width`` words covers whose words also start in a document with
     a smaller id: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space).
 
-    The documents are ingested in id order, in batches cut at the quantiles ``cuts``: the batches before
-    the last make the historical runs. Fingerprints are 64 bits, matches verified by 8 more and those
-    that choose the box. A window that several documents of a task's batch have is asked about once, so
-    a passage in a third of all documents adds a row's worth of bytes a task to its box.
+    The documents are ingested in id order, in ``batches`` of about equal bytes, all of them into the
+    index. Fingerprints are 56 bits, matches verified by 8 more and those that choose the box, of another
+    hash. A window that several documents of a task's batch have is asked about once, so a passage in a
+    third of all documents adds a row's worth of bytes a task to its box.
 
     One row per input row. Null text: no words. Null id: such a row neither loses words nor takes any.
     Rows that share an id don't take words from each other. Texts of fewer words than a window are
     kept. An empty table gives no rows; other columns are ignored.
     """
     rows = keyed(docs)
-    size = text_bytes(rows)
+    cuts, size = even_cuts(rows, batches)
     boxes = LEAST_BOXES
     while boxes * BOX_BYTES < size:
         boxes *= 2
     index = WindowIndex(boxes, width)
-    marks = sorted({int(x) for x in (rows.agg(F.percentile_approx("doc_id", list(cuts), 1000)).first()[0] or [])})
     found, low = None, None
-    for high in [*marks, None]:
+    for high in [*cuts, None]:
         part = rows if low is None else rows.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
-        more = index.ingest(part, keep=high is not None)
+        more = index.ingest(part)
         found, low = more if found is None else found.unionByName(more), high
     gone = sized(ranges(found, width, "repeated-windows"))
     joined = rows.join(gone, (rows["doc_id"] == F.col("_doc")) & (rows["tag"] == F.col("_tag")), "left")
