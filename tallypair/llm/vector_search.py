@@ -26,12 +26,13 @@ def _segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, spread
 
 
-def _nearest(queries: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
+def _nearest(queries: np.ndarray, rows: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[np.ndarray]:
     """For each query, places of rows among which are the ``k`` largest inner products, ties included.
 
     The distance of two vectors is at least that of their segment means and deviations, so the inner
     product is at most (q.q + x.x - that bound) / 2: the sum over segments of length times (product of
-    means + product of deviations). Each finer level tests the rows that the level before left.
+    means + product of deviations). Each finer level tests the rows that the level before left. ``floors``:
+    scores that ``k`` rows elsewhere reach for each query; rows that can't reach them go at every level.
     """
     q, x = queries.astype(float), rows.astype(float)
     levels = [n for n in LEVELS if n <= x.shape[1]]
@@ -41,12 +42,15 @@ def _nearest(queries: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
     for i in range(len(q)):
         left, bound = np.arange(len(x)), coarse[i]
         slack = 1e-9 * (np.abs(q[i]).sum() * np.abs(x).max(initial=0) + 1)
-        if len(x) > k:
+        given = -np.inf if floors is None else floors[i] - slack
+        if given > -np.inf:
+            keep = bound >= given
+            left, bound = left[keep], bound[keep]
+        if len(left) > k:
             for (qm, qs), (xm, xs) in stats[1:]:
                 likely = left[np.argpartition(-bound, k - 1)[: 4 * k]] if len(left) > 4 * k else left
-                floor = np.partition(x[likely] @ q[i], -k)[-k]
-                keep = bound >= floor - slack
-                left = left[keep]
+                floor = np.partition(x[likely] @ q[i], -k)[-k] - slack if len(left) >= k else -np.inf
+                left = left[bound >= max(floor, given)]
                 bound = xm[left] @ qm[i] + xs[left] @ qs[i]
         out.append(left)
     return out
@@ -66,7 +70,8 @@ def _match(k: int):
             query_ids, query_keys, q = _arrays(queries)
             if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] >= 2.0**63:
                 raise ValueError("a score doesn't fit 64 bits")
-            for i, left in enumerate(_nearest(q, x, k)):
+            floors = queries["floor"].to_numpy(zero_copy_only=False).astype(float) if "floor" in queries.column_names else None
+            for i, left in enumerate(_nearest(q, x, k, floors)):
                 score = x[left] @ q[i]
                 best = left[np.lexsort((ids[left], -score))[:k]]
                 score = x[best] @ q[i]
@@ -84,7 +89,8 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     the rows whose ``vec_id`` is divisible by ``every``; ties to the smaller id; own row left out.
 
     Components become floor(scale * x). Blocks of queries meet blocks of candidates, each pair in a task;
-    a block's ``k + 1`` best go on. Vectors that are null, or hold a null or non-finite component, and null
+    a block's ``k + 1`` best go on. One block goes first: the score of its ``k + 1``th best is each query's
+    floor in all others, where a row, or every row, that can't reach it is left out by its bounds. Vectors that are null, or hold a null or non-finite component, and null
     ids take no part. Rows that repeat a query's id and vector are one query, of which one is its own row
     and the others are candidates; rows of one id and several vectors are a query each. Vectors of other
     lengths than the query's aren't its candidates. Components so large that a score might not fit 64 bits
@@ -98,10 +104,22 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     parts = max(1, -(-rows.count() // CANDIDATES))
     blocks = max(1, -(-queries.count() // QUERIES))
-    left = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "key"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    keys = ["part", "block", "dim"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_match(k + 1), PAIRS)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "key"), F.lit(parts)).cast("int"))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "key"), F.lit(blocks)).cast("int"))
+
+    def match(some: DataFrame, by: DataFrame, of: range) -> DataFrame:
+        left = some.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = by.withColumn("part", F.explode(F.array(*[F.lit(p) for p in of]) if len(of) == 1 else F.sequence(F.lit(of[0]), F.lit(of[-1]))))
+        keys = ["part", "block", "dim"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_match(k + 1), PAIRS)
+
+    found = match(dealt.where("part = 0"), asked, range(1))
+    if parts > 1:
+        found = written(found, "first-block")
+        floors = found.groupBy(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key")).agg(F.when(F.count(F.lit(1)) == k + 1, F.min("score")).alias("floor"))
+        held = asked.join(floors, ["vec_id", "key"], "left").select(*asked.columns, F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
+        held = written(held, "floors")
+        found = found.unionByName(match(dealt.where("part > 0"), held, range(1, parts)))
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", F.desc("own"))
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     first = F.coalesce(F.min(F.when(F.col("own"), F.col("n"))).over(Window.partitionBy("query_id", "query_key")), F.lit(k + 2))

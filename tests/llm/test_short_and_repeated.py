@@ -7,7 +7,7 @@ import pytest
 from tallypair.llm.common import bytes_of, memory_of, sized, written
 from tallypair.llm.queries import OP8_SQL
 from tallypair.llm.substring_dedup import remove_repeated_windows
-from tallypair.llm.vector_search import top_inner_products
+from tallypair.llm.vector_search import _nearest, top_inner_products
 
 
 @pytest.mark.parametrize("short", [0, 1, 2, 5, 11, 12, 13, 14])
@@ -52,3 +52,29 @@ def test_small_files_of_large_rows_are_not_broadcast(spark):
     rows = [(1, "ab", b"x", ["a", None], {"k": 1}, (1, "z")), (None, None, None, None, None, None)]
     odd = spark.createDataFrame(rows, "i int, s string, b binary, a array<string>, m map<string,int>, t struct<x:int,y:string>")
     assert 100 < memory_of(written(odd, "odd")) < 1000 and memory_of(written(odd.limit(0), "none")) == 0
+
+
+def test_floors_leave_few_rows_of_other_clusters_and_lose_none():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 1)) * 300 + np.repeat(rng.normal(size=(12, 8)) * 300, 8, axis=1)
+    rows = np.rint(centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 64)) * 8).astype(np.int64)
+    queries, scores = rows[:30], rows[:30] @ rows.T
+    floors = np.sort(scores[:, :500], axis=1)[:, -6].astype(float)
+    left = _nearest(queries, rows[500:], 6, floors)
+    for i, own in enumerate(left):
+        best = np.sort(scores[i])[-6]
+        assert set(np.flatnonzero(scores[i, 500:] >= best)) <= set(own.tolist())
+    assert sum(map(len, left)) < 0.1 * 30 * 2500
+
+
+def test_search_of_several_blocks_equals_one(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    kind, size = "vec_id long, embedding array<double>", {True: 8, False: 5}
+    rows = [(i, (rng.normal(size=size[i % 7 > 0]) + 2 * (i % 5)).round(1).tolist()) for i in range(400)] + [(100, [9.5] * 8), (100, [9.5] * 8)]
+    frame = spark.createDataFrame(rows, kind).repartition(3)
+    found = lambda: sorted(map(tuple, top_inner_products(frame).collect()))
+    one = found()
+    monkeypatch.setattr("tallypair.llm.vector_search.CANDIDATES", 60)
+    monkeypatch.setattr("tallypair.llm.vector_search.QUERIES", 4)
+    assert len(one) == 9 * 5
+    assert found() == one
