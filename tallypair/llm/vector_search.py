@@ -100,11 +100,11 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     good = F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     ints = F.transform(x, lambda c: F.floor(c * float(scale)).cast("long"))
     rows = vectors.where(good).select(F.col("vec_id").cast("long"), ints.alias("v"), F.size("embedding").alias("dim"))
-    rows = written(rows.withColumn("key", F.xxhash64("v")), "vectors")
-    queries = rows.where(F.col("vec_id") % every == 0).distinct()
+    rows = written(rows.withColumn("key", F.xxhash64("v")).withColumn("nth", F.monotonically_increasing_id()), "vectors")
+    queries = rows.drop("nth").where(F.col("vec_id") % every == 0).distinct()
     parts = max(1, -(-rows.count() // CANDIDATES))
     blocks = max(1, -(-queries.count() // QUERIES))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "key"), F.lit(parts)).cast("int"))
+    dealt = rows.withColumn("part", F.pmod("nth", F.lit(parts)).cast("int")).drop("nth")
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "key"), F.lit(blocks)).cast("int"))
 
     def match(some: DataFrame, by: DataFrame, of: range) -> DataFrame:
