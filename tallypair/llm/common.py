@@ -130,10 +130,10 @@ def memory_of(table: DataFrame) -> int:
     return table.agg(F.sum(each)).first()[0] or 0
 
 
-def sized(table: DataFrame, limit: int = BROADCAST_BYTES, memory: int = BROADCAST_MEMORY) -> DataFrame:
-    """``table`` (from ``written``) with a broadcast hint if its files, and then its rows, are small; else
-    Spark joins by shuffle."""
-    return F.broadcast(table) if bytes_of(table) <= limit and memory_of(table) <= memory else table
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES, memory: int = BROADCAST_MEMORY, of: DataFrame | None = None) -> DataFrame:
+    """``table`` (from ``written``, or columns of such a table ``of``) with a broadcast hint if its files,
+    and then its rows, are small; else Spark joins by shuffle."""
+    return F.broadcast(table) if bytes_of(table if of is None else of) <= limit and memory_of(table) <= memory else table
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -23,16 +23,17 @@ ABREAST = 4
 CARRIED = 64
 #: Lines of at most so many shingles meet exactly, besides the bands.
 FEW = 9
-#: Words of 64 bits in a sketch of a line's shingles.
-SKETCH = 8
-#: Further pivots of the buckets that the first leaves with several components.
-MORE = 2
+#: Words of 64 bits in a sketch of a line's shingles, for pivots and for the last candidates.
+WIDE, SKETCH = 16, 8
+#: Further pivots of the buckets that the first leaves with several components; one of so many lines or one more is decided by them.
+MORE = 16
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, tag, n, line, id``: every line that isn't blank; ``id`` is the hash of its text."""
     lines = docs.where("doc_id is not null").select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return lines.where(F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
+    # what a regular expression's \S leaves out, without decoding the line for one
+    return lines.where(F.octet_length(F.ltrim("line", F.lit(" \t\n\x0b\f\r"))) > 0).withColumn("id", F.xxhash64("line"))
 
 
 def _coded(line: Column) -> Column:
@@ -56,17 +57,35 @@ def with_shingles(df: DataFrame, line: str, name: str) -> DataFrame:
     return df.select("*", F.explode(F.transform(F.array(_coded(F.col(line))), of)).alias(name)).drop(line)
 
 
+def _abreast(lines: DataFrame, *columns: str) -> DataFrame:
+    """``columns, n, one, h0, h1, ...``: ``ABREAST`` successive shingles a row, for partial aggregates that
+    leave a row a line before the shuffle. ``n``: shingles of the line, with repeats; ``one``: 1 in the
+    line's first row, else 0. What a row has too many repeats the last shingle."""
+    coded = lines.select(*columns, F.explode(F.array(_coded(F.col("line")))).alias("coded")).select("*", _last(F.col("coded")).alias("last"))
+    rows = coded.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * ABREAST))).alias("at"))
+    shingles = [_shingle(F.col("coded"), F.least(F.col("at") + F.lit(4 * j), "last")).alias(f"h{j}") for j in range(ABREAST)]
+    n = F.shiftright(F.col("last") + 3, 2).alias("n")
+    return rows.select(*columns, n, F.when(F.col("at") == 1, 1).otherwise(0).alias("one"), *shingles)
+
+
+def _sketches(lines: DataFrame) -> DataFrame:
+    """``id, n, s0, s1, ...``: each shingle sets one bit of a line's sketch, so two lines differ in at least
+    as many shingles as their sketches in bits."""
+    rows = _abreast(lines, "id")
+    words = [F.shiftright(f"h{j}", 6).bitwiseAND(F.lit(WIDE - 1)).alias(f"w{j}") for j in range(ABREAST)]
+    bits = [F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))").alias(f"b{j}") for j in range(ABREAST)]
+    # a row a shingle: the code of several abreast would be too long to be compiled
+    rows = rows.select("id", "n", F.inline(F.array(*[F.struct(w.alias("w"), b.alias("b")) for w, b in zip(words, bits, strict=True)])))
+    parts = [F.bit_or(F.when(F.col("w") == i, F.col("b")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(WIDE)]
+    return rows.groupBy("id").agg(F.max("n").alias("n"), *parts)
+
+
 def _signed(lines: DataFrame) -> DataFrame:
     """``id, doc, copies, bands`` of each distinct line: its smallest document, its number of places and its
     bands. A band's two minima are of two 64-bit hashes of the shingles, turned by ``TURN`` bits from band to
     band: other bits lead in each, so two lines agree in one with the chance of their Jaccard similarity,
-    whatever the others do.
-    ``ABREAST`` successive shingles go as a row into a partial aggregate, which leaves a row a line
-    before the shuffle; what a row has too many repeats the last shingle."""
-    coded = lines.select("id", "doc_id", F.explode(F.array(_coded(F.col("line")))).alias("coded")).select("id", "doc_id", "coded", _last(F.col("coded")).alias("last"))
-    rows = coded.select("id", "doc_id", "coded", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * ABREAST))).alias("at"))
-    shingles = [_shingle(F.col("coded"), F.least(F.col("at") + F.lit(4 * j), "last")).alias(f"h{j}") for j in range(ABREAST)]
-    rows = rows.select("id", "doc_id", F.when(F.col("at") == 1, 1).otherwise(0).alias("one"), *shingles)
+    whatever the others do."""
+    rows = _abreast(lines, "id", "doc_id")
     rows = rows.select("*", *[F.xxhash64(f"h{j}").alias(f"g{j}") for j in range(ABREAST)])
     turned = lambda h, k: F.shiftleft(h, TURN * k).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN * k)) if k else F.col(h)
     least = [F.least(*[turned(f"{h}{j}", k) for j in range(ABREAST)]).alias(f"m{k}_{i}") for k in range(BANDS) for i, h in enumerate("hg")]
@@ -98,8 +117,16 @@ def _similar(x: Column, y: Column, similar: float) -> Column:
     return F.when(sizes, common >= (F.size(x) + F.size(y)) * F.lit(similar / (1 + similar)) - F.lit(1e-9)).otherwise(F.lit(False))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similar`` or more."""
+def _verified(pairs: DataFrame, texts: DataFrame, similar: float, sketches: DataFrame | None = None) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similar`` or more. With
+    ``sketches``, pairs whose sketches differ in more bits than so similar sets can in shingles go first."""
+    if sketches is not None:
+        met = pairs
+        for end in "ab":
+            met = met.join(sized(sketches.select(*[F.col(c).alias(end if c == "id" else end + c) for c in sketches.columns]), of=sketches), end)
+        unlike = reduce(add, [F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(WIDE)])
+        met = met.where(unlike <= (F.col("an") + F.col("bn")) * F.lit((1 - similar) / (1 + similar)) + F.lit(1e-6))
+        pairs = written(met.select(*pairs.columns), "like-pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
     both = with_shingles(with_shingles(both, "s", "x"), "t", "y")
     return both.where(_similar(F.col("x"), F.col("y"), similar)).select(*pairs.columns)
@@ -122,9 +149,10 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _with_pivots(rows: DataFrame) -> DataFrame:
-    """``rows`` (``bucket, id, component``) with ``pivots``, up to ``MORE`` lines of the bucket, chosen by hashes."""
-    line = F.struct("id", "component")
-    picked = rows.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(line, F.xxhash64("id", F.lit(k))) for k in range(MORE)])).alias("pivots"))
+    """``rows`` (``bucket, id, component``) with ``pivots``, ``MORE`` lines of the bucket or all, chosen by hashes."""
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(0)), "id")
+    picked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= MORE)
+    picked = picked.groupBy("bucket").agg(F.collect_list(F.struct("id", "component")).alias("pivots"))
     return written(rows.join(sized(written(picked, "further-pivots")), "bucket"), "undecided-members")
 
 
@@ -186,17 +214,19 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     wanted = written(wanted.select(F.col("id").alias("_id"), "doc"), "wanted-lines")
     found = lines.join(sized(wanted), (F.col("id") == F.col("_id")) & (F.col("doc_id") == F.col("doc")))
     texts = written(found.select("id", "line").dropDuplicates(["id"]), "wanted-texts")
+    sketches = written(_sketches(texts), "wanted-sketches")
 
     stars = members.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    joined = written(components(_verified(stars, texts, similar)), "joined-lines")
+    joined = written(components(_verified(stars, texts, similar, sketches)), "joined-lines")
 
     # a pivot has been compared with all of its bucket, so only the others count there from then on
     rest = _with_pivots(_open(_renamed(members.where("id <> pivot").select("bucket", "id", F.col("id").alias("component")), joined)))
-    stars = rest.select("id", "component", F.explode("pivots").alias("p")).where("p.component <> component")
+    own = F.array_contains(F.transform("pivots", lambda p: p["id"]), F.col("id"))
+    stars = rest.select("id", "component", own.alias("own"), F.explode("pivots").alias("p")).where("p.component <> component and (not own or p.id < id)")
     stars = stars.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.component").alias("ca"), F.col("component").alias("cb")).distinct()
     ends = [F.col("ca").alias("a"), F.col("cb").alias("b")]
-    merged = written(components(_verified(stars, texts, similar).select(*ends)), "merged-components")
-    left = rest.where(~F.array_contains(F.transform("pivots", lambda p: p["id"]), F.col("id"))).select("bucket", "id", "component")
+    merged = written(components(_verified(stars, texts, similar, sketches).select(*ends)), "merged-components")
+    left = rest.where(~own).select("bucket", "id", "component")
     left = _open(_renamed(left, merged)).groupBy("id").agg(F.min("component").alias("component")).join(texts, "id")
     last = written(components(_verified(_candidates(left, similar), texts, similar).select(*ends)), "last-components")
 
