@@ -17,8 +17,8 @@ SHINGLE = 12
 BANDS = 5
 #: Bits by which the hashes are turned from band to band; those of all bands fit into 64.
 TURN = 12
-#: Shingles that one row carries to the aggregate of minima.
-ABREAST = 4
+#: Shingles that one row carries to the aggregates of minima and of sketches.
+ABREAST, SKETCHED = 8, 4
 #: Lines of more first shingles don't carry them to the pairs; such pairs may be met more than once.
 CARRIED = 64
 #: Lines of at most so many shingles meet exactly, besides the bands.
@@ -27,6 +27,8 @@ FEW = 9
 WIDE, SKETCH = 16, 8
 #: Further pivots of the buckets that the first leaves with several components; one of so many lines or one more is decided by them.
 MORE = 16
+#: Of an undecided bucket of at most so many lines all sketches are compared; in larger ones lines meet by their rarest shingles.
+CROWD = 2048
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -57,13 +59,13 @@ def with_shingles(df: DataFrame, line: str, name: str) -> DataFrame:
     return df.select("*", F.explode(F.transform(F.array(_coded(F.col(line))), of)).alias(name)).drop(line)
 
 
-def _abreast(lines: DataFrame, *columns: str) -> DataFrame:
-    """``columns, n, one, h0, h1, ...``: ``ABREAST`` successive shingles a row, for partial aggregates that
+def _abreast(lines: DataFrame, *columns: str, abreast: int) -> DataFrame:
+    """``columns, n, one, h0, h1, ...``: ``abreast`` successive shingles a row, for partial aggregates that
     leave a row a line before the shuffle. ``n``: shingles of the line, with repeats; ``one``: 1 in the
     line's first row, else 0. What a row has too many repeats the last shingle."""
     coded = lines.select(*columns, F.explode(F.array(_coded(F.col("line")))).alias("coded")).select("*", _last(F.col("coded")).alias("last"))
-    rows = coded.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * ABREAST))).alias("at"))
-    shingles = [_shingle(F.col("coded"), F.least(F.col("at") + F.lit(4 * j), "last")).alias(f"h{j}") for j in range(ABREAST)]
+    rows = coded.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * abreast))).alias("at"))
+    shingles = [_shingle(F.col("coded"), F.least(F.col("at") + F.lit(4 * j), "last")).alias(f"h{j}") for j in range(abreast)]
     n = F.shiftright(F.col("last") + 3, 2).alias("n")
     return rows.select(*columns, n, F.when(F.col("at") == 1, 1).otherwise(0).alias("one"), *shingles)
 
@@ -71,13 +73,15 @@ def _abreast(lines: DataFrame, *columns: str) -> DataFrame:
 def _sketches(lines: DataFrame) -> DataFrame:
     """``id, n, s0, s1, ...``: each shingle sets one bit of a line's sketch, so two lines differ in at least
     as many shingles as their sketches in bits."""
-    rows = _abreast(lines, "id")
-    words = [F.shiftright(f"h{j}", 6).bitwiseAND(F.lit(WIDE - 1)).alias(f"w{j}") for j in range(ABREAST)]
-    bits = [F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))").alias(f"b{j}") for j in range(ABREAST)]
+    # dealt by line, so that words are gathered, a row each, and then put side by side without a further shuffle
+    rows = _abreast(lines.repartition("id"), "id", abreast=SKETCHED)
+    words = [F.shiftright(f"h{j}", 6).bitwiseAND(F.lit(WIDE - 1)).alias(f"w{j}") for j in range(SKETCHED)]
+    bits = [F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))").alias(f"b{j}") for j in range(SKETCHED)]
     # a row a shingle: the code of several abreast would be too long to be compiled
     rows = rows.select("id", "n", F.inline(F.array(*[F.struct(w.alias("w"), b.alias("b")) for w, b in zip(words, bits, strict=True)])))
-    parts = [F.bit_or(F.when(F.col("w") == i, F.col("b")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(WIDE)]
-    return rows.groupBy("id").agg(F.max("n").alias("n"), *parts)
+    rows = rows.groupBy("id", "n", "w").agg(F.bit_or("b").alias("b"))
+    parts = [F.coalesce(F.max(F.when(F.col("w") == i, F.col("b"))), F.lit(0).cast("long")).alias(f"s{i}") for i in range(WIDE)]
+    return rows.groupBy("id", "n").agg(*parts).select("id", "n", *[f"s{i}" for i in range(WIDE)])
 
 
 def _signed(lines: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def _signed(lines: DataFrame) -> DataFrame:
     bands. A band's two minima are of two 64-bit hashes of the shingles, turned by ``TURN`` bits from band to
     band: other bits lead in each, so two lines agree in one with the chance of their Jaccard similarity,
     whatever the others do."""
-    rows = _abreast(lines, "id", "doc_id")
+    rows = _abreast(lines, "id", "doc_id", abreast=ABREAST)
     rows = rows.select("*", *[F.xxhash64(f"h{j}").alias(f"g{j}") for j in range(ABREAST)])
     turned = lambda h, k: F.shiftleft(h, TURN * k).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN * k)) if k else F.col(h)
     least = [F.least(*[turned(f"{h}{j}", k) for j in range(ABREAST)]).alias(f"m{k}_{i}") for k in range(BANDS) for i, h in enumerate("hg")]
@@ -103,7 +107,9 @@ def _few(lines: DataFrame) -> DataFrame:
     # share; likewise among its last
     again = lambda part: F.contains(F.substring(part, FEW + 1, SHINGLE), F.substring(part, FEW, SHINGLE + 1 - FEW))
     periodic = again(F.substring("line", 1, SHINGLE + FEW)) & again(F.right("line", F.lit(SHINGLE + FEW)))
-    short = lines.select("id", "line").where((F.char_length("line") < SHINGLE + FEW) | periodic)
+    # characters have up to four bytes, so only lines of few bytes need theirs counted
+    few = (F.octet_length("line") < 4 * (SHINGLE + FEW)) & (F.char_length("line") < SHINGLE + FEW)
+    short = lines.select("id", "line").where(few | periodic)
     rows = with_shingles(short, "line", "h").where(F.size("h").between(4, FEW)).select("id", F.sort_array("h").alias("o"))
     rest = F.transform("o", lambda x: F.xxhash64(F.lit(BANDS), F.array_remove("o", x)))
     buckets = F.concat(F.array(F.xxhash64(F.lit(BANDS), "o")), F.when(F.size("o") > 4, rest).otherwise(F.array().cast("array<bigint>")))
@@ -117,16 +123,28 @@ def _similar(x: Column, y: Column, similar: float) -> Column:
     return F.when(sizes, common >= (F.size(x) + F.size(y)) * F.lit(similar / (1 + similar)) - F.lit(1e-9)).otherwise(F.lit(False))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float, sketches: DataFrame | None = None) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similar`` or more. With
-    ``sketches``, pairs whose sketches differ in more bits than so similar sets can in shingles go first."""
-    if sketches is not None:
-        met = pairs
-        for end in "ab":
-            met = met.join(sized(sketches.select(*[F.col(c).alias(end if c == "id" else end + c) for c in sketches.columns]), of=sketches), end)
-        unlike = reduce(add, [F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(WIDE)])
-        met = met.where(unlike <= (F.col("an") + F.col("bn")) * F.lit((1 - similar) / (1 + similar)) + F.lit(1e-6))
-        pairs = written(met.select(*pairs.columns), "like-pairs")
+def _unlike(similar: float) -> Column:
+    """Whether the sketches ``as0, ..., bs0, ...`` of lines of ``an`` and ``bn`` shingles differ in more bits
+    than sets of a Jaccard similarity of ``similar`` can in shingles."""
+    bits = reduce(add, [F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(WIDE)])
+    return bits > (F.col("an") + F.col("bn")) * F.lit((1 - similar) / (1 + similar)) + F.lit(1e-6)
+
+
+def _end(sketches: DataFrame, end: str) -> DataFrame:
+    """``sketches`` with their columns named for the end ``a`` or ``b`` of a pair."""
+    return sketches.select(*[F.col(c).alias(end if c == "id" else end + c) for c in sketches.columns])
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, similar: float) -> DataFrame:
+    """The pairs ``a, b`` whose sketches don't rule out a Jaccard similarity of ``similar``."""
+    met = pairs
+    for end in "ab":
+        met = met.join(sized(_end(sketches, end), of=sketches), end)
+    return written(met.where(~_unlike(similar)).select(*pairs.columns), "like-pairs")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similar`` or more."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
     both = with_shingles(with_shingles(both, "s", "x"), "t", "y")
     return both.where(_similar(F.col("x"), F.col("y"), similar)).select(*pairs.columns)
@@ -156,6 +174,15 @@ def _with_pivots(rows: DataFrame) -> DataFrame:
     return written(rows.join(sized(written(picked, "further-pivots")), "bucket"), "undecided-members")
 
 
+def _bucket_pairs(rows: DataFrame, sketches: DataFrame, similar: float) -> DataFrame:
+    """``a, b, ca, cb``: all pairs of a bucket's lines (``rows``: ``bucket, id, component``) in different
+    components whose sketches don't rule out a Jaccard similarity of ``similar``, and each once."""
+    known = written(rows.join(sketches, "id"), "sketched-members")
+    x, y = (known.select(*[F.col(c).alias({"id": end, "component": f"c{end}", "bucket": f"bucket{end}"}.get(c, end + c)) for c in known.columns]) for end in "ab")
+    met = x.join(y, (F.col("bucketa") == F.col("bucketb")) & (F.col("ca") < F.col("cb")) & ~_unlike(similar))
+    return met.select("a", "b", "ca", "cb").distinct()
+
+
 def _candidates(lines: DataFrame, similar: float) -> DataFrame:
     """``a, b, ca, cb``: all pairs of ``lines`` (``id, component, line``) in different components that can
     have a Jaccard similarity of ``similar``, and each once.
@@ -217,7 +244,7 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     sketches = written(_sketches(texts), "wanted-sketches")
 
     stars = members.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    joined = written(components(_verified(stars, texts, similar, sketches)), "joined-lines")
+    joined = written(components(_verified(_alike(stars, sketches, similar), texts, similar)), "joined-lines")
 
     # a pivot has been compared with all of its bucket, so only the others count there from then on
     rest = _with_pivots(_open(_renamed(members.where("id <> pivot").select("bucket", "id", F.col("id").alias("component")), joined)))
@@ -225,10 +252,14 @@ def repeated_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     stars = rest.select("id", "component", own.alias("own"), F.explode("pivots").alias("p")).where("p.component <> component and (not own or p.id < id)")
     stars = stars.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.component").alias("ca"), F.col("component").alias("cb")).distinct()
     ends = [F.col("ca").alias("a"), F.col("cb").alias("b")]
-    merged = written(components(_verified(stars, texts, similar, sketches).select(*ends)), "merged-components")
-    left = rest.where(~own).select("bucket", "id", "component")
-    left = _open(_renamed(left, merged)).groupBy("id").agg(F.min("component").alias("component")).join(texts, "id")
-    last = written(components(_verified(_candidates(left, similar), texts, similar).select(*ends)), "last-components")
+    merged = written(components(_verified(_alike(stars, sketches, similar), texts, similar).select(*ends)), "merged-components")
+    left = written(_open(_renamed(rest.where(~own).select("bucket", "id", "component"), merged)), "undecided-rest")
+    crowds = written(left.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket"), "crowded-buckets")
+    pairs = _bucket_pairs(left.join(sized(crowds), "bucket", "left_anti"), sketches, similar)
+    if crowds.limit(1).count():
+        crowded = left.join(sized(crowds), "bucket", "left_semi").groupBy("id").agg(F.min("component").alias("component")).join(texts, "id")
+        pairs = pairs.unionByName(_candidates(crowded, similar)).distinct()
+    last = written(components(_verified(pairs, texts, similar).select(*ends)), "last-components")
 
     # the lines that have several places or near ones, by the class that keeps one place
     placed = signed.select("id", (F.col("copies") > 1).alias("near"), F.col("id").alias("component"))
