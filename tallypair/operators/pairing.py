@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,42 @@ def _pairs(items: DataFrame, by: list[str], order: list[str], apart: list[str],
     return a.hint("merge").join(b, same)
 
 
+def _pair_counts(rows: DataFrame, by: list[str], kind: str, apart: list[str]) -> DataFrame:
+    """``type1, type2, n``: the pairs of distinct ``rows`` of a group that differ in all of ``apart``, by their two kinds.
+
+    No pair is made: by inclusion and exclusion over the columns of ``apart`` in which two rows agree, from the sizes
+    of groups.
+    """
+    rows = rows.dropna(subset=[*by, *apart])
+    parts = []
+    for k in range(len(apart) + 1):
+        for held in combinations(apart, k):
+            keys = [*by, *held]
+            sizes = rows.groupBy(*keys, kind).agg(F.count(F.lit(1)).alias("n"))
+            a, b = sizes.alias("a"), sizes.alias("b")
+            same = F.col(f"a.{kind}").isNull() | (F.col(f"a.{kind}") <= F.col(f"b.{kind}"))
+            for c in keys:
+                same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+            ways = F.col("a.n") * F.col("b.n") * F.lit((-1) ** k)
+            parts.append(a.join(b, same).select(F.col(f"a.{kind}").alias("one"), F.col(f"b.{kind}").alias("other"), ways.alias("n")))
+    ways = reduce(DataFrame.unionByName, parts).groupBy("one", "other").agg(F.sum("n").alias("n"))
+    n = F.when(F.col("one").eqNullSafe(F.col("other")), F.expr("n div 2")).otherwise(F.col("n"))
+    out = ways.select(F.least("one", "other").alias("type1"), F.greatest("one", "other").alias("type2"), n.alias("n"))
+    return out.groupBy("type1", "type2").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def pair_counts_within_class(items: DataFrame, cross_status: bool = False) -> DataFrame:
+    """How many pairs ``pairs_within_class`` has of each two statuses, without making them."""
+    items = items.select("image_class", "image_id", "status", "base").dropDuplicates()
+    return _pair_counts(items, ["image_class"], "status", ["image_id", "base", "status"] if cross_status else ["image_id", "base"])
+
+
+def pair_counts_cross_strategy(items: DataFrame) -> DataFrame:
+    """How many pairs ``pairs_cross_strategy`` has of each two strategies, without making them."""
+    items = items.where("status = 'final'").select("task", "image_class", "strategy", "image_id").dropDuplicates()
+    return _pair_counts(items, ["task", "image_class"], "strategy", ["image_id", "strategy"])
+
+
 def pairs_within_class(items: DataFrame, cross_status: bool = False, span: int = SPAN) -> DataFrame:
     """All unordered pairs of a class with different ids, by text order of ``base``; the same status may
     meet itself unless ``cross_status``. Repeated items count once."""

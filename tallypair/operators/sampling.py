@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,30 +30,69 @@ def seeded_rank(rows: DataFrame, by: list[str], seed: int, *keys: str) -> DataFr
     return ranked.select(*rows.columns, "rank")
 
 
-def first_in_groups(rows: DataFrame, by: list[str], seed: int, keys: tuple[str, ...], quota: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Of each group the first rows in seeded order, as many as ``quota`` adds as ``quota`` to the groups' sizes
-    (``by, there``; null: all).
-
-    The rows are computed once and stored with their slot of the hash. From the slots' counts it is known
-    which slots are taken whole and which is cut: only rows of that one are ranked.
-    """
-    at = seeded(seed, *keys)
-    pool = stored(rows.withColumns({"_at": at, "_slot": F.substring(at, 1, 4)}), "pool")
-    slots = pool.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = quota(slots.groupBy(*by).agg(F.sum("_n").alias("there"))).select(*by, "quota")
+def _cut(pool: DataFrame, slots: DataFrame, sizes: DataFrame, by: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """Of each group of a pool with ``_at`` and ``_slot`` the first ``quota`` rows. From the slots' counts it is known
+    which slots are taken whole and which is cut: only rows of that one are ranked."""
     through = F.sum("_n").over(Window.partitionBy(*by).orderBy("_slot"))
     cut = beside(slots, sizes, by).withColumn("_over", through - F.coalesce("quota", through))
     kept = cut.where("_over < _n").select(*by, "_slot", F.when(F.col("_over") > 0, F.col("_n") - F.col("_over")).alias("_take"))
     taken = beside(pool, kept, [*by, "_slot"])
     whole, border = taken.where("_take is null"), taken.where("_take is not null")
     first = F.row_number().over(Window.partitionBy(*by, "_slot").orderBy("_at", *keys))
-    border = border.withColumn("_first", first).where("_first <= _take")
-    return whole.select(*rows.columns).unionByName(border.select(*rows.columns))
+    return whole.unionByName(border.withColumn("_first", first).where("_first <= _take").drop("_first"))
 
 
-def balanced_sample(pairs: DataFrame, most: int, seed: int = 42, by: str = "status", keys: tuple[str, ...] = ("base1", "base2")) -> DataFrame:
+def first_in_groups(rows: DataFrame, by: list[str], seed: int, keys: tuple[str, ...], quota: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of each group the first rows in seeded order, as many as ``quota`` adds as ``quota`` to the groups' sizes
+    (``by, there``; null: all). The rows are computed once and stored with their slot of the hash."""
+    at = seeded(seed, *keys)
+    pool = stored(rows.withColumns({"_at": at, "_slot": F.substring(at, 1, 4)}), "pool")
+    slots = pool.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = quota(slots.groupBy(*by).agg(F.sum("_n").alias("there"))).select(*by, "quota")
+    return _cut(pool, slots, sizes, by, keys).select(*rows.columns)
+
+
+#: Digits of the hash that a bound has, and slots under a bound.
+DIGITS, SLOTS = 12, 4096
+
+
+def first_of_known_groups(rows: DataFrame, by: list[str], seed: int, keys: tuple[str, ...], sizes: DataFrame) -> DataFrame:
+    """``first_in_groups`` where the groups' sizes are known without the rows (``by, there, quota``; few groups): only rows
+    under a bound of the hash are stored, under which a group has its quota and some more.
+
+    Hashes are even, so too few are under a bound only by rare chance or if keys repeat; such a group is drawn again
+    under a bound sixteen times as high, at last under none, so the result is exact.
+    """
+    every = F.lit(16**DIGITS)
+    wanted = F.least(F.coalesce("quota", "there"), "there")
+    sizes = sizes.select(*by, "quota", "there", wanted.alias("_wanted"), (wanted + 10 * F.sqrt(wanted) + 20).alias("_room"))
+    left = sizes = stored(sizes.where("_wanted > 0").coalesce(1), "sizes")
+    hashed, pools = rows.withColumn("_at", seeded(seed, *keys)), []
+    while not left.isEmpty():
+        limit = F.when(F.col("_room") < F.col("there"), F.ceil(F.col("_room") / F.col("there") * every)).otherwise(every)
+        bounds = left.select(*by, limit.alias("_limit"), F.when(limit < every, F.lower(F.lpad(F.hex(limit), DIGITS, "0"))).alias("_bound"))
+        near = beside(hashed, F.broadcast(bounds), by).where("_bound is null or _at < _bound")
+        slot = F.floor(F.conv(F.substring("_at", 1, DIGITS), 16, 10).cast("long") / F.col("_limit") * SLOTS)
+        pool = stored(near.withColumn("_slot", slot).drop("_limit", "_bound"), "pool")
+        one = pool.select(*by, F.lit(1).alias("_found")).unionByName(left.select(*by, F.lit(0).alias("_found")))
+        found = stored(beside(left, one.groupBy(*by).agg(F.sum("_found").alias("_found")), by).coalesce(1), "sizes")
+        done = F.expr("_found >= _wanted or _room >= there")
+        pools.append(beside(pool, found.where(done).select(*by), by))
+        left = found.where(~done).drop("_found").withColumn("_room", F.col("_room") * 16)
+    if not pools:
+        return rows.limit(0)
+    pool = reduce(DataFrame.unionByName, pools)
+    slots = pool.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    return _cut(pool, slots, sizes.select(*by, "quota"), by, keys).select(*rows.columns)
+
+
+def balanced_sample(pairs: DataFrame, most: int, seed: int = 42, by: str = "status", keys: tuple[str, ...] = ("base1", "base2"), counts: DataFrame | None = None) -> DataFrame:
     """If there are more than ``most`` pairs (and it is positive): of each pair of statuses (or
-    strategies) the first ``most // groups`` in seeded order; no redistribution, and maybe none."""
+    strategies) the first ``most // groups`` in seeded order; no redistribution, and maybe none.
+
+    ``counts``: how many pairs there are (``type1, type2, n``), where that is known without making them. Then pairs
+    far from the sample are dropped as they are made, else all are stored.
+    """
     if most <= 0:
         return pairs
 
@@ -61,6 +101,9 @@ def balanced_sample(pairs: DataFrame, most: int, seed: int = 42, by: str = "stat
         return groups.crossJoin(F.broadcast(whole)).withColumn("quota", F.when(F.col("total") > most, F.floor(F.lit(most) / F.col("groups"))))
 
     typed = pairs.withColumns({"type1": F.least(f"{by}1", f"{by}2"), "type2": F.greatest(f"{by}1", f"{by}2")})
+    if counts is not None:
+        known = quota(counts.withColumnRenamed("n", "there"))
+        return first_of_known_groups(typed, ["type1", "type2"], seed, keys, known).select(*pairs.columns)
     return first_in_groups(typed, ["type1", "type2"], seed, keys, quota).select(*pairs.columns)
 
 

@@ -90,7 +90,7 @@ K1 = f"""
 WITH p AS ({J1}), t AS (SELECT *, least(status1, status2) AS t1, greatest(status1, status2) AS t2 FROM p), c AS (SELECT count(*) AS total, count(DISTINCT t1 || t2) AS g FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY md5('42|' || base1 || '|' || base2), base1, base2) AS n FROM t)
 SELECT image_class, base1, base2, status1, status2 FROM r, c WHERE total <= {{0}} OR n <= {{0}} // g"""
-add("k1_balanced_sample", lambda g: sampling.balanced_sample(pairing.pairs_within_class(g("items")), 600), K1.format(600))
+add("k1_balanced_sample", lambda g: sampling.balanced_sample(pairing.pairs_within_class(g("items")), 600, counts=pairing.pair_counts_within_class(g("items"))), K1.format(600))
 add("k1_balanced_sample_large", lambda g: sampling.balanced_sample(pairing.pairs_within_class(g("items")), 7200), K1.format(7200))
 add("k1_balanced_sample_strategies", lambda g: sampling.balanced_sample(pairing.pairs_cross_strategy(g("items")), 60, by="strategy", keys=("image_id1", "image_id2")), f"""
 WITH p AS ({ORACLES['j3_pairs_cross_strategy']}), c AS (SELECT count(*) AS total, count(DISTINCT strategy1 || strategy2) AS g FROM p),
