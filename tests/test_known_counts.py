@@ -79,3 +79,5 @@ def stored_rows(spark, monkeypatch, name):
 def test_sampled_pairs_are_not_all_stored(spark, monkeypatch):
     drawn, most = stored_rows(spark, monkeypatch, "k1_balanced_sample")
     assert drawn == 600 and most < 2000  # of 13491
+    drawn, most = stored_rows(spark, monkeypatch, "k1_balanced_sample_large")
+    assert drawn == 7200 and most < 10000  # six groups, their quota of 1200 and some more
