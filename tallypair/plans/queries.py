@@ -92,7 +92,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY md5('42|' || bas
 SELECT image_class, base1, base2, status1, status2 FROM r, c WHERE total <= {{0}} OR n <= {{0}} // g"""
 add("k1_balanced_sample", lambda g: sampling.balanced_sample(pairing.pairs_within_class(g("items")), 600, counts=pairing.pair_counts_within_class(g("items"))), K1.format(600))
 add("k1_balanced_sample_large", lambda g: sampling.balanced_sample(pairing.pairs_within_class(g("items")), 7200, counts=pairing.pair_counts_within_class(g("items"))), K1.format(7200))
-add("k1_balanced_sample_strategies", lambda g: sampling.balanced_sample(pairing.pairs_cross_strategy(g("items")), 60, by="strategy", keys=("image_id1", "image_id2")), f"""
+add("k1_balanced_sample_strategies", lambda g: sampling.balanced_sample(pairing.pairs_cross_strategy(g("items")), 60, by="strategy", keys=("image_id1", "image_id2"), counts=pairing.pair_counts_cross_strategy(g("items"))), f"""
 WITH p AS ({ORACLES['j3_pairs_cross_strategy']}), c AS (SELECT count(*) AS total, count(DISTINCT strategy1 || strategy2) AS g FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY strategy1, strategy2 ORDER BY md5('42|' || image_id1 || '|' || image_id2), image_id1, image_id2) AS n FROM p)
 SELECT task, image_class, strategy1, image_id1, strategy2, image_id2 FROM r, c WHERE total <= 60 OR n <= 60 // g""")

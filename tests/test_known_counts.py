@@ -81,3 +81,8 @@ def test_sampled_pairs_are_not_all_stored(spark, monkeypatch):
     assert drawn == 600 and most < 2000  # of 13491
     drawn, most = stored_rows(spark, monkeypatch, "k1_balanced_sample_large")
     assert drawn == 7200 and most < 10000  # six groups, their quota of 1200 and some more
+
+
+def test_sampled_strategy_pairs_are_not_all_stored(spark, monkeypatch):
+    drawn, most = stored_rows(spark, monkeypatch, "k1_balanced_sample_strategies")
+    assert drawn == 60 and most < 400  # of 974
