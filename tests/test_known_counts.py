@@ -5,7 +5,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
-from tallypair.operators import pairing, sampling
+from tallypair.operators import assembly, pairing, sampling
 from tallypair.plans import queries
 
 ITEM = "task string, image_class string, strategy string, image_id string, status string, base string"
@@ -48,6 +48,26 @@ def test_pairs_and_their_counts_on_odd_items(spark):
     assert {(r.type1, r.type2): r.n for r in pairing.pair_counts_cross_strategy(frame).collect()} == Counter((s, t) for _, _, s, _, t, _ in want)
 
 
+def test_images_of_pairs_on_odd_items(spark):
+    rows = odd_items(60)
+    frame = spark.createDataFrame(rows, ITEM).repartition(3)
+    for cross in (False, True):
+        want = {(c, base) for c, a, b, *_ in plain_pairs(rows, cross) for base in (a, b)}
+        items = pairing.paired_items(frame, cross)
+        got = items.collect()
+        assert {(r.image_class, r.base) for r in got} == want and len({(c, base) for _, c, _, _, _, base in rows}) > len(want) > 10
+        of_pairs = assembly.image_manifest(pairing.pairs_within_class(frame, cross), "set").collect()
+        assert sorted(map(tuple, assembly.manifest_of_images(items, "set").collect())) == sorted(map(tuple, of_pairs))
+    assert pairing.paired_items(frame.limit(1)).count() == 0
+
+
+def test_images_of_a_large_class_without_its_pairs(spark):
+    """A class of 200 000 images has 2 * 10^10 pairs."""
+    items = spark.range(200_000).selectExpr("'t' AS task", "concat('c', CAST(id DIV 200000 AS STRING)) AS image_class", "'x' AS strategy", "CAST(id AS STRING) AS image_id", "IF(id = 7, 'final', 'original') AS status", "CAST(id AS STRING) AS base")
+    assert pairing.paired_items(items, True).count() == 200_000
+    assert pairing.paired_items(items.where("id <> 7"), True).count() == 0
+
+
 def test_sample_of_known_counts_with_repeated_keys(spark):
     """One key of many rows has them all under a bound or none, so groups are drawn again."""
     rows = [("a", "b", i % 2, "s", "t") for i in range(400)] + [(f"k{i}", f"l{i}", i, "s", "u") for i in range(300)] + [("p", "q", 0, None, "t")]
