@@ -5,7 +5,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
-from tallypair.operators import assembly, pairing, sampling
+from tallypair.operators import assembly, pairing, sampling, verdicts
 from tallypair.plans import queries
 
 ITEM = "task string, image_class string, strategy string, image_id string, status string, base string"
@@ -42,12 +42,21 @@ def test_pairs_and_their_counts_on_odd_items(spark):
         assert len(want) > 300 and Counter(map(tuple, got.collect())) == Counter(want)
         counts = {(r.type1, r.type2): r.n for r in pairing.pair_counts_within_class(frame, cross).collect()}
         assert counts == Counter(kinds(s, t) for *_, s, t in want)
+        assert counts == {(r.type1, r.type2): r.n for r in verdicts.comparison_type_counts(got).collect()}
     finals = {(t, c, s, i) for t, c, s, i, status, _ in rows if status == "final"}
     want = [(a[0], a[1], a[2], a[3], b[2], b[3]) for a in finals for b in finals if None not in (*a, *b) and a[:2] == b[:2] and a[2] < b[2] and a[3] != b[3]]
     assert len(want) > 50 and Counter(map(tuple, pairing.pairs_cross_strategy(frame, span=5).collect())) == Counter(want)
     assert {(r.type1, r.type2): r.n for r in pairing.pair_counts_cross_strategy(frame).collect()} == Counter((s, t) for _, _, s, _, t, _ in want)
 
 
+def test_counts_of_a_large_class_without_its_pairs(spark, tmp_path):
+    """The registered query on 120 000 parts of one class, 7.2 * 10^9 pairs."""
+    spark.range(120_000).selectExpr("id AS p_partkey", "'n' AS p_name", "'Brand#1' AS p_brand", "'SMALL' AS p_type", "1 AS p_size", "1.0D AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r.type1, r.type2): r.n for r in queries.QUERIES["a12_comparison_type_counts"](spark, str(tmp_path)).collect()}
+    names = ("final", "original", "zero-shot")
+    assert got == {(a, b): 40_000 * 39_999 // 2 if a == b else 40_000**2 for a in names for b in names if a <= b}
+
+
 def test_images_of_pairs_on_odd_items(spark):
     rows = odd_items(60)
     frame = spark.createDataFrame(rows, ITEM).repartition(3)
