@@ -36,3 +36,13 @@ def test_a_hot_category_is_dealt_to_many_tasks(spark, many_partitions):
     frame = spark.createDataFrame([("hot", str(i), ("original", "zero-shot", "final")[i % 3]) for i in range(900)], "category string, base_id string, status string")
     sizes = [r["count"] for r in pairing.participant_pairs(frame, span=100).groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 12 and max(sizes) < sum(sizes) / 5
+
+
+def test_pairs_of_a_hot_class_are_dealt_and_written_small(spark, many_partitions, tmp_path):
+    items = [("hot", str(i), ("original", "zero-shot", "final")[i * 7 % 3], f"{i}_{i * 7 % 3}") for i in range(2500)]
+    frame = spark.createDataFrame(items, "image_class string, image_id string, status string, base string").repartition(5)
+    pairing.pairs_within_class(frame, span=500).write.parquet(str(tmp_path / "a"))
+    assert len(list((tmp_path / "a").glob("*.parquet"))) > 6
+    pairing.pairs_within_class(frame).write.parquet(str(tmp_path / "b"))
+    rows = spark.read.parquet(str(tmp_path / "b")).count()
+    assert rows == 2500 * 2499 // 2 and sum(f.stat().st_size for f in (tmp_path / "b").glob("*.parquet")) < rows
