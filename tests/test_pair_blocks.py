@@ -46,3 +46,10 @@ def test_pairs_of_a_hot_class_are_dealt_and_written_small(spark, many_partitions
     pairing.pairs_within_class(frame).write.parquet(str(tmp_path / "b"))
     rows = spark.read.parquet(str(tmp_path / "b")).count()
     assert rows == 2500 * 2499 // 2 and sum(f.stat().st_size for f in (tmp_path / "b").glob("*.parquet")) < rows
+
+
+def test_cross_status_pairs_of_a_hot_class_are_dealt(spark, many_partitions):
+    items = [("hot", str(i), ("original", "zero-shot", "final")[i * 7 % 3], f"{i}_{i * 7 % 3}") for i in range(1200)]
+    frame = spark.createDataFrame(items, "image_class string, image_id string, status string, base string").repartition(5)
+    sizes = [r["count"] for r in pairing.pairs_within_class(frame, cross_status=True, span=100).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3 * 400**2 and len(sizes) > 12 and max(sizes) < sum(sizes) / 5
