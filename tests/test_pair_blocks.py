@@ -53,3 +53,10 @@ def test_cross_status_pairs_of_a_hot_class_are_dealt(spark, many_partitions):
     frame = spark.createDataFrame(items, "image_class string, image_id string, status string, base string").repartition(5)
     sizes = [r["count"] for r in pairing.pairs_within_class(frame, cross_status=True, span=100).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 3 * 400**2 and len(sizes) > 12 and max(sizes) < sum(sizes) / 5
+
+
+def test_strategy_pairs_of_a_hot_class_are_dealt(spark, many_partitions):
+    items = [("t", "hot", ("x", "y", "z")[i % 3], str(i), "final") for i in range(1200)]
+    frame = spark.createDataFrame(items, "task string, image_class string, strategy string, image_id string, status string").repartition(5)
+    sizes = [r["count"] for r in pairing.pairs_cross_strategy(frame, span=100).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3 * 400**2 and len(sizes) > 12 and max(sizes) < sum(sizes) / 5
